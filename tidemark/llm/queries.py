@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, toxicity
+from tidemark.llm import audio, binary, bpe, language, packing, quality, toxicity
 from tidemark.llm.common import table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
 
+def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.features(table(spark, sf_dir, "documents"), keep=False)
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", *quality.BASE, "base_failed", "kept"
+    )
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs)
@@ -37,10 +51,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_audio_features": op1_audio_features,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_token_binary": op9_token_binary,
 }
 
 ORACLE_SQL: dict[str, str] = {}
