@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, binary, bpe, language, packing, quality, toxicity
+from tidemark.llm import audio, binary, bpe, html, language, packing, quality, quoting, toxicity
 from tidemark.llm.common import table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
@@ -27,6 +27,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs)
@@ -55,14 +59,79 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.round_trip(table(spark, sf_dir, "documents"))
 
 
+def _messages(turns: DataFrame) -> DataFrame:
+    """Conversation turns as messages; the row's own text and role tell apart rows of equal turns."""
+    ident = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.coalesce(F.col("turn").cast("string"), F.lit("-")))
+    return turns.select(
+        F.col("conv_id").cast("bigint").alias("thread"), F.col("turn").cast("bigint").alias("ord"), ident.alias("id"), "text"
+    )
+
+
+def _as_turns(found: DataFrame) -> DataFrame:
+    return found.select(
+        F.regexp_extract("conversation", "[0-9]+", 0).cast("bigint").alias("conversation_id"),
+        F.col("thread").alias("conv_id"),
+        F.col("ord").alias("turn"),
+        "position",
+        F.substring_index("parent", ":", 1).cast("bigint").alias("parent_conv_id"),
+        F.substring_index("parent", ":", -1).cast("bigint").alias("parent_turn"),
+        "n_quoted",
+        "n_linked",
+        "body",
+    )
+
+
+def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_turns(quoting.conversations(_messages(table(spark, sf_dir, "conversations"))))
+
+
+def chat_quotes_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over every turn rendered as a mail that quotes the two turns before it."""
+    turns = table(spark, sf_dir, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    quote = lambda c, mark: F.regexp_replace(c, "(?m)^", mark)
+    one, two = F.lag("text", 1).over(order), F.lag("text", 2).over(order)
+    mails = turns.select(
+        "conv_id",
+        "turn",
+        F.concat_ws(
+            "\n",
+            F.when(two.isNotNull(), quote(two, "> > ")),
+            F.when(one.isNotNull(), quote(one, "> ")),
+            "text",
+        ).alias("text"),
+    )
+    return _as_turns(quoting.conversations(_messages(mails)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_features": op1_audio_features,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_html_text": op4_html_text,
     "op5_language_id": op5_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_binary": op9_token_binary,
+    "op10_chat_quotes": op10_chat_quotes,
+    "chat_quotes_mail": chat_quotes_mail,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Bodies by lines; quoted lines vote for the earliest earlier turn of the conversation that has them.
+    "op10_chat_quotes": r"""
+        with l as (
+            select conv_id, turn, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+            from conversations),
+        p as (select *, regexp_matches(line, '^\s*>') as q, lower(trim(regexp_replace(regexp_replace(line, '^(\s*>)+ ?', ''), '\s+', ' ', 'g'))) as norm from l),
+        b as (select conv_id, turn, string_agg(line, chr(10) order by i) filter (not q) as body, count(*) filter (q and norm <> '') as n_quoted from p group by all),
+        x as (select conv_id, norm, min(turn) as first from p where not q and norm <> '' group by all),
+        v as (select p.conv_id, p.turn, x.first, count(*) as n from p join x using (conv_id, norm) where p.q and x.first < p.turn group by all),
+        w as (select conv_id, turn, arg_max(first, (n, first)) as up, sum(n) as n_linked from v group by all)
+        select b.conv_id as conversation_id, b.conv_id, b.turn::bigint as turn,
+               row_number() over (partition by b.conv_id order by b.turn) as position,
+               case when coalesce(w.up, lag(b.turn) over (partition by b.conv_id order by b.turn)) is not null then b.conv_id end as parent_conv_id,
+               coalesce(w.up, lag(b.turn) over (partition by b.conv_id order by b.turn))::bigint as parent_turn,
+               b.n_quoted, coalesce(w.n_linked, 0)::bigint as n_linked, coalesce(b.body, '') as body
+        from b left join w using (conv_id, turn)""",
+}
