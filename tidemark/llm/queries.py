@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, binary, bpe, html, language, packing, quality, quoting, toxicity
+from tidemark.llm import audio, binary, bpe, html, jaccard, language, packing, quality, quoting, toxicity
 from tidemark.llm.common import table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
@@ -39,6 +39,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -110,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_html_text": op4_html_text,
     "op5_language_id": op5_language_id,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_binary": op9_token_binary,
@@ -134,4 +139,14 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(w.up, lag(b.turn) over (partition by b.conv_id order by b.turn))::bigint as parent_turn,
                b.n_quoted, coalesce(w.n_linked, 0)::bigint as n_linked, coalesce(b.body, '') as body
         from b left join w using (conv_id, turn)""",
+    # What was rendered as quotes is found again: the body is the turn's own text, and the turn before it is answered.
+    "chat_quotes_mail": """
+        with t as (
+            select *, lag(turn) over o as up, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as n
+            from conversations window o as (partition by conv_id order by turn))
+        select conv_id as conversation_id, conv_id, turn::bigint as turn, row_number() over o as position,
+               case when up is not null then conv_id end as parent_conv_id, up::bigint as parent_turn,
+               (coalesce(lag(n) over o, 0) + coalesce(lag(n, 2) over o, 0))::bigint as n_quoted,
+               (coalesce(lag(n) over o, 0) + coalesce(lag(n, 2) over o, 0))::bigint as n_linked, text as body
+        from t window o as (partition by conv_id order by turn)""",
 }
