@@ -139,12 +139,12 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, files: int |
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
-                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), own.encode_all(rows.column(1).to_pylist())):
                     if out is None:
                         store.create_dir(base, recursive=True)
                         stream = store.open_output_stream(temp)
                         out = Writer(stream)
-                    out.add(doc_id, own.encode(text) + end)
+                    out.add(doc_id, ids + end)
         if out is not None:
             out.close()
             stream.close()

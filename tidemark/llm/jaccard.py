@@ -9,13 +9,15 @@ every link lies inside at least one region. Then
 
 * a region of at most SMALL documents is joined whole, and a pair goes on only
   if it shares as many low hashes as a link must and its sizes allow one;
-* documents that lie mostly in larger regions are joined around pivots: each
-  region's members are measured against its pivots, members within the radius
-  are linked, a pair is left out where the triangle inequality through the
-  first pivot rules it out, and the region is joined again with twice the
+* documents with more than a few used hashes in larger regions (`is_dense`)
+  are joined again among themselves around all their hashes: any two linked
+  ones share four fifths of them, so a document with fewer in larger regions
+  (`is_common`) meets all its partners in small ones;
+* what is left, such as large groups of near copies, is joined around pivots:
+  each region's members are measured against its pivots, members within the
+  radius are linked, a pair is left out where the triangle inequality through
+  the first pivot rules it out, and the region is joined again with twice the
   pivots until all of it is one component or each pair has been decided.
-  Documents with only a few hashes in larger regions need none of that
-  (`mostly_large`).
 
 Each measured pair is compared on whole sets. Equal sets are one class from
 the start. Components come from alternating star contractions.
@@ -76,8 +78,8 @@ def lowest(n: int) -> int:
     return min(n, n // 5 + 1 + n // 10)
 
 
-def mostly_large(n, large):
-    """Whether a set of n with `large` used hashes in large regions must be joined there.
+def is_dense(n: Column, large: Column) -> Column:
+    """Whether a set of n with `large` used hashes in large regions may have partners there only.
 
     Otherwise: 2 * n // 25 <= n_y // 10 for every n_y >= 0.8 n, so any partner shares
     a hash of a small region with it.
@@ -85,6 +87,11 @@ def mostly_large(n, large):
     return large > F.floor(2 * n / 25)
 
 
+def is_common(n: Column, large: Column) -> Column:
+    """The same where all hashes are used: linked sets share ceil(0.8 n) of n at least."""
+    return large >= F.ceil(0.8 * n - 1e-9)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -100,7 +107,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(buckets: int):
-    """Packed (hash, document, size) of used hashes, by bucket of the hash."""
+    """Packed (hash, document, size) by bucket of the hash: the used hashes of texts, or all of given sets."""
 
     def pack(keys: list, nodes: list, sizes: list) -> pa.RecordBatch:
         key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
@@ -128,10 +135,12 @@ def _postings(buckets: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    s = shingles(text)
+                texts = pa.types.is_string(part.column(1).type)
+                each = part.column(1).to_pylist() if texts else [x.values.to_numpy() for x in part.column(1)]
+                for node, item in zip(part.column(0).to_pylist(), each):
+                    s = shingles(item) if texts else item.view(np.uint64)
                     if len(s):
-                        used = s[: lowest(len(s))] >> np.uint64(16)
+                        used = s[: lowest(len(s)) if texts else len(s)] >> np.uint64(16)
                         keys.append(used)
                         nodes.append(np.full(len(used), node, np.int64))
                         sizes.append(np.full(len(used), len(s), np.int32))
@@ -287,6 +296,30 @@ def _pivot_rounds(members: DataFrame, sets: DataFrame, links: DataFrame) -> Data
         number += 1
 
 
+def _join_regions(rows: DataFrame, hashes: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of small regions with how many they share, members of large ones, and each member's number of large ones.
+
+    rows: an id, and a text or a set.
+    """
+    tasks = max(1, -(-hashes // TASK_HASHES), least)
+    packed = rows.mapInArrow(_postings(tasks), "bucket int, low binary, high binary, node binary, size binary")
+    found = packed.repartition(tasks, "bucket").mapInArrow(_regions, "kind int, a bigint, b bigint, n_a bigint, n_b bigint")
+    found = materialise(found, "found")
+    member = found.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("region"), F.col("n_a").alias("n"))
+    large = materialise(member.groupBy("node", "n").agg(F.count("*").alias("large")), "large")
+    small = found.filter("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("same"))
+    return small, member, large
+
+
+def _enough(pairs: DataFrame, large: DataFrame, need: Column) -> DataFrame:
+    """Pairs that share `need` hashes, less those that may lie in large regions and one that 48 bits may have merged."""
+    own = large.select("node", "large")
+    pairs = pairs.join(own.select(F.col("node").alias("a"), F.col("large").alias("l_a")), "a", "left")
+    pairs = pairs.join(own.select(F.col("node").alias("b"), F.col("large").alias("l_b")), "b", "left")
+    hidden = F.least(F.coalesce("l_a", F.lit(0)), F.coalesce("l_b", F.lit(0)))
+    return pairs.filter(F.col("same") >= need - hidden - 1)
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
@@ -299,28 +332,24 @@ def components(docs: DataFrame) -> DataFrame:
     )
     copies = named.filter("doc_id <> node").select("doc_id").distinct()
     total = named.filter("doc_id = node").agg(F.sum(F.floor(F.col("n") * 3 / 10) + 1)).first()[0] or 0
-    tasks = max(1, -(-int(total) // TASK_HASHES), docs.rdd.getNumPartitions())
-    packed = _only(own, copies, "left_anti").mapInArrow(
-        _postings(tasks), "bucket int, low binary, high binary, node binary, size binary"
-    )
-    found = packed.repartition(tasks, "bucket").mapInArrow(_regions, "kind int, a bigint, b bigint, n_a bigint, n_b bigint")
-    found = materialise(found, "found")
-    member = found.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("region"), F.col("n_a").alias("n"))
-    large = materialise(member.groupBy("node", "n").agg(F.count("*").alias("large")), "large")
-    dense = large.filter(mostly_large(F.col("n"), F.col("large")))
-    members = materialise(
-        member.join(dense.select("node"), "node", "left_semi").withColumn("far", F.lit(None).cast("double")), "members"
-    )
-    pairs = found.filter("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("same"))
-    more = large.select("node", "large")
-    pairs = pairs.join(more.select(F.col("node").alias("a"), F.col("large").alias("l_a")), "a", "left")
-    pairs = pairs.join(more.select(F.col("node").alias("b"), F.col("large").alias("l_b")), "b", "left")
-    need = 1 + F.floor(F.least("n_a", "n_b") / 10) - F.least(F.coalesce("l_a", F.lit(0)), F.coalesce("l_b", F.lit(0)))
-    pairs = materialise(pairs.filter(F.col("same") >= need).select("a", "b"), "pairs")
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(dense.select("node")).distinct()
+    small, member, large = _join_regions(_only(own, copies, "left_anti"), int(total), docs.rdd.getNumPartitions())
+    dense = large.filter(is_dense(F.col("n"), F.col("large"))).select("node")
+    need = 1 + F.floor(F.least("n_a", "n_b") / 10)
+    pairs = materialise(_enough(small, large, need).select("a", "b"), "pairs")
+    dense = materialise(dense, "dense")
+    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(dense).distinct()
     nodes = materialise(nodes, "nodes")
     sets = materialise(_only(own, nodes, "left_semi").mapInArrow(_whole_sets, "node bigint, hashes array<bigint>"), "whole")
-    links = materialise(measure(pairs, sets).filter(linked()).select("a", "b"), "links")
+    again = sets.join(dense, "node", "left_semi").select("node", "hashes")
+    total = again.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    small, member, large = _join_regions(again, int(total), sets.rdd.getNumPartitions())
+    need = F.ceil(0.8 * F.greatest("n_a", "n_b") - 1e-9)
+    more = materialise(_enough(small, large, need).select("a", "b"), "more-pairs")
+    common = large.filter(is_common(F.col("n"), F.col("large"))).select("node")
+    members = member.join(common, "node", "left_semi").withColumn("far", F.lit(None).cast("double"))
+    members = materialise(members, "members")
+    every = pairs.union(more).distinct()
+    links = materialise(measure(every, sets).filter(linked()).select("a", "b"), "links")
     links = _pivot_rounds(members, sets, links)
     comp = connected(links)
     rows = named.join(comp, "node", "left").withColumn("c", F.coalesce("comp", "node"))

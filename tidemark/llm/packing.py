@@ -125,8 +125,8 @@ def pieces_to_bins(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for part in _chunks(batch, 512):
                 whole = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for piece in cut(doc_id, own.encode(text) + END.to_bytes(4, "little")):
+                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode_all(part.column(1).to_pylist())):
+                    for piece in cut(doc_id, ids + END.to_bytes(4, "little")):
                         (whole if piece[3] == LENGTH else items).append([piece])
                 if whole:
                     yield (out := _pack(whole, first, False))

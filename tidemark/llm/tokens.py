@@ -39,20 +39,17 @@ class WordTokenizer:
             got = self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             self.known.update((w, b"".join(i.to_bytes(4, "little") for i in e.ids)) for w, e in zip(part, got))
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text; none for null. Splits at ASCII white space."""
-        if not text:
-            return b""
-        words = text.encode().split()
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; none for null. Splits at ASCII white space."""
+        each = [text.encode().split() if text else [] for text in texts]
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
         if len(known) > CACHE_WORDS:
             known.clear()
-        self.learn(list(set(words) - known.keys()))
-        return b"".join([known[w] for w in words])
+        self.learn([w for w in {w for words in each for w in words} if w not in known])
+        return [b"".join([known[w] for w in words]) for words in each]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
