@@ -3,24 +3,41 @@
 The word vocabulary drops white space and never joins pieces across it, and its
 normaliser works on each run between white space alone. So the ids of a text
 are those of its words, one after the other, and each distinct word goes
-through the library once per worker and cache generation.
+through the library once per worker and cache generation. A word of plain
+letters is a single piece, so it goes to the library's BPE model directly; a
+full stop or comma after it is a piece of its own. All other words go through
+the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import public_tokenizers
 
 #: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+#: Letters of ASCII and Latin-1 (in UTF-8), then one full stop or comma at most.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]?")
 
 
 def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, int]:
+    """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, others for 256 and up."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+def packed(ids: list[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
 class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit numbers."""
 
@@ -31,13 +48,29 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        self.model = self.lib.model
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.ends = {c: packed(self.lib.encode(c.decode(), add_special_tokens=False).ids) for c in (b".", b",")}
 
     def learn(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
+        known, model, letters, other = self.known, self.model, self.letters, []
+        for w in words:
+            if not PLAIN.fullmatch(w):
+                other.append(w)
+                continue
+            end = self.ends.get(w[-1:], b"")
+            core = w[:-1] if end else w
+            low = core.decode().lower().encode()
+            ids = known.get(low)
+            if ids is None:
+                ids = packed([t.id for t in model.tokenize(low.decode("latin-1").translate(letters))])
+                known[low] = ids
+            known[w] = ids + end
+        for k in range(0, len(other), 20_000):
+            part = other[k : k + 20_000]
             got = self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, b"".join(i.to_bytes(4, "little") for i in e.ids)) for w, e in zip(part, got))
+            known.update((w, packed(e.ids)) for w, e in zip(part, got))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for null. Splits at ASCII white space."""
