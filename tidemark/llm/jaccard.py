@@ -16,8 +16,8 @@ every link lies inside at least one region. Then
 * what is left, such as large groups of near copies, is joined around pivots:
   each region's members are measured against its pivots, members within the
   radius are linked, a pair is left out where the triangle inequality through
-  the first pivot rules it out, and the region is joined again with twice the
-  pivots until all of it is one component or each pair has been decided.
+  the first pivot rules it out, and the region is joined again with four
+  times the pivots until all of it is one component or each pair has been decided.
 
 Each measured pair is compared on whole sets. Equal sets are one class from
 the start. Components come from alternating star contractions.
@@ -89,7 +89,12 @@ def is_dense(n: Column, large: Column) -> Column:
 
 def is_common(n: Column, large: Column) -> Column:
     """The same where all hashes are used: linked sets share ceil(0.8 n) of n at least."""
-    return large >= F.ceil(0.8 * n - 1e-9)
+    return 10 * large >= 8 * n
+
+
+def enough(n_a: str, n_b: str) -> Column:
+    """The least intersection of linked sets of these sizes: J >= 0.8 is 9 * shared >= 4 * (n_a + n_b)."""
+    return F.floor((4 * (F.col(n_a) + F.col(n_b)) + 8) / 9)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,30 +262,36 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _pivot_rounds(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """Links among the members (region, node, n) of large regions, added to those known."""
-    number = 0
+    """Links among the members (region, node, n, large) of large regions, added to those known.
+
+    A pair that shares a hash of a small region has been decided there; all that
+    any other pair shares lies in large regions, of which a document has `large`.
+    """
+    number = done = 0
     while True:
         comp = connected(links)
         state = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         # Regions of more than one component; one whose members have all been pivots is decided.
         left = state.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
-        left = left.filter(F.col("lo") != F.col("hi")).filter(F.col("m") > (1 << number) - 1)
+        left = left.filter(F.col("lo") != F.col("hi")).filter(F.col("m") > done)
         state = state.join(left.select("region"), "region")
         state = materialise(state, "regions")
         if state.isEmpty():
             return links
-        # Pivots 2**k - 1 to 2**(k+1) - 2 in an order that all regions share, so that they choose alike.
+        # The next pivots in an order that all regions share, so that they choose alike: 1, 4, 16, ...
         order = Window.partitionBy("region").orderBy(F.xxhash64("node"), "node")
-        pivots = state.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= (2 << number) - 1)
-        pivots = pivots.filter(F.col("nth") >= 1 << number).select(
-            "region", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"), F.col("far").alias("far_p")
-        )
+        pivots = state.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= done + 4**number)
+        pivots = pivots.filter(F.col("nth") > done).select(
+            "region", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("large").alias("large_p"),
+            F.col("comp").alias("comp_p"), F.col("far").alias("far_p"),
+        )
         # The triangle inequality through the first pivot: distances of linked documents differ by 0.2 at most.
         window = F.coalesce(F.abs(F.col("far") - F.col("far_p")) <= 0.2 + 1e-9, F.lit(True))
         pairs = (
             state.join(pivots, "region")
             .filter((F.col("comp") != F.col("comp_p")) & (F.col("node") != F.col("p")))
             .filter((5 * F.least("n", "n_p") >= 4 * F.greatest("n", "n_p")) & window)
+            .filter(F.least("large", "large_p") >= enough("n", "n_p") - 1)
             .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
             .distinct()
         )
@@ -293,6 +304,7 @@ def _pivot_rounds(members: DataFrame, sets: DataFrame, links: DataFrame) -> Data
             d = first.join(far, ["a", "b"]).select("region", "node", "d")
             members = members.join(d, ["region", "node"], "left")
             members = materialise(members.withColumn("far", F.coalesce("d", "far")).drop("d"), "members")
+        done += 4**number
         number += 1
 
 
@@ -343,10 +355,9 @@ def components(docs: DataFrame) -> DataFrame:
     again = sets.join(dense, "node", "left_semi").select("node", "hashes")
     total = again.agg(F.sum(F.size("hashes"))).first()[0] or 0
     small, member, large = _join_regions(again, int(total), sets.rdd.getNumPartitions())
-    need = F.ceil(0.8 * F.greatest("n_a", "n_b") - 1e-9)
-    more = materialise(_enough(small, large, need).select("a", "b"), "more-pairs")
-    common = large.filter(is_common(F.col("n"), F.col("large"))).select("node")
-    members = member.join(common, "node", "left_semi").withColumn("far", F.lit(None).cast("double"))
+    more = materialise(_enough(small, large, enough("n_a", "n_b")).select("a", "b"), "more-pairs")
+    common = large.filter(is_common(F.col("n"), F.col("large")))
+    members = member.join(common, ["node", "n"]).withColumn("far", F.lit(None).cast("double"))
     members = materialise(members, "members")
     every = pairs.union(more).distinct()
     links = materialise(measure(every, sets).filter(linked()).select("a", "b"), "links")
