@@ -221,6 +221,11 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of these ids; rows of a null id stay."""
+    return _only(docs, ids, "left_anti")
+
+
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, shared, joint: sizes of intersection and union of each pair's whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
