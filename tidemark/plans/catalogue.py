@@ -1,6 +1,463 @@
-"""Every query of the analytics library by name, with its SQL oracle."""
+"""Every query of the analytics library by name, with its SQL oracle.
+
+The events table serves as ticks (symbol = event_type), hourly bars are built
+from it; lineitem serves as trades. Times come out as seconds, doubles rounded
+to six digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.windows import Rolling
+from tidemark.operators import analytics, bars, features, joins, recursive, selection
+from tidemark.sources.ticks import derived, event_ticks, valid
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(fn: Query) -> Query:
+        QUERIES[name] = lambda spark, sf_dir: plain(fn(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return keep
+
+
+def plain(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Times as seconds, dates as text, doubles rounded."""
+    out = []
+    for f in df.schema:
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind.startswith("timestamp"):
+            c = F.floor(F.unix_micros(c.cast("timestamp")) / 1_000_000)
+        elif kind == "date":
+            c = c.cast("string")
+        elif kind in ("double", "float"):
+            c = F.round(c.cast("double"), digits)
+        elif kind.startswith("decimal"):
+            c = F.round(c.cast("double"), digits)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def hour_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.gap_flags(bars.ohlcv(event_ticks(spark, sf_dir), ("H1",)))
+
+
+def atr_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recursive.atr(hour_bars(spark, sf_dir))
+
+
+TICKS = "t as (select event_type as symbol, ts, event_id as seq, value as price, value - 0.01 as bid, value + 0.01 as ask, user_id from events)"
+BARS = TICKS + """,
+b0 as (select symbol, date_trunc('hour', ts) as bucket, arg_min(price, (ts, seq)) as open, max(price) as high, min(price) as low,
+              arg_max(price, (ts, seq)) as close, count(*) as volume from t group by all),
+b1 as materialized (
+       select *, coalesce(epoch_us(bucket) - epoch_us(lag(bucket) over s) > 5400000000, false) as disc, lag(close) over s as pc, row_number() over s as i
+       from b0 window s as (partition by symbol order by bucket)),
+b2 as materialized (select *, case when disc or pc is null then high - low else greatest(high - low, abs(high - pc), abs(low - pc)) end as tr from b1)"""
+ATR = BARS + """,
+rec as (select symbol, i, tr as a from b2 where i = 1
+        union all select b2.symbol, b2.i, b2.tr / 13.0 + (1 - 1 / 13.0) * a from rec join b2 on b2.symbol = rec.symbol and b2.i = rec.i + 1),
+b as materialized (select b2.*, a + 1e-10 as atr from b2 join rec using (symbol, i))"""
+EWITH, RWITH = "with ", "with recursive "
+
+
+def over(n: int) -> str:
+    return f"over (partition by symbol order by bucket rows between {n - 1} preceding and current row)"
+
+
+def full(agg: str, c: str, n: int) -> str:
+    return f"case when count({c}) {over(n)} = {n} then {agg} {over(n)} end"
+
+
+def lag(c: str, k: int = 1) -> str:
+    return f"lag({c}, {k}) over (partition by symbol order by bucket)"
+
+
+def final(columns: dict[str, str], source: str, keys: str = "symbol, epoch(bucket)::bigint as bucket") -> str:
+    return f"select {keys}, " + ", ".join(f"round({v}, 6) + 0 as {k}" for k, v in columns.items()) + f" from {source}"
+
+
+def staged(stages: list[dict[str, str]], columns: dict[str, str], head: str = RWITH + ATR, source: str = "b") -> str:
+    """Stages of named expressions, each over the one before, then the rounded columns."""
+    sql = head
+    for k, stage in enumerate(stages):
+        sql += f", s{k} as (select *, " + ", ".join(f"{v} as {n}" for n, v in stage.items()) + f" from {source})"
+        source = f"s{k}"
+    return sql + " " + final(columns, source)
+
+
+# --- ticks and bars ---------------------------------------------------------------------------------------------
+
+
+@query(
+    "tick_clean",
+    EWITH + TICKS + """ select symbol, seq, epoch(date_trunc('second', ts))::bigint as ts, round(ask - bid, 6) as spread, round((ask + bid) / 2, 6) as mid_price,
+    year(ts)::int as year, month(ts)::int as month, day(ts)::int as day from t where ts is not null and bid > 0 and ask > 0""",
+)
+def tick_clean(spark, sf_dir):
+    return derived(valid(event_ticks(spark, sf_dir))).select("symbol", "seq", "ts", "spread", "mid_price", "year", "month", "day")
+
+
+_SIZES = ("M3", "M15", "H1", "H4", "D1", "W1", "MN")
+
+
+@query(
+    "ohlcv_multi_tf",
+    EWITH + TICKS + ", x as (" + " union all ".join(
+        f"select *, '{s}' as timeframe, " + (f"date_trunc('{bars.CALENDAR[s]}', ts)" if s in bars.CALENDAR else f"make_timestamp(epoch_us(ts) // {bars.SECONDS[s]}000000 * {bars.SECONDS[s]}000000)") + " as bucket from t"
+        for s in _SIZES
+    ) + """) select symbol, timeframe, epoch(bucket)::bigint as bucket, round(arg_min(price, (ts, seq)), 6) as open, round(max(price), 6) as high,
+    round(min(price), 6) as low, round(arg_max(price, (ts, seq)), 6) as close, count(*) as volume, count(*) as tick_count,
+    round(avg(bid), 6) as bid, round(avg(ask), 6) as ask, round(avg(ask - bid), 6) as spread from x group by all""",
+)
+def ohlcv_multi_tf(spark, sf_dir):
+    return bars.ohlcv(event_ticks(spark, sf_dir), _SIZES)
+
+
+@query("tick_passthrough", EWITH + TICKS + " select symbol, 'tick' as timeframe, epoch(date_trunc('second', ts))::bigint as bucket, seq, round(price, 6) as open, round(price, 6) as high, round(price, 6) as low, round(price, 6) as close, 1 as tick_count, false as disc from t")
+def tick_passthrough(spark, sf_dir):
+    return bars.passthrough(event_ticks(spark, sf_dir))
+
+
+@query("gap_flags", EWITH + BARS + " select symbol, epoch(bucket)::bigint as bucket, disc from b1")
+def gap_flags(spark, sf_dir):
+    return hour_bars(spark, sf_dir).select("symbol", "bucket", "disc")
+
+
+@query(
+    "volume_fallback",
+    EWITH + TICKS + """, v as (select symbol, seq, case when symbol < 'm' then 0 else user_id % 7 end as volume from t),
+    m as (select symbol, max(coalesce(volume, 0)) as top from v group by 1)
+    select v.symbol, seq, case when top > 0 then coalesce(volume, 0) else 1 end::bigint as volume from v join m using (symbol)""",
+)
+def volume_fallback(spark, sf_dir):
+    v = F.when(F.col("symbol") < "m", 0).otherwise(F.col("user_id") % 7).cast("bigint")
+    return bars.volume_fallback(event_ticks(spark, sf_dir).select("symbol", "seq", v.alias("volume"))).withColumn("volume", F.col("volume").cast("bigint"))
+
+
+@query(
+    "enrich_bars",
+    EWITH + BARS + f""", e as (select *, case when close > 0 and pc > 0 then ln(close / pc) end as lr, sign(close - pc) as sg from b1),
+    f as (select *, stddev_samp(lr) {over(20)} as vol, avg(volume) {over(50)} as av, close - {lag('close', 5)} as mom,
+          last_value(nullif(sg, 0) ignore nulls) over (partition by symbol order by bucket rows unbounded preceding) as dir from e)
+    select symbol, epoch(bucket)::bigint as bucket, round(lr, 6) as log_return, round(vol, 6) as rolling_volatility, round(av, 6) as rolling_avg_volume,
+    round(mom, 6) as price_momentum, coalesce(dir, -1)::tinyint as price_direction, round(volume / case when av = 0 then 1 else av end, 6) as volume_ratio from f""",
+)
+def enrich_bars(spark, sf_dir):
+    return bars.enrich(hour_bars(spark, sf_dir)).select("symbol", "bucket", "log_return", "rolling_volatility", "rolling_avg_volume", "price_momentum", "price_direction", "volume_ratio")
+
+
+@query(
+    "ohlc_guard",
+    EWITH + BARS + """ select symbol, epoch(bucket)::bigint as bucket, high >= greatest(open, close, low) and low <= least(open, close) and close between 1 and 400
+    and coalesce(abs(close - pc) <= 0.5 * abs(pc), true) as ok from b1""",
+)
+def ohlc_guard(spark, sf_dir):
+    return bars.spike_guard(hour_bars(spark, sf_dir), 1, 400, 0.5).select("symbol", "bucket", "ok")
+
+
+@query(
+    "resample_closed",
+    EWITH + BARS + """, r as (select symbol, make_timestamp(epoch_us(bucket) // 14400000000 * 14400000000) as start, arg_min(open, bucket) as open, max(high) as high,
+    min(low) as low, arg_max(close, bucket) as close, sum(volume)::bigint as volume, sum(volume)::bigint as tick_count from b0 group by all)
+    select symbol, epoch(start)::bigint as bucket, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, volume, tick_count, 'H4' as timeframe
+    from r where start < (select max(start) from r q where q.symbol = r.symbol)""",
+)
+def resample_closed(spark, sf_dir):
+    return bars.resample(hour_bars(spark, sf_dir), "H4")
+
+
+@query(
+    "quality_profile",
+    EWITH + BARS + """, p as (select open, high, low, close, pc from b1), u as (unpivot p on open, high, low, close, pc into name name value v),
+    n as (select count(*) as n from b1)
+    select c.name, n.n, coalesce(z, 0) as zeros, n.n - coalesce(k, 0) as missing, coalesce(f, 0) as infinite
+    from (values ('open'), ('high'), ('low'), ('close'), ('pc')) c(name) cross join n left join
+    (select name, count(*) filter (v = 0) as z, count(*) filter (not isnan(v)) as k, count(*) filter (isinf(v)) as f from u group by 1) q on q.name = c.name""",
+)
+def quality_profile(spark, sf_dir):
+    rows = hour_bars(spark, sf_dir).withColumn("pc", Rolling(("symbol", "timeframe")).lag("close"))
+    return bars.quality_profile(rows, ("open", "high", "low", "close", "pc"))
+
+
+# --- joins in time ----------------------------------------------------------------------------------------------
+
+
+def _bets(spark, sf_dir):
+    ticks = event_ticks(spark, sf_dir)
+    return ticks.filter(F.col("seq") % 10 == 0).select(F.col("seq").alias("id"), "symbol", F.col("ts").alias("t0"), F.col("price").alias("close"), (F.lit(5.0) + F.col("seq") % 7).alias("atr"))
+
+
+_BETS = TICKS + ", bets as (select seq as id, symbol, ts as t0, price as close, 5.0 + seq % 7 as atr from t where seq % 10 = 0)"
+
+
+@query(
+    "asof_backward",
+    EWITH + TICKS + """, l as (select * from t where seq % 5 = 0), r as (select symbol, ts as rts, price as rprice, seq as rseq from t where seq % 5 <> 0)
+    select l.symbol, l.seq, rseq, round(rprice, 6) as rprice from l asof left join r on l.symbol = r.symbol and l.ts >= r.rts""",
+)
+def asof_backward(spark, sf_dir):
+    t = event_ticks(spark, sf_dir)
+    got = joins.asof(t.filter("seq % 5 = 0").select("symbol", "ts", "seq"), t.filter("seq % 5 <> 0"), "symbol", "ts", {"seq": "rseq", "price": "rprice"})
+    return got.select("symbol", "seq", "rseq", "rprice")
+
+
+@query(
+    "asof_forward",
+    EWITH + TICKS + """, l as (select * from t where seq % 5 = 0), r as (select symbol, ts as rts, price as rprice, seq as rseq from t where seq % 5 <> 0)
+    select l.symbol, l.seq, rseq, round(rprice, 6) as rprice from l asof left join r on l.symbol = r.symbol and l.ts <= r.rts""",
+)
+def asof_forward(spark, sf_dir):
+    t = event_ticks(spark, sf_dir)
+    got = joins.asof(t.filter("seq % 5 = 0").select("symbol", "ts", "seq"), t.filter("seq % 5 <> 0"), "symbol", "ts", {"seq": "rseq", "price": "rprice"}, forward=True)
+    return got.select("symbol", "seq", "rseq", "rprice")
+
+
+def _barrier_sql(target: str = "1.0", stop: str = "5.0", horizon: int = 14400, extra: str = "", bets: str = "bets", keys: str = "id") -> str:
+    return f"""h as (select {keys}, b.symbol, b.t0, b.close, b.atr,
+      min(t.ts) filter (price >= b.close + atr * {target} + 0.5) as lp, min(t.ts) filter (price <= b.close - atr * {stop} + 0.5) as ls,
+      min(t.ts) filter (price <= b.close - atr * {target} - 0.5) as sp, min(t.ts) filter (price >= b.close + atr * {stop} - 0.5) as ss
+      from {bets} b left join t on t.symbol = b.symbol and t.ts > b.t0 and t.ts <= b.t0 + interval {horizon} second group by all),
+    j as (select *, lp is not null and (ls is null or lp < ls) as wl, sp is not null and (ss is null or sp < ss) as ws from h),
+    k as (select *, coalesce(epoch_us(case when wl then lp else ls end) - epoch_us(t0), {horizon}000000) / 60e6 as dl,
+      coalesce(epoch_us(case when ws then sp else ss end) - epoch_us(t0), {horizon}000000) / 60e6 as ds from j)"""
+
+
+@query(
+    "triple_barrier",
+    EWITH + _BETS + ", " + _barrier_sql() + " select id, symbol, epoch(date_trunc('second', t0))::bigint as t0, round(close, 6) as close, atr::double as atr, wl::int as label_long, round(dl, 6) as duration_long, ws::int as label_short, round(ds, 6) as duration_short from k",
+)
+def triple_barrier(spark, sf_dir):
+    return joins.triple_barrier(_bets(spark, sf_dir), event_ticks(spark, sf_dir), 14400, 1.0, 5.0, 0.5)
+
+
+@query(
+    "barrier_grid",
+    EWITH + _BETS + ", g as (select bets.*, pt, sl from bets cross join (values (1.0, 5.0), (2.0, 2.0), (3.0, 1.0)) p(pt, sl)), "
+    + _barrier_sql("pt", "sl", bets="g", keys="id, pt, sl")
+    + " select pt::double as pt, sl::double as sl, count(*) as bets, sum(wl::int)::bigint as wins, round(avg(wl::int), 6) as win_rate, round(avg(dl), 6) as mean_minutes from k group by pt, sl",
+)
+def barrier_grid(spark, sf_dir):
+    grid = spark.createDataFrame([(1.0, 5.0), (2.0, 2.0), (3.0, 1.0)], "pt double, sl double")
+    bets = _bets(spark, sf_dir).join(F.broadcast(grid), F.lit(True))  # three rows of parameters
+    got = joins.triple_barrier(bets, event_ticks(spark, sf_dir), 14400, F.col("pt"), F.col("sl"), 0.5)
+    return got.groupBy("pt", "sl").agg(F.count("*").alias("bets"), F.sum("label_long").alias("wins"), F.avg("label_long").alias("win_rate"), F.avg("duration_long").alias("mean_minutes"))
+
+
+@query(
+    "concurrency_uniqueness",
+    EWITH + _BETS + """, i as (select id, symbol, t0, t0 + to_seconds(3600 * (1 + id % 5)) as t1 from bets),
+    e as (select symbol, t0 as moment, 1 as step from i union all select symbol, t1, -1 from i),
+    l as (select *, sum(step) over (partition by symbol order by moment, step desc) as level from e),
+    m as (select symbol, moment, max(level)::bigint as concurrency from l where step = 1 group by all)
+    select id, i.symbol, concurrency, round(coalesce(1.0 / concurrency, 0), 6) as uniqueness from i left join m on m.symbol = i.symbol and m.moment = i.t0""",
+)
+def concurrency_uniqueness(spark, sf_dir):
+    i = _bets(spark, sf_dir).withColumn("t1", F.timestamp_micros(F.unix_micros("t0") + 3_600_000_000 * (1 + F.col("id") % 5)))
+    return joins.concurrency(i.select("id", "symbol", "t0", "t1")).select("id", "symbol", "concurrency", "uniqueness")
+
+
+@query(
+    "cooldown_thin",
+    RWITH + TICKS + """, o as materialized (select symbol, ts, seq, row_number() over (partition by symbol order by ts, seq) as i from t),
+    r as (select symbol, ts, seq from o where i = 1
+          union all select n.symbol, n.ts, n.seq from r, lateral (select * from o where o.symbol = r.symbol and o.ts >= r.ts + interval 6 hour order by ts, seq limit 1) n)
+    select symbol, seq from r""",
+)
+def cooldown_thin(spark, sf_dir):
+    return recursive.thin(event_ticks(spark, sf_dir).select("symbol", "ts", "seq").orderBy("ts", "seq"), 6 * 3600).select("symbol", "seq")
+
+
+# --- features ---------------------------------------------------------------------------------------------------
+
+
+@query("true_range_atr", RWITH + ATR + f", r as (select *, atr / (avg(atr) {over(24)} + 1e-10) as ratio from b) " + final({"tr": "tr", "atr": "atr", "atr_ratio": "ratio"}, "r"))
+def true_range_atr(spark, sf_dir):
+    return recursive.atr_ratio(atr_bars(spark, sf_dir), 24).select("symbol", "bucket", "tr", "atr", "atr_ratio")
+
+
+def _stats_sql() -> str:
+    c: dict[str, str] = {}
+    for n in (10, 20):
+        m, s = f"({full('avg(close)', 'close', n)})", f"({full('stddev_samp(close)', 'close', n)})"
+        c |= {
+            f"mean_{n}": f"(close - {m}) / atr", f"variance_{n}": f"({full('var_samp(close)', 'close', n)}) / (atr * atr)", f"std_{n}": f"{s} / atr",
+            f"cv_{n}": f"{s} / ({m} + 1e-10)", f"median_{n}": f"(close - ({full('median(close)', 'close', n)})) / atr",
+            f"min_{n}": f"(({full('min(close)', 'close', n)}) - close) / atr", f"max_{n}": f"(({full('max(close)', 'close', n)}) - close) / atr",
+            f"zscore_{n}": f"(close - {m}) / ({s} + 1e-10)", f"upper_{n}": f"({m} + 2 * {s} - close) / atr", f"lower_{n}": f"({m} - 2 * {s} - close) / atr",
+        }
+    return RWITH + ATR + " " + final(c, "b")
+
+
+@query("feat_rolling_stats", _stats_sql())
+def feat_rolling_stats(spark, sf_dir):
+    return features.rolling_stats(atr_bars(spark, sf_dir))
+
+
+@query(
+    "feat_quantiles",
+    staged(
+        [{"x": full("list(close)", "close", 20)}, {"s": "list_sort(x)"}, {"q05": "s[1] + 0.95 * (s[2] - s[1])", "q95": "s[19] + 0.05 * (s[20] - s[19])", "med": "(s[10] + s[11]) / 2"},
+         {"dv": "list_sort([abs(v - med) for v in x])"}],
+        {"q25_20": "(close - s[6]) / atr", "q75_20": "(close - s[15]) / atr", "iqr_20": "(s[15] - s[6]) / atr", "trimmed_20": "list_sum(s[3:18]) / 16",
+         "winsor_20": "list_sum([greatest(least(v, q95), q05) for v in x]) / 20", "mad_20": "(dv[10] + dv[11]) / 2 / atr"},
+    ),
+)
+def feat_quantiles(spark, sf_dir):
+    return features.quantile_stats(atr_bars(spark, sf_dir))
+
+
+_AVG = lambda e: f"avg({e}) {over(20)}"
+
+
+@query(
+    "feat_moments",
+    staged(
+        [{"m": full("avg(close)", "close", 20), "v0": full("var_pop(close)", "close", 20), "r": "(close - pc) / nullif(pc, 0)", "c3": full("avg(close ** 3)", "close", 20), "c2": full("avg(close ** 2)", "close", 20)},
+         {"z": "(close - m) / sqrt(v0 + 1e-10)", "d4": "(close - m) ** 4", "r1": _AVG("r"), "r2": _AVG("r * r"), "r3": _AVG("r ** 3"), "r4": _AVG("r ** 4"), "rn": f"count(r) {over(20)}"},
+         {"z5": "z ** 5", "z6": "z ** 6", "rs": "(r3 - 3 * r1 * r2 + 2 * r1 ** 3) / sqrt(r2 - r1 * r1 + 1e-12) ** 3", "rk": "(r4 - 4 * r1 * r3 + 6 * r1 * r1 * r2 - 3 * r1 ** 4) / (r2 - r1 * r1 + 1e-12) ** 2 - 3"}],
+        {"skew_20": "(c3 - 3 * m * c2 + 2 * m ** 3) / sqrt(v0 + 1e-10) ** 3", "kurtosis_20": f"({full('avg(d4)', 'd4', 20)}) / (v0 * v0 + 1e-10) - 3",
+         "moment5_20": full("avg(z5)", "z5", 20), "moment6_20": full("avg(z6)", "z6", 20), "jarque_bera_20": "case when rn = 20 then 20 / 6.0 * (rs * rs + rk * rk / 4) end",
+         "tail_dof_20": "case when rn = 20 then greatest(least(case when rk > 0 then 4 + 6 / rk else 100.0 end, 100.0), 2.1) end"},
+    ),
+)
+def feat_moments(spark, sf_dir):
+    return features.moments(atr_bars(spark, sf_dir))
+
+
+def _roc(k: int) -> str:
+    return f"(close - {lag('close', k)}) / nullif({lag('close', k)}, 0)"
+
+
+@query(
+    "feat_momentum",
+    staged(
+        [{"r": "(close - pc) / nullif(pc, 0)", "rv": f"volume / (({full('avg(volume)', 'volume', 20)}) + 1e-10)", **{f"roc{k}": _roc(k) for k in (10, 11, 14, 15, 20, 30)}},
+         {"prv": "r * rv", "kst": "(roc10 + 2 * roc15 + 3 * roc20 + 4 * roc30) / 10 * 100", "copp": "roc11 + roc14"}],
+        {"change": "r", "volatility_20": full("stddev_samp(r)", "r", 20), "\"range\"": "(high - low) / atr", "volume_price_trend": full("avg(prv)", "prv", 10),
+         "rate_of_change_10": "roc10 * 100", "momentum_10": f"(close - {lag('close', 10)}) / atr", "kst": "kst", "kst_signal": full("avg(kst)", "kst", 9), "coppock": full("avg(copp)", "copp", 10)},
+    ),
+)
+def feat_momentum(spark, sf_dir):
+    return features.momentum(atr_bars(spark, sf_dir))
+
+
+@query(
+    "feat_bands_channels",
+    staged(
+        [{"hi": full("max(high)", "high", 20), "lo": full("min(low)", "low", 20), "m": full("avg(close)", "close", 20), "s": full("stddev_samp(close)", "close", 20),
+          "iu": f"arg_max(i, (high, i)) {over(20)}", "idn": f"arg_max(i, (-low, i)) {over(20)}"},
+         {"k": "case when hi - lo <> 0 then (close - lo) / (hi - lo) * 100 when hi - lo = 0 then 50.0 end",
+          "pv": f"({lag('hi')} + {lag('lo')} + {lag('close')}) / 3", "ph": lag("hi"), "pl": lag("lo")}],
+        {"bb_upper": "(m + 2 * s - close) / atr", "bb_lower": "(m - 2 * s - close) / atr", "bb_width": "4 * s / atr", "bb_percent": "(close - (m - 2 * s)) / (4 * s + 1e-10)",
+         "donchian_upper": "(hi - close) / atr", "donchian_middle": "((hi + lo) / 2 - close) / atr", "donchian_lower": "(lo - close) / atr",
+         "aroon_up": "case when hi is not null then 100.0 * (20 - (i - iu)) / 20 end", "aroon_down": "case when hi is not null then 100.0 * (20 - (i - idn)) / 20 end",
+         "williams_r": "case when hi - lo <> 0 then -100 * (hi - close) / (hi - lo) when hi - lo = 0 then -50.0 end", "stoch_k": "k", "stoch_d": full("avg(k)", "k", 3),
+         "dpo": "(close - m) / atr", "pivot": "(pv - close) / atr", "resistance1": "(2 * pv - pl - close) / atr", "support1": "(2 * pv - ph - close) / atr", "fib_50": "(lo + 0.5 * (hi - lo) - close) / atr"},
+    ),
+)
+def feat_bands_channels(spark, sf_dir):
+    return features.channels(atr_bars(spark, sf_dir))
+
+
+def _wma(c: str, n: int, old: bool = False) -> str:
+    return "(" + " + ".join(f"{(k + 1 if old else n - k)} * {lag(c, k)}" for k in range(n)) + f") / {n * (n + 1) / 2}"
+
+
+@query(
+    "feat_trend",
+    staged(
+        [{"sma": full("avg(close)", "close", 20), "sd": full("stddev_samp(close)", "close", 20), "wma": _wma("close", 20), "raw": f"2 * ({_wma('close', 10, True)}) - ({_wma('close', 20, True)})", "up": "sign(close - pc)"},
+         {"turn": f"abs(up - {lag('up')})", "rvi": f"({full('avg(close - open)', 'close', 10)}) / (({full('avg(high - low)', 'close', 10)}) + 1e-10)"}],
+        {"sma": "(sma - close) / atr", "sma_deviation": "(close - sma) / (sma + 1e-10) * 100", "wma": "(wma - close) / atr", "hma": f"(({_wma('raw', 4, True)}) - close) / atr",
+         "slope": "6 * (wma - sma) / 19 / atr", "strength": "case when sd is not null then least(1 / (sd / atr + 1e-10), 100.0) else 100.0 end", "consistency": f"1 - ({full('avg(turn)', 'turn', 20)}) / 2",
+         "rvi": "rvi", "rvi_signal": full("avg(rvi)", "rvi", 4)},
+    ),
+)
+def feat_trend(spark, sf_dir):
+    return features.trend(atr_bars(spark, sf_dir))
+
+
+@query(
+    "feat_volume",
+    staged(
+        [{"tp": "(high + low + close) / 3", "clv": "case when high - low > 0 then ((close - low) - (high - close)) / (high - low) end", "vm": full("avg(volume)", "volume", 20)},
+         {"dtp": f"tp - {lag('tp')}", "dc": "close - pc"},
+         {"pf": "case when dtp > 0 then tp * volume when dtp is not null then 0.0 end", "nf": "case when dtp < 0 then tp * volume when dtp is not null then 0.0 end", "tv": "tp * volume",
+          "cv": "clv * volume", "cs": "case when high - low > 0 then volume end"},
+         {"pos": full("sum(pf)", "pf", 13), "neg": full("sum(nf)", "nf", 13), "scv": f"sum(cv) {over(13)}", "scs": f"sum(cs) {over(13)}", "rows13": f"count(*) {over(13)}"}],
+        {"cmf": "case when rows13 = 13 then coalesce(scv / nullif(scs, 0), 0) end", "mfi": "case when neg > 0 then 100 - 100 / (1 + pos / neg) when pos > 0 then 100.0 when pos = 0 then 50.0 end",
+         "vwap": f"(close - ({full('sum(tv)', 'tv', 13)}) / (({full('sum(volume)', 'volume', 13)}) + 1e-10)) / atr", "obv": "sign(dc) * volume / (vm + 1e-10)",
+         "accumulation": "coalesce(clv, 0) * volume / (vm + 1e-10)", "force": "dc * volume / (atr * vm + 1e-10)", "volume_ratio": "volume / (vm + 1e-10)"},
+    ),
+)
+def feat_volume(spark, sf_dir):
+    return features.volume(atr_bars(spark, sf_dir))
+
+
+@query(
+    "feat_price_action",
+    staged(
+        [{"body": "abs(close - open)", "tw": "high - greatest(open, close)", "bw": "least(open, close) - low", "span": "high - low"}],
+        {"pattern": "case when span = 0 then 0 when bw > 2 * body and tw < body then 1 when tw > 2 * body and bw < body then 2 when body < 0.1 * span then 3 when close > open then 4 when close < open then 5 else 0 end",
+         "typical": "(close - (high + low + close) / 3) / atr", "weighted": "(close - (high + low + 2 * close) / 4) / atr", "median": "(close - (high + low) / 2) / atr", "body": "body / atr",
+         "upper_wick": "tw / (span + 1e-10)", "lower_wick": "bw / (span + 1e-10)", "location": "(close - low) / (span + 1e-10)", "intraday": "(close - open) / (open + 1e-10)", "gap": "(open - pc) / (pc + 1e-10)"},
+    ),
+)
+def feat_price_action(spark, sf_dir):
+    return features.price_action(atr_bars(spark, sf_dir))
+
+
+@query(
+    "feat_volatility",
+    staged(
+        [{"r": "(close - pc) / nullif(pc, 0)"}, {"hv": full("stddev_samp(r)", "r", 20), "r2": "r * r", "x": "abs(r)", "lr": lag("r")},
+         {"crossing": "case when r * lr < 0 then 1.0 when lr is not null then 0.0 end", "von": "(r - lr) ** 2", "went": "r2 * log2(r2 + 1e-10)", "rms": f"sqrt({full('avg(r2)', 'r2', 20)})", "mr": full("avg(r)", "r", 20)}],
+        {"hv_annual": "hv * sqrt(252)", "energy": f"({full('sum(r2)', 'r2', 20)}) / 1e6", "peak": f"({full('max(x)', 'x', 20)}) / (hv + 1e-10)", "rms": "rms", "crest": f"({full('max(x)', 'x', 20)}) / (rms + 1e-10)",
+         "amplitude_cv": f"({full('stddev_samp(x)', 'x', 20)}) / (({full('avg(x)', 'x', 20)}) + 1e-10)",
+         "peak_to_peak": f"(({full('max(close)', 'close', 20)}) - ({full('min(close)', 'close', 20)})) / atr", "crossings": f"({full('sum(crossing)', 'crossing', 20)}) / 40",
+         "von_neumann": f"case when count(von) {over(20)} = 20 then least(greatest(sum(von) {over(20)} / (sum(r2) {over(20)} - 20 * mr * mr + 1e-12), 0), 4) else 0 end",
+         "wavelet_entropy": f"-({full('sum(went)', 'went', 20)}) / 1e6"},
+    ),
+)
+def feat_volatility(spark, sf_dir):
+    # Returns of prices near 0 are large: both sums come out in millions.
+    return features.volatility(atr_bars(spark, sf_dir)).withColumns({c: F.col(c) / 1e6 for c in ("energy", "wavelet_entropy")})
+
+
+@query("feat_oscillators")
+def feat_oscillators(spark, sf_dir):
+    return recursive.oscillators(atr_bars(spark, sf_dir))
+
+
+@query(
+    "neutralize",
+    staged(
+        [{"x": "volume::double"}, {k: f"avg({v}) {over(48)}" for k, v in {"mx": "x", "my": "close", "mxx": "x * x", "mxy": "x * close"}.items()} | {"rows48": f"count(*) {over(48)}"},
+         {"beta": "(mxy - mx * my) / (greatest(mxx - mx * mx, 0) + 1e-10)"}],
+        {"close_neutralized": "case when rows48 >= 30 then close - (my - beta * mx) - beta * x end"}, head=EWITH + BARS, source="b1",
+    ),
+)
+def neutralize(spark, sf_dir):
+    rows = hour_bars(spark, sf_dir).withColumn("x", F.col("volume").cast("double"))
+    return selection.neutralise(rows, "close", "x", 48).select("symbol", "bucket", "close_neutralized")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars with gap flags, average true range and rolling statistics."""
+    rows = atr_bars(spark, sf_dir)
+    stats = features.rolling_stats(rows)
+    return plain(rows.join(stats, ["symbol", "bucket"]).select("symbol", "bucket", "open", "high", "low", "close", "volume", "disc", "atr", "mean_20", "std_20", "zscore_20"))
+
+
+from tidemark.plans import research  # noqa: E402, F401  (registers further queries)
