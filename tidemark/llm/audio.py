@@ -92,7 +92,7 @@ def resample(x: np.ndarray, first: int, count: int) -> np.ndarray:
     out = np.empty(count, np.float32)
     for r in range(UP):
         own = np.flatnonzero(phase == r)
-        out[own] = views[base[own] - low - TAPS] @ _phases()[r]
+        out[own] = views[base[own] - low - TAPS + 1] @ _phases()[r]
     return out
 
 
