@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct chunks that a worker remembers before it starts anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
 
 
 def default_path() -> str:
@@ -100,9 +100,17 @@ class Coder:
         # no match of the pattern reaches over such a border.
         self.odd_space = re.compile(r"^\s|\s\s|\s$")
         self.known: dict[str, tuple[str, bytes, int]] = {}
+        self.merged: dict[str, list[int]] = {}
+
+    def piece(self, text: str) -> list[int]:
+        """Ids of a piece; chunks that differ in punctuation share their words."""
+        got = self.merged.get(text)
+        if got is None:
+            got = self.merged[text] = merge(text.encode(), self.ranks)
+        return got
 
     def learn(self, chunk: str) -> tuple[str, bytes, int]:
-        ids = [i for p in self.pattern.findall(chunk) for i in merge(p.encode(), self.ranks)]
+        ids = [i for p in self.pattern.findall(chunk) for i in self.piece(p)]
         got = ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids]), len(ids)
         self.known[chunk] = got
         return got
@@ -119,6 +127,7 @@ class Coder:
         """Ids joined by commas, the bytes that they decode to, and their number."""
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
+            self.merged.clear()
         get, learn = self.known.get, self.learn
         got = [get(c) or learn(c) for c in self.chunks(text or "")]
         return ",".join([g[0] for g in got]), b"".join([g[1] for g in got]), sum([g[2] for g in got])
