@@ -153,3 +153,30 @@ def test_stream_matches_batch(spark):
     batch = bars.ohlcv(source.event_ticks(spark, SF), ("H1",)).select("symbol", "bucket", "open", "high", "low", "close", "volume")
     assert live.count() > 0 and live.exceptAll(batch).count() == 0
     assert batch.count() - live.count() <= 10  # bars that the watermark has not closed
+
+
+def test_kama_follows_a_line_and_oscillators_run(spark):
+    x = np.arange(60.0)
+    got = recursive.kama(x, 10)
+    assert np.isnan(got[:10]).all() and got[-1] > x[-1] - 3
+    rng = np.random.default_rng(3)
+    close = 100 + np.cumsum(rng.normal(size=200))
+    rows = [("a", at(60 * i), float(c + 1), float(c - 1), float(c), 1.0) for i, c in enumerate(close)]
+    df = spark.createDataFrame(rows, "symbol string, bucket timestamp, high double, low double, close double, atr double")
+    last = recursive.adaptive(df).orderBy("bucket").collect()[-1]
+    assert 0 <= last.stoch_rsi <= 100 and 0 <= last.schaff <= 100 and abs(last.mass_index - 20) < 0.1
+
+
+def test_learners(spark):
+    from tidemark.operators import learn
+
+    rng = np.random.default_rng(0)
+    rows = [(i, float(a), float(b), int(a + 0.3 * b > 0), i % 3) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int, fold int")
+    scored = learn.out_of_fold(df, ["a", "b"], "y", "fold", 3)
+    assert scored.count() == 600
+    assert analytics.roc_auc(scored.withColumnRenamed("prediction", "score"), "score", "y").first().auc > 0.9
+    fixed = learn.calibrated(scored, "prediction", "y").select("prediction", "calibrated").orderBy("prediction").collect()
+    assert all(a.calibrated <= b.calibrated + 1e-9 for a, b in zip(fixed, fixed[1:]))
+    assert [n for n, _ in learn.importances(df, ["a", "b"], "y")][0] == "a"
+    assert 0.1 < learn.bad_trade_filter(df, ["a", "b"], "y").agg(F.avg(F.col("skip").cast("int"))).first()[0] < 0.3

@@ -260,3 +260,31 @@ def volatility(bars: DataFrame, n: int = 20) -> DataFrame:
         F.least(F.greatest(R.sum("von", n) / (R.sum("r2", n) - n * mean * mean + 1e-12), F.lit(0.0)), F.lit(4.0)).alias("von_neumann"),
         (-R.sum(F.col("r2") * F.log2(F.col("r2") + EPS), n)).alias("wavelet_entropy"),
     )
+
+
+def oscillators(bars: DataFrame, n: int = 20) -> DataFrame:
+    """Commodity channel index, ultimate oscillator, stabilised price, volatility regime, data quality."""
+    h, l, c = F.col("high"), F.col("low"), F.col("close")
+    before = R.lag("close")
+    rows = bars.withColumns(
+        {
+            "tp": (h + l + c) / 3,
+            "bp": c - F.least(l, before),
+            "rng": F.greatest(h, before) - F.least(l, before),
+            "r": R.pct("close"),
+        }
+    )
+    rows = rows.withColumns({"tps": R.values("tp", n), "tpm": R.mean("tp", n), "hv": R.std("r", n)})
+    dev = F.aggregate("tps", F.lit(0.0), lambda s, v: s + F.abs(v - F.col("tpm"))) / n
+    average = lambda k: R.sum("bp", k) / (R.sum("rng", k) + EPS)
+    lo, hi = R.min("close", n), R.max("close", n)
+    q60, q80 = R.quantile("hv", 0.6, 3 * n), R.quantile("hv", 0.8, 3 * n)
+    regime = F.coalesce((F.col("hv") > q80).cast("int") + (F.col("hv") > q60).cast("int"), F.lit(0))
+    return rows.select(
+        *KEYS,
+        ((F.col("tp") - F.col("tpm")) / (0.015 * dev + EPS)).alias("cci"),
+        (100 * (4 * average(7) + 2 * average(14) + average(28)) / 7).alias("ultimate"),
+        F.greatest(F.least(c, hi * 0.99), lo * 1.01).alias("stabilised"),
+        regime.alias("regime"),
+        F.when(F.count(F.lit(1)).over(R.last(n)) == n, 0.8 * F.count("r").over(R.last(n)) / n + 0.2).otherwise(0.0).alias("quality"),
+    )

@@ -171,3 +171,54 @@ def error_mean(df: DataFrame, error: str, a: float = 0.02, by: str = "symbol", o
     """Running mean of an error as it was before each row; 0 at first."""
     w = Window.partitionBy(by).orderBy(order)
     return ewm(df, {"_e": (error, a)}, by, order).withColumn("error_mean", F.coalesce(F.lag("_e").over(w), F.lit(0.0))).drop("_e")
+
+
+def kama(x: np.ndarray, n: int, fast: int = 2, slow: int = 30) -> np.ndarray:
+    """Adaptive moving average, started at the price; NaN before n + 1 values."""
+    out, y = np.full(len(x), np.nan), np.nan
+    step = np.abs(np.diff(x, prepend=x[:1]))
+    path = np.cumsum(step)
+    for i in range(n, len(x)):
+        walked = path[i] - path[i - n]
+        er = abs(x[i] - x[i - n]) / walked if walked > 0 else 0.0
+        c = (er * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2
+        y = x[i - 1] if math.isnan(y) else y
+        y = y + c * (x[i] - y)
+        out[i] = y
+    return out
+
+
+def adaptive(bars: DataFrame) -> DataFrame:
+    """Stochastic RSI, RSI divergence, Schaff cycle, price oscillator, KAMA, Chaikin volatility, mass index."""
+    names = ("stoch_rsi", "rsi_divergence", "schaff", "price_oscillator", "kama", "chaikin_volatility", "mass_index")
+    schema = ", ".join(["symbol string", "bucket timestamp", *(f"{c} double" for c in names)])
+    ewm_of = lambda s, a: s.ewm(alpha=a, adjust=False, ignore_na=True).mean()
+
+    def cycle(s: pd.Series, n: int) -> pd.Series:
+        low, high = s.rolling(n).min(), s.rolling(n).max()
+        return ewm_of((s - low) / (high - low + EPS) * 100, alpha(span=3))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bucket", kind="stable").reset_index(drop=True)
+        close, a = pdf["close"].astype(float), pdf["atr"]
+        d = close.diff()
+        gain, loss = ewm_of(d.clip(lower=0), 1 / 14), ewm_of((-d).clip(lower=0), 1 / 14)
+        rsi = 100 - 100 / (1 + gain / (loss + EPS))
+        low, high = rsi.rolling(14).min(), rsi.rolling(14).max()
+        macd = ewm_of(close, alpha(half_life=23)) - ewm_of(close, alpha(half_life=50))
+        fast, slow = ewm_of(close, alpha(span=12)), ewm_of(close, alpha(span=26))
+        span = pdf["high"] - pdf["low"]
+        e1 = ewm_of(span, alpha(span=10))
+        e9 = ewm_of(span, alpha(span=9))
+        out = {
+            "stoch_rsi": (rsi - low) / (high - low + EPS) * 100,
+            "rsi_divergence": (close - close.shift(14)) / (close.shift(14) + EPS) - (rsi.diff(14) / 50 - 1),
+            "schaff": cycle(cycle(macd, 10), 10),
+            "price_oscillator": (fast - slow) / (slow + EPS) * 100,
+            "kama": (pd.Series(kama(close.to_numpy(), 21)) - close) / a,
+            "chaikin_volatility": (e1 - e1.shift(10)) / (e1.shift(10) + EPS) * 100,
+            "mass_index": (e9 / (ewm_of(e9, alpha(span=9)) + EPS)).rolling(20).sum(),
+        }
+        return pd.DataFrame({"symbol": pdf["symbol"], "bucket": pdf["bucket"], **out})
+
+    return bars.select("symbol", "bucket", "high", "low", "close", "atr").groupBy("symbol").applyInPandas(run, schema)

@@ -435,6 +435,27 @@ def feat_volatility(spark, sf_dir):
     return features.volatility(atr_bars(spark, sf_dir)).withColumns({c: F.col(c) / 1e6 for c in ("energy", "wavelet_entropy")})
 
 
+@query(
+    "feat_cycles",
+    staged(
+        [{"tp": "(high + low + close) / 3", "bp": "case when pc is null then close - low else close - least(low, pc) end", "rng": "case when pc is null then high - low else greatest(high, pc) - least(low, pc) end", "r": "(close - pc) / nullif(pc, 0)"},
+         {"tps": full("list(tp)", "tp", 20), "tpm": full("avg(tp)", "tp", 20), "hv": full("stddev_samp(r)", "r", 20), "lo": full("min(close)", "close", 20), "hi": full("max(close)", "close", 20)},
+         {"q60": full("quantile_cont(hv, 0.6)", "hv", 60), "q80": full("quantile_cont(hv, 0.8)", "hv", 60), "dv": "list_sum([abs(v - tpm) for v in tps]) / 20"}],
+        {"cci": "(tp - tpm) / (0.015 * dv + 1e-10)",
+         "ultimate": "100 * (" + " + ".join(f"{w} * (({full('sum(bp)', 'bp', k)}) / (({full('sum(rng)', 'rng', k)}) + 1e-10))" for w, k in ((4, 7), (2, 14), (1, 28))) + ") / 7",
+         "stabilised": "case when hi is null then close else greatest(least(close, hi * 0.99), lo * 1.01) end", "regime": "coalesce((hv > q80)::int + (hv > q60)::int, 0)",
+         "quality": f"case when count(*) {over(20)} = 20 then 0.8 * count(r) {over(20)} / 20 + 0.2 else 0.0 end"},
+    ),
+)
+def feat_cycles(spark, sf_dir):
+    return features.oscillators(atr_bars(spark, sf_dir))
+
+
+@query("feat_adaptive")
+def feat_adaptive(spark, sf_dir):
+    return recursive.adaptive(atr_bars(spark, sf_dir))
+
+
 @query("feat_oscillators")
 def feat_oscillators(spark, sf_dir):
     return recursive.oscillators(atr_bars(spark, sf_dir))

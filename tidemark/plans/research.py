@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import Rolling
-from tidemark.operators import analytics, kernels, recursive, selection, simulate
+from tidemark.operators import analytics, kernels, learn, recursive, selection, simulate
 from tidemark.plans.catalogue import BARS, EWITH, atr_bars, hour_bars, query
 from tidemark.streaming import bars as stream
 
@@ -275,6 +275,24 @@ def portfolio_sim(spark, sf_dir):
     return simulate.portfolio(rows, threshold=0.7)
 
 
+@query("oof_scores")
+def oof_scores(spark, sf_dir):
+    rows = trades(spark, sf_dir).select("id", F.col("size").cast("double").alias("size"), F.col("tax").cast("double").alias("tax"), "held", (F.col("pnl") < 0).cast("int").alias("bad"))
+    rows = rows.withColumn("fold", F.pmod(F.col("id"), F.lit(3)).cast("int"))
+    return learn.out_of_fold(rows, ["size", "tax", "held"], "bad", "fold", 3, depth=2, rounds=3).select("id", "fold", "bad", "prediction")
+
+
+@query("isotonic_calibration")
+def isotonic_calibration(spark, sf_dir):
+    return learn.calibrated(_scored(spark, sf_dir).withColumn("score", F.col("score").cast("double")), "score", "label").select("doc_id", "score", "calibrated")
+
+
+@query("bad_trade_filter")
+def bad_trade_filter(spark, sf_dir):
+    rows = trades(spark, sf_dir).select("id", F.col("size").cast("double").alias("size"), F.weekday("day").cast("double").alias("weekday"), (F.col("pnl") < 0).cast("int").alias("bad"))
+    return learn.bad_trade_filter(rows, ["size", "weekday"], "bad").select("id", "bad_score", "skip")
+
+
 @query("event_state_fold")
 def event_state_fold(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
