@@ -179,4 +179,6 @@ def test_learners(spark):
     fixed = learn.calibrated(scored, "prediction", "y").select("prediction", "calibrated").orderBy("prediction").collect()
     assert all(a.calibrated <= b.calibrated + 1e-9 for a, b in zip(fixed, fixed[1:]))
     assert [n for n, _ in learn.importances(df, ["a", "b"], "y")][0] == "a"
-    assert 0.1 < learn.bad_trade_filter(df, ["a", "b"], "y").agg(F.avg(F.col("skip").cast("int"))).first()[0] < 0.3
+    # A label with noise: scores of a separable one are all 0 or 1, and ties at the edge are skipped.
+    noisy = df.withColumn("y", (F.col("a") + F.lit(2.0) * (F.pmod(F.xxhash64("id"), F.lit(100)) / 100.0 - 0.5) > 0).cast("int"))
+    assert 0.1 < learn.bad_trade_filter(noisy, ["a", "b"], "y").agg(F.avg(F.col("skip").cast("int"))).first()[0] < 0.3
