@@ -45,6 +45,8 @@ from tidemark.llm.common import materialise
 SHINGLE = 5
 #: Documents of a region that is joined whole.
 SMALL = 8
+#: Pivots of a large region in its first round.
+FIRST_PIVOTS = 8
 #: Low hashes that a reducing task takes, about.
 TASK_HASHES = 1_500_000
 #: Ids in a broadcast at most; beyond it, joins shuffle.
@@ -266,15 +268,27 @@ def connected(edges: DataFrame) -> DataFrame:
     return spark.createDataFrame([], out.schema) if before is None else out.unionByName(tops)
 
 
+def joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components with more links: only the links between components are contracted anew."""
+    left, right = (comp.select(F.col("node").alias(k), F.col("comp").alias(f"c_{k}")) for k in ("a", "b"))
+    named = edges.join(left, "a", "left").join(right, "b", "left")
+    ends = named.select("a", "b", F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y"))
+    ends = materialise(ends.filter("x <> y"), "joining")
+    tops = connected(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    tops = tops.select(F.col("node").alias("t"), F.col("comp").alias("top"))
+    nodes = comp.unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("comp")), F.struct(F.col("b").alias("node"), F.col("y").alias("comp")))).alias("e")).select("e.*")).distinct()
+    return materialise(nodes.join(tops, F.col("comp") == F.col("t"), "left").select("node", F.coalesce("top", "comp").alias("comp")), "components")
+
+
 def _pivot_rounds(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """Links among the members (region, node, n, large) of large regions, added to those known.
+    """node, comp with the links among the members (region, node, n, large) of large regions added to those known.
 
     A pair that shares a hash of a small region has been decided there; all that
     any other pair shares lies in large regions, of which a document has `large`.
     """
     number = done = 0
+    comp = connected(links)
     while True:
-        comp = connected(links)
         state = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         # Regions of more than one component; one whose members have all been pivots is decided.
         left = state.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
@@ -282,13 +296,14 @@ def _pivot_rounds(members: DataFrame, sets: DataFrame, links: DataFrame) -> Data
         state = state.join(left.select("region"), "region")
         state = materialise(state, "regions")
         if state.isEmpty():
-            return links
-        # The next pivots in an order that all regions share, so that they choose alike: 1, 4, 16, ...
+            return comp
+        # The next pivots in an order that all regions share, so that they choose alike: 8, 32, 128, ...
+        more = FIRST_PIVOTS * 4**number
         order = Window.partitionBy("region").orderBy(F.xxhash64("node"), "node")
-        pivots = state.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= done + 4**number)
+        pivots = state.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= done + more)
         pivots = pivots.filter(F.col("nth") > done).select(
             "region", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("large").alias("large_p"),
-            F.col("comp").alias("comp_p"), F.col("far").alias("far_p"),
+            F.col("comp").alias("comp_p"), F.col("far").alias("far_p"), "nth",
         )
         # The triangle inequality through the first pivot: distances of linked documents differ by 0.2 at most.
         window = F.coalesce(F.abs(F.col("far") - F.col("far_p")) <= 0.2 + 1e-9, F.lit(True))
@@ -301,15 +316,15 @@ def _pivot_rounds(members: DataFrame, sets: DataFrame, links: DataFrame) -> Data
             .distinct()
         )
         measured = materialise(measure(pairs, sets), "measured")
-        links = materialise(links.unionByName(measured.filter(linked()).select("a", "b")), "links")
         if number == 0:
             far = measured.select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("d"))
-            first = state.join(pivots.select("region", "p"), "region").select("region", "node", "p")
+            first = state.join(pivots.filter("nth = 1").select("region", "p"), "region").select("region", "node", "p")
             first = first.select("region", "node", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
             d = first.join(far, ["a", "b"]).select("region", "node", "d")
             members = members.join(d, ["region", "node"], "left")
             members = materialise(members.withColumn("far", F.coalesce("d", "far")).drop("d"), "members")
-        done += 4**number
+        comp = joined(comp, measured.filter(linked()).select("a", "b"))
+        done += more
         number += 1
 
 
@@ -366,8 +381,7 @@ def components(docs: DataFrame) -> DataFrame:
     members = materialise(members, "members")
     every = pairs.union(more).distinct()
     links = materialise(measure(every, sets).filter(linked()).select("a", "b"), "links")
-    links = _pivot_rounds(members, sets, links)
-    comp = connected(links)
+    comp = _pivot_rounds(members, sets, links)
     rows = named.join(comp, "node", "left").withColumn("c", F.coalesce("comp", "node"))
     return rows.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
