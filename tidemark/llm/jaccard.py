@@ -45,6 +45,8 @@ from tidemark.llm.common import materialise
 SHINGLE = 5
 #: Documents of a region that is joined whole.
 SMALL = 8
+#: First regions of a document that tell whether a pair has come up before.
+HEAD = 8
 #: Pivots of a large region in its first round.
 FIRST_PIVOTS = 8
 #: Low hashes that a reducing task takes, about.
@@ -280,6 +282,19 @@ def joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
     return materialise(nodes.join(tops, F.col("comp") == F.col("t"), "left").select("node", F.coalesce("top", "comp").alias("comp")), "components")
 
 
+def _prefixes(member: DataFrame) -> DataFrame:
+    """region, node, n, large, head, far: each document in the first of its large regions only.
+
+    Two that must share ceil(0.8 n) of n hashes in large regions share one of the
+    first large - ceil(0.8 n) + 1 of each. head: the first HEAD of these.
+    """
+    own = member.groupBy("node", "n", "large").agg(F.array_sort(F.collect_list("region")).alias("all"))
+    own = own.withColumn("all", F.slice("all", F.lit(1), (F.col("large") - F.ceil(F.col("n") * 8 / 10 - 1e-9) + 1).cast("int")))
+    return own.select(
+        F.explode("all").alias("region"), "node", "n", "large", F.slice("all", 1, HEAD).alias("head"), F.lit(None).cast("double").alias("far")
+    )
+
+
 def _pivot_rounds(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """node, comp with the links among the members (region, node, n, large) of large regions added to those known.
 
@@ -303,7 +318,7 @@ def _pivot_rounds(members: DataFrame, sets: DataFrame, links: DataFrame) -> Data
         pivots = state.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= done + more)
         pivots = pivots.filter(F.col("nth") > done).select(
             "region", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("large").alias("large_p"),
-            F.col("comp").alias("comp_p"), F.col("far").alias("far_p"), "nth",
+            F.col("comp").alias("comp_p"), F.col("far").alias("far_p"), F.col("head").alias("head_p"), "nth",
         )
         # The triangle inequality through the first pivot: distances of linked documents differ by 0.2 at most.
         window = F.coalesce(F.abs(F.col("far") - F.col("far_p")) <= 0.2 + 1e-9, F.lit(True))
@@ -312,6 +327,8 @@ def _pivot_rounds(members: DataFrame, sets: DataFrame, links: DataFrame) -> Data
             .filter((F.col("comp") != F.col("comp_p")) & (F.col("node") != F.col("p")))
             .filter((5 * F.least("n", "n_p") >= 4 * F.greatest("n", "n_p")) & window)
             .filter(F.least("large", "large_p") >= enough("n", "n_p") - 1)
+            # A pair that shares an earlier region of both heads comes up there.
+            .filter(~F.exists(F.array_intersect("head", "head_p"), lambda r: r < F.col("region")))
             .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
             .distinct()
         )
@@ -377,8 +394,7 @@ def components(docs: DataFrame) -> DataFrame:
     small, member, large = _join_regions(again, int(total), sets.rdd.getNumPartitions())
     more = materialise(_enough(small, large, enough("n_a", "n_b")).select("a", "b"), "more-pairs")
     common = large.filter(is_common(F.col("n"), F.col("large")))
-    members = member.join(common, ["node", "n"]).withColumn("far", F.lit(None).cast("double"))
-    members = materialise(members, "members")
+    members = materialise(_prefixes(member.join(common, ["node", "n"])), "members")
     every = pairs.union(more).distinct()
     links = materialise(measure(every, sets).filter(linked()).select("a", "b"), "links")
     comp = _pivot_rounds(members, sets, links)
