@@ -124,6 +124,21 @@ def test_sketches_merge(spark):
     assert abs(q.q50 / exact[0] - 1) < 0.03 and abs(q.q75 / exact[1] - 1) < 0.03
 
 
+def test_quality_fences_adapt(spark):
+    rng = np.random.default_rng(1)
+
+    def text(long, extra):
+        words = ["".join(rng.choice(list("abcdefghij"), rng.integers(long - 1, long + 2))) for _ in range(100)]
+        return " ".join(words + words[:extra])
+
+    rows = [(f"{lang}{i}", text(n, 0), lang, "s") for lang, n in (("xx", 4), ("yy", 8)) for i in range(300)]
+    rows += [("long", text(8, 0), "xx", "s"), ("short", text(4, 0), "yy", "s"), ("again", text(4, 14), "xx", "s")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()}
+    # Words of the other language's length fail, and so does repetition that the base rule (30 %) lets pass.
+    assert not any(got[k].base_failed or got[k].kept for k in ("long", "short", "again"))
+    assert sum(r.kept for r in got.values()) > 590
+
+
 # --- 3 and 9
 
 

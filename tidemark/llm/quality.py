@@ -34,10 +34,12 @@ GAMMA = 1.02
 LEAST = 1e-4
 #: Groups with fewer rows borrow the sketch of their language, then of all.
 LEAST_ROWS = 200
-#: A fence lies at the upper quartile and FENCE times the distance from median to upper quartile, or WIDEN at least.
-FENCE = 6.0
-#: The least distances by ratio: differences below them are no evidence.
-WIDEN = {"symbols": 0.05, "dup_lines": 0.05, "repeats": 0.05, "stutters": 0.05, "long_words": 1.0, "short_words": 1.0}
+#: The quantile by ratio at which the tail begins: higher where most texts of a group are at 0.
+TAIL = {"symbols": 0.9, "dup_lines": 0.98, "repeats": 0.98, "stutters": 0.9, "long_words": 0.9, "short_words": 0.9}
+#: A fence lies at the tail quantile and FENCE times its distance from the median, or WIDEN at least.
+FENCE = 1.5
+#: The least distances by ratio: about a bucket's width, and where quantiles can be 0 what a few words make in a text.
+WIDEN = {"symbols": 0.05, "dup_lines": 0.02, "repeats": 0.02, "stutters": 0.005, "long_words": 0.1, "short_words": 0.08}
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -143,14 +145,18 @@ def sketches(counted: DataFrame) -> DataFrame:
     )
 
 
+def _by_ratio(values: dict[str, float]) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])[F.col("ratio")]
+
+
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """q50, q75 and rows of each merged sketch by keys and ratio. A sketch has some hundreds of buckets at most."""
+    """q50, q75, tail and rows of each merged sketch by keys and ratio. A sketch has some hundreds of buckets at most."""
     merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
     grouped = merged.groupBy(*keys, "ratio").agg(
         F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b")
     )
 
-    def at(q: float) -> Column:
+    def at(q: float | Column) -> Column:
         # The first bucket whose running count reaches q of the rows.
         start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("at"))
         got = F.aggregate(
@@ -163,24 +169,24 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
         )
         return bucket_value(got["at"])
 
-    return grouped.select(*keys, "ratio", "rows", at(0.5).alias("q50"), at(0.75).alias("q75"))
+    return grouped.select(*keys, "ratio", "rows", at(0.5).alias("q50"), at(0.75).alias("q75"), at(_by_ratio(TAIL)).alias("tail"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """lang, source and the fence of each ratio, from the group's own sketch or a merged one."""
     own = quantiles(sketch, ["lang", "source"])
     lang = quantiles(sketch, ["lang"]).select(
-        F.col("lang").alias("l"), F.col("ratio").alias("r"), F.col("rows").alias("l_rows"), F.col("q50").alias("l50"), F.col("q75").alias("l75")
+        F.col("lang").alias("l"), F.col("ratio").alias("r"), F.col("rows").alias("l_rows"), F.col("q50").alias("l50"), F.col("tail").alias("l_tail")
     )
-    every = quantiles(sketch, []).select(F.col("ratio").alias("e"), F.col("q50").alias("e50"), F.col("q75").alias("e75"))
+    every = quantiles(sketch, []).select(F.col("ratio").alias("e"), F.col("q50").alias("e50"), F.col("tail").alias("e_tail"))
     both = own.join(lang, own["lang"].eqNullSafe(lang["l"]) & (own["ratio"] == lang["r"]))
     both = both.join(F.broadcast(every), F.col("ratio") == F.col("e"))  # one row for each of six ratios
 
     def pick(a: str, b: str, c: str) -> Column:
         return F.when(F.col("rows") >= LEAST_ROWS, F.col(a)).when(F.col("l_rows") >= LEAST_ROWS, F.col(b)).otherwise(F.col(c))
 
-    least = F.create_map(*[x for k, v in WIDEN.items() for x in (F.lit(k), F.lit(v))])
-    top = pick("q75", "l75", "e75") + F.lit(FENCE) * F.greatest(pick("q75", "l75", "e75") - pick("q50", "l50", "e50"), least[F.col("ratio")])
+    tail = pick("tail", "l_tail", "e_tail")
+    top = tail + F.lit(FENCE) * F.greatest(tail - pick("q50", "l50", "e50"), _by_ratio(WIDEN))
     return both.select("lang", "source", "ratio", top.alias("top")).groupBy("lang", "source").pivot("ratio", list(WIDEN)).agg(F.max("top"))
 
 
