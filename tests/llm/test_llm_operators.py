@@ -252,6 +252,18 @@ def test_html_articles(spark):
         assert html.extract(r.html) == "\n".join(filter(None, blocks))
 
 
+def test_html_story_outside_articles():
+    story = ["A story in a plain element, which is far longer than each of the cards.", "It goes on for a second paragraph of this kind, and ends here."]
+    cards = "".join(f"<article><h3><a href=x>Card {i}</a></h3><p>Teaser {i}</p></article>" for i in range(9))
+    lead = "<div>" + "".join(f"<p>{x}</p>" for x in story) + "</div>"
+    gap = "<ul>" + "<li><a href=x>Next</a></li>" * 4 + "</ul>"
+    for page in (f"<body>{lead}{gap}<article><p>One item</p></article></body>", f"<body><article><p>One item</p></article>{gap}{lead}</body>"):
+        assert html.extract(page) == "\n".join(story)
+    assert set(story) <= set(html.extract(f"<body>{lead}{cards}</body>").split("\n"))
+    # A marked article that holds more than what stands around it stays the text.
+    assert html.extract(f"<body><p>{story[0]}</p>{gap}<main>{lead}<p>More.</p></main></body>") == "\n".join([*story, "More."])
+
+
 # --- 5 and 7
 
 

@@ -5,8 +5,9 @@ block-level tags. Every line weighs the length of its text outside links; text
 of menus, headers, footers, sidebars, notices, adverts, forms and comments
 weighs nothing. The sum of weights over a sliding window of lines surges where
 the main text begins and dives to nothing where it ends; the text between is
-kept, the stretch of most text first. If a page marks its article, lines
-outside it weigh nothing.
+kept, the stretch of most text first. If a page marks articles, the largest of
+them is measured against the largest stretch outside: if it holds as much, the
+marked lines are the text; if not, marks count for nothing.
 
 Defined results: null or empty html, and pages without text, give an empty
 text; unclosed tags end with the page; repeated rows give a row each; equal
@@ -66,7 +67,7 @@ SPACE = re.compile(r"\s+")
 class Line:
     text: str
     weight: int
-    main: bool
+    region: int  # the number of the outermost marked element around the line, or 0
     aside: bool
 
 
@@ -85,17 +86,17 @@ def _is_aside(name: str, rest: str, in_main: bool) -> bool:
 def lines(page: str) -> list[Line]:
     """The blocks of a page, with what they weigh and where they stand."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: name, aside, main
+    stack: list[tuple[str, bool, int]] = []  # open block elements: name, aside, region
     text: list[str] = []
     linked, links = 0, 0
-    aside = main = False
+    aside, region, regions = False, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             line = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if line:
-                out.append(Line(line, 0 if aside else max(0, len(line) - linked), main, aside))
+                out.append(Line(line, 0 if aside else max(0, len(line) - linked), region, aside))
             text.clear()
         linked = 0
 
@@ -122,7 +123,7 @@ def lines(page: str) -> list[Line]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if k >= 0:
                 del stack[k:]
-                aside, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                aside, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         else:
             flush()
             links = 0
@@ -131,10 +132,11 @@ def lines(page: str) -> list[Line]:
             # A paragraph or list item that was left open ends where the next begins.
             if name in HEADINGS and stack and stack[-1][0] in HEADINGS and (name == stack[-1][0] or stack[-1][0] == "p"):
                 stack.pop()
-                aside, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            main = main or name in MAIN
-            aside = aside or _is_aside(name, m["rest"], main)
-            stack.append((name, aside, main))
+                aside, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            if name in MAIN and not region:
+                region = regions = regions + 1
+            aside = aside or _is_aside(name, m["rest"], region > 0)
+            stack.append((name, aside, region))
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -169,15 +171,20 @@ def extract(page: str | None) -> str:
     """The main text of a page, blocks joined by a line feed."""
     if not page:
         return ""
-    found = lines(page)
-    if any(x.main and x.weight for x in found):
-        found = [x for x in found if x.main]
-    found = [x for x in found if not x.aside]
-    # Within a marked article links are text as well.
-    weights = [len(x.text) if x.main else x.weight for x in found]
+    found = [x for x in lines(page) if not x.aside]
+    marked: dict[int, int] = {}
+    for x in found:
+        if x.region and x.weight:
+            marked[x.region] = marked.get(x.region, 0) + x.weight
+    if marked:
+        outside = [0 if x.region else x.weight for x in found]
+        if max(marked.values()) >= max((sum(outside[a:b]) for a, b in stretches(outside)), default=0):
+            # Within a marked article links are text as well.
+            return "\n".join(x.text for x in found if x.region)
+    weights = [x.weight for x in found]
     if not any(weights):
         return ""
-    spans = stretches(weights, surge=1 if found[0].main else SURGE) or stretches(weights, surge=1)
+    spans = stretches(weights) or stretches(weights, surge=1)
     # From the first to the last of those that hold a fair share of what the largest one holds.
     size = [sum(weights[a:b]) for a, b in spans]
     spans = [s for s, z in zip(spans, size) if z >= 0.2 * max(size)]
