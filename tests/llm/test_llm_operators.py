@@ -264,6 +264,21 @@ def test_html_story_outside_articles():
     assert html.extract(f"<body><p>{story[0]}</p>{gap}<main>{lead}<p>More.</p></main></body>") == "\n".join([*story, "More."])
 
 
+def test_html_names_that_hide_nothing():
+    for wrap in ("class='overflow-hidden'", "aria-hidden='false'", "data-hidden-x", "title='hidden gems'", "class='with-sidebar'"):
+        assert html.extract(f"<body><div {wrap}><article><p>Text of it.</p></article></div></body>") == "Text of it.", wrap
+    for part in ("<h2 id='related-work'>A</h2>", "<h2 id='search'>A</h2>", "<h2 class='banner'>A</h2>", "<div class='share-of-voice'>A</div>", "<div id='search'>A</div>", "<p id='notice'>A</p>"):
+        assert html.extract(f"<article><p>Text.</p>{part}</article>") == "Text.\nA", part
+    for part in ("<div hidden>A</div>", "<p aria-hidden=true>A</p>", "<div style='display: none'>A</div>", "<div class='share-buttons'>A</div>", "<div class='x post-comments' id=c>A</div>", "<div id='comments'>A</div>"):
+        assert html.extract(f"<article><p>Text.</p>{part}</article>") == "Text.", part
+
+
+def test_html_keeps_the_end():
+    long = "A paragraph of the story that is long enough to be the text of a page. " * 8
+    page = f"<body><div><h1>Head</h1><p>{long}</p>" + "<p><a href=x>See this</a></p>" * 3 + "<p>The closing words.</p></div><div>2020</div></body>"
+    assert html.extract(page).split("\n") == ["Head", long.strip(), *["See this"] * 3, "The closing words."]
+
+
 # --- 5 and 7
 
 

@@ -39,16 +39,24 @@ INLINE = frozenset(
 )
 #: Elements that hold no main text, whatever they say.
 ASIDE = frozenset("nav footer aside form button select option menu dialog fieldset datalist head".split())
-#: Words of class, id and role that name such elements.
+#: Words of class, id and role that name such elements, whole or beside words of layout alone.
 NAMED = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|menubar|modal|nav|"
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|menubar|modal|nav|"
     r"navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|"
-    r"sidebar|social|sponsor\w*|subscribe|toolbar|topbar|widget|complementary|contentinfo|search)(?:$|[-_\s])",
+    r"sidebar|social|sponsor\w*|subscribe|toolbar|topbar|widget|complementary|contentinfo|search",
     re.I,
 )
-REPLIES = re.compile(r"(?:^|[-_\s])(?:comments?|replies|reply)(?:$|[-_\s])", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+REPLIES = re.compile(r"comments?|replies|reply", re.I)
+LAYOUT = re.compile(
+    r"\d*|main|primary|secondary|site|page|global|post|posts|article|articles|top|bottom|left|right|inner|outer|header|box|block|bar|"
+    r"list|item|items|container|wrapper|wrap|section|area|region|panel|group|row|col|column|slot|unit|button|buttons|link|links|icons?|"
+    r"form|body|text|content|thread|signup|overlay|stories|google|js",
+    re.I,
+)
+PART = re.compile(r"[-_]")
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 MAIN = frozenset(["article", "main"])
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p li dd dt td th blockquote pre figcaption".split())
 
 TOKEN = re.compile(
@@ -59,7 +67,7 @@ TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
 
@@ -69,6 +77,16 @@ class Line:
     weight: int
     region: int  # the number of the outermost marked element around the line, or 0
     aside: bool
+    holder: int  # the number of the element around the line's paragraph, heading or item, or 0
+
+
+def _names(value: str, words: re.Pattern[str]) -> bool:
+    """Whether a name in an attribute is made of `words` and words of layout, one of `words` at least."""
+    for name in value.split():
+        parts = PART.split(name)
+        if any(map(words.fullmatch, parts)) and all(words.fullmatch(x) or LAYOUT.fullmatch(x) for x in parts):
+            return True
+    return False
 
 
 def _is_aside(name: str, rest: str, in_main: bool) -> bool:
@@ -76,27 +94,35 @@ def _is_aside(name: str, rest: str, in_main: bool) -> bool:
         return True
     if not rest or name in ("html", "body"):
         return False
+    own: dict[str, str] = {}
+    for key, a, b, c in ATTRIBUTE.findall(rest):
+        own.setdefault(key.lower(), a or b or c)
+    if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or HIDDEN.search(own.get("style", "")):
+        return True
+    if name in TITLES:
+        return False
     if name in MAIN:
-        return any(REPLIES.search(a or b or c) for a, b, c in ATTRIBUTE.findall(rest))
-    if HIDDEN.search(rest):
+        return any(_names(own.get(k, ""), REPLIES) for k in ("class", "id", "role"))
+    if _names(own.get("class", ""), NAMED) or _names(own.get("role", ""), NAMED):
         return True
-    return any(NAMED.search(a or b or c) for a, b, c in ATTRIBUTE.findall(rest))
+    # The id of a text block, or of a part of the article, is an anchor: it names its subject.
+    return name not in HEADINGS and _names(own.get("id", ""), REPLIES if in_main else NAMED)
 
 
 def lines(page: str) -> list[Line]:
     """The blocks of a page, with what they weigh and where they stand."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, int]] = []  # open block elements: name, aside, region
+    stack: list[tuple[str, bool, int, int]] = []  # open block elements: name, aside, region, holder
     text: list[str] = []
     linked, links = 0, 0
-    aside, region, regions = False, 0, 0
+    aside, region, regions, holder, holders = False, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             line = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if line:
-                out.append(Line(line, 0 if aside else max(0, len(line) - linked), region, aside))
+                out.append(Line(line, 0 if aside else max(0, len(line) - linked), region, aside, holder))
             text.clear()
         linked = 0
 
@@ -123,7 +149,7 @@ def lines(page: str) -> list[Line]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if k >= 0:
                 del stack[k:]
-                aside, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                aside, region, holder = stack[-1][1:] if stack else (False, 0, 0)
         else:
             flush()
             links = 0
@@ -132,11 +158,13 @@ def lines(page: str) -> list[Line]:
             # A paragraph or list item that was left open ends where the next begins.
             if name in HEADINGS and stack and stack[-1][0] in HEADINGS and (name == stack[-1][0] or stack[-1][0] == "p"):
                 stack.pop()
-                aside, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                aside, region, holder = stack[-1][1:] if stack else (False, 0, 0)
             if name in MAIN and not region:
                 region = regions = regions + 1
             aside = aside or _is_aside(name, m["rest"], region > 0)
-            stack.append((name, aside, region))
+            if name not in HEADINGS:
+                holder = holders = holders + 1
+            stack.append((name, aside, region, holder))
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -188,7 +216,10 @@ def extract(page: str | None) -> str:
     # From the first to the last of those that hold a fair share of what the largest one holds.
     size = [sum(weights[a:b]) for a, b in spans]
     spans = [s for s, z in zip(spans, size) if z >= 0.2 * max(size)]
-    first, last = spans[0][0], spans[-1][1]
+    # And on to every line of text in the elements that hold them: a closing paragraph after links is no end of the text.
+    own = {found[i].holder for a, b in spans for i in range(a, b) if weights[i]}
+    there = [i for i, x in enumerate(found) if weights[i] and x.holder in own]
+    first, last = min(spans[0][0], there[0]), max(spans[-1][1], there[-1] + 1)
     # A short line right above, such as a heading, belongs to the text.
     while first and weights[first - 1]:
         first -= 1
