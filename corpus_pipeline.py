@@ -20,14 +20,11 @@ from tidemark.llm import jaccard, language, packing, toxicity
 from tidemark.llm.common import materialise, table
 from tidemark.session import prepare
 
-#: A text is rejected where no language can be told, or none with at least this score.
-LEAST_LANGUAGE_SCORE = 0.2
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be told."""
+    """Keeps documents whose language can be told and whose text is as near to it as labelled rows are."""
     found = language.identify(docs, language.train(docs))
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & F.col("near")).select("row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

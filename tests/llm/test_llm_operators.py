@@ -293,6 +293,16 @@ def test_language(docs, odd, none):
     assert language.identify(docs, language.train(none)).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_stage_rejects_other_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    junk = ["a 1234 5678 #### $$ 000", "Это предложение написано на русском языке, и ему здесь не место.", "今日はとても良い天気ですね。散歩に行きましょう。", "qzxv wkjq zzxq pqow xkcd vbnm"]
+    own = docs.limit(0).unionByName(docs.select(F.explode(F.array(*map(F.lit, junk))).alias("text")).distinct(), allowMissingColumns=True)
+    every = docs.unionByName(own.withColumn("doc_id", F.lit(-1).cast(docs.schema["doc_id"].dataType)))
+    got = corpus_pipeline.language_stage(spark, every, SF)
+    assert got.filter("doc_id = -1").count() == 0
+    assert got.count() >= 0.98 * docs.count()
+
+
 def test_kernel_equals_plain(docs):
     texts = [r.text for r in docs.limit(12).collect()]
     model = language.fit([("x", t) for t in texts[:6]] + [("y", t) for t in texts[6:]])

@@ -5,7 +5,9 @@ The kernel of two texts is a blended spectrum of presence: for each length n of
 that both hold, over the geometric mean of what each holds; the lengths are
 averaged. Landmarks give a Nyström approximation of kernel ridge regression,
 one against the rest for each language; a batch is scored by two matrix
-products.
+products. A softmax says which language is nearest, not that any is near; for
+that, the share of a text's distinct 3-grams that any landmark holds is
+measured against what labelled rows of the language show.
 
 Defined results: a text that is null or has no letter gets `und` with score 0;
 texts are read whole; equal texts get equal predictions; an empty table gives
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from pyspark.sql import types as T
 
 UNDETERMINED = "und"
 LENGTHS = (1, 2, 3)
+#: Labelled rows set how much of a text may be unknown; so many times as much is let pass.
+SLACK = 3.0
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -68,9 +72,15 @@ class Model:
     vocab: list[np.ndarray]
     marks: list[np.ndarray]
     weights: np.ndarray
+    #: The least share of known 3-grams by language.
+    least: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def kernel(self, texts: list[str], grams: Grams) -> np.ndarray:
         """Rows: texts; columns: landmarks."""
+        return self.measure(texts, grams)[0]
+
+    def measure(self, texts: list[str], grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """The kernel, and each text's share of distinct n-grams of the greatest length that landmarks hold."""
         k = np.zeros((len(texts), self.marks[0].shape[1]), np.float32)
         held = [np.zeros((len(texts), len(v)), np.float32) for v in self.vocab]
         size = np.ones((len(texts), len(LENGTHS)), np.float32)
@@ -81,22 +91,25 @@ class Model:
                 held[n][i] = grams.seen[n][v] >= first
         for n, m in enumerate(self.marks):
             k += (held[n] @ m) / np.sqrt(size[:, n : n + 1])
-        return k / len(LENGTHS)
+        return k / len(LENGTHS), held[-1].sum(1) / size[:, -1]
 
-    def predict(self, texts: list[str | None], grams: Grams, block: int = 256) -> tuple[list[str], np.ndarray]:
-        names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[str | None], grams: Grams, block: int = 256) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and whether a text is as near to its language as labelled rows are."""
+        names, score, near = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         if not self.langs:
-            return names, score
+            return names, score, near
         there = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
         for at in range(0, len(there), block):
             part = there[at : at + block]
-            f = self.kernel([texts[i] for i in part], grams).astype(np.float64) @ self.weights
+            k, known = self.measure([texts[i] for i in part], grams)
+            f = k.astype(np.float64) @ self.weights
             p = np.exp(6 * (f - f.max(1, keepdims=True)))
             p /= p.sum(1, keepdims=True)
             best = p.argmax(1)
+            near[part] = known >= self.least[best]
             for i, b, row in zip(part, best, p):
                 names[i], score[i] = self.langs[b], round(float(row[b]), 6)
-        return names, score
+        return names, score, near
 
 
 def labelled_sample(docs: DataFrame, per_lang: int, max_langs: int) -> list[tuple[str, str]]:
@@ -131,10 +144,12 @@ def fit(sample: list[tuple[str, str]], landmarks_per_lang: int = 32, ridge: floa
     if not langs:
         return Model([], [], [], np.zeros((0, 0)))
     grams, taken, marks = Grams(), dict.fromkeys(langs, 0), []
-    for lang, text in sample:
+    marked = []
+    for at, (lang, text) in enumerate(sample):
         if taken[lang] < landmarks_per_lang:
             taken[lang] += 1
             marks.append(text)
+            marked.append(at)
     sets = [[np.unique(c) for c in grams.codes(t)] for t in marks]
     vocab, dense = [], []
     for n in range(len(LENGTHS)):
@@ -147,9 +162,11 @@ def fit(sample: list[tuple[str, str]], landmarks_per_lang: int = 32, ridge: floa
     model = Model(langs, vocab, dense, np.zeros((len(marks), len(langs))))
     k_mm = model.kernel(marks, grams).astype(np.float64)
     a, b = ridge * len(sample) * k_mm, np.zeros_like(model.weights)
+    known = np.zeros(len(sample))
     for at in range(0, len(sample), 256):
         part = sample[at : at + 256]
-        k = model.kernel([t for _, t in part], grams).astype(np.float64)
+        k, known[at : at + 256] = model.measure([t for _, t in part], grams)
+        k = k.astype(np.float64)
         y = np.array([[1.0 if lang == own else -1.0 for own in langs] for lang, _ in part])
         # Each language weighs the same, however many rows it has.
         w = np.array([[1.0 / sum(1 for x, _ in sample if x == lang)] for lang in langs])
@@ -157,16 +174,22 @@ def fit(sample: list[tuple[str, str]], landmarks_per_lang: int = 32, ridge: floa
         a += k.T @ (w * k)
         b += k.T @ (w * y)
     model.weights = np.linalg.lstsq(a + 1e-8 * np.eye(len(a)), b, rcond=None)[0]
+    # A landmark is measured against the other landmarks, as it knows all of its own.
+    there = (dense[-1] > 0).astype(np.float64)
+    known[marked] = ((there.sum(1) > 1) @ there) / np.maximum(there.sum(0), 1)
+    # SLACK times the unknown share that one in a hundred labelled rows exceeds.
+    own = np.array([langs.index(lang) for lang, _ in sample])
+    model.least = np.array([1 - SLACK * (1 - np.quantile(known[own == j], 0.01)) for j in range(len(langs))])
     return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every column of docs as struct `row`, with lang_pred and score."""
+    """Every column of docs as struct `row`, with lang_pred, score and near (whether the text is near its language at all)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     nested = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     out = T.StructType(
-        [*nested.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        [*nested.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("near", T.BooleanType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +197,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                names, score = shared.value.predict(part.column(0).field(text).to_pylist(), grams)
+                names, score, near = shared.value.predict(part.column(0).field(text).to_pylist(), grams)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names, pa.string()), pa.array(score)], ["row", "lang_pred", "score"]
+                    [part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(near)], ["row", "lang_pred", "score", "near"]
                 )
 
     return nested.mapInArrow(run, out)
