@@ -465,6 +465,17 @@ def test_quotes(spark):
     assert quoting.conversations(spark.createDataFrame([], MSG)).count() == 0
 
 
+def test_quotes_positions_of_conversations(spark):
+    rows = [
+        (None, 1, "a", "First words."), (None, 2, "b", "> First words.\nSecond words."), (None, 3000, "c", "> Second words.\nThird words."),
+        (7, 10, "7:0", "> Second words.\nA thread."), (7, 11, "7:1", "Goes on."), (8, 12, "8:0", "> Goes on.\nAnother thread."), (None, 5, "z", "Alone."),
+    ]
+    got = {r.id: r for r in quoting.conversations(spark.createDataFrame(rows, MSG)).collect()}
+    assert {k: r.position for k, r in got.items()} == {"a": 1, "b": 2, "7:0": 3, "7:1": 4, "8:0": 5, "c": 6, "z": 1}
+    assert {got[k].conversation for k in ("a", "b", "c", "7:1", "8:0")} == {"ma"}
+    assert all(r.parent is None or got[r.parent].position < r.position for r in got.values())
+
+
 def test_quotes_hot_thread_and_line(spark):
     rows = [(1, i, f"1:{i}", f"> same line\nown {i}" if i else "same line") for i in range(3000)]
     rows += [(2 + i, 0, f"{2 + i}:0", "same line") for i in range(500)]

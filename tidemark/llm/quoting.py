@@ -110,46 +110,58 @@ def roots(edges: DataFrame) -> DataFrame:
     return state
 
 
+def blocks_before(rows: DataFrame, key: str) -> DataFrame:
+    """bt, bb, before, last: of each block of a key's order, the rows of earlier blocks and the last of them.
+
+    Numbers within blocks of the order, then the blocks' running totals: a hot key is many small windows.
+    """
+    blocks = rows.groupBy(key, "block").agg(F.count("*").alias("size"), F.max(F.struct("ord", "id"))["id"].alias("end"))
+    whole = Window.partitionBy(key).orderBy("block")
+    return blocks.select(
+        F.col(key).alias("bt"),
+        F.col("block").alias("bb"),
+        F.coalesce(F.sum("size").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.lag("end").over(whole).alias("last"),
+    )
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """conversation, thread, ord, id, position, parent, n_quoted, n_linked, body.
 
     messages: thread (bigint or null), ord (bigint), id (string, unique), text.
-    position numbers the messages of a thread, which come after what they answer.
+    position numbers the messages of a conversation, which come after what they answer.
     """
     own = messages.select("thread", "ord", "id", parsed(F.col("text")).alias("lines"))
     own = own.withColumn("body", body(F.col("lines")))
     linked = links(own)
     rows = own.select("thread", "ord", "id", "body").join(linked, "id", "left")
-    # Numbers within blocks of the order, then the blocks' running totals: a hot thread is many small windows.
     rows = rows.withColumn("block", F.floor(F.coalesce("ord", F.lit(0)) / BLOCK))
     part = Window.partitionBy("thread", "block").orderBy("ord", "id")
-    blocks = rows.filter("thread is not null").groupBy("thread", "block").agg(F.count("*").alias("size"), F.max(F.struct("ord", "id"))["id"].alias("end"))
-    whole = Window.partitionBy("thread").orderBy("block")
-    blocks = blocks.select(
-        F.col("thread").alias("bt"),
-        F.col("block").alias("bb"),
-        F.coalesce(F.sum("size").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.lag("end").over(whole).alias("last"),
-    )
+    blocks = blocks_before(rows.filter("thread is not null"), "thread")
     hinted = rows.filter("thread is not null").select(
         "*", F.row_number().over(part).alias("nth"), F.lag("id").over(part).alias("prev")
     )
     hinted = hinted.join(blocks, (F.col("thread") == F.col("bt")) & (F.col("block") == F.col("bb"))).select(
-        "thread", "ord", "id", "body", "n_quoted", "n_linked", "parent", "parent_thread",
-        (F.col("before") + F.col("nth")).alias("position"), F.coalesce("prev", "last").alias("prev"),
+        "thread", "block", "ord", "id", "body", "n_quoted", "n_linked", "parent", "parent_thread",
+        (F.col("before") + F.col("nth")).alias("place"), F.coalesce("prev", "last").alias("prev"),
     )
     loose = rows.filter("thread is null").select(
-        "thread", "ord", "id", "body", "n_quoted", "n_linked", "parent", "parent_thread",
-        F.lit(1).cast("bigint").alias("position"), F.lit(None).cast("string").alias("prev"),
+        "thread", "block", "ord", "id", "body", "n_quoted", "n_linked", "parent", "parent_thread",
+        F.lit(1).cast("bigint").alias("place"), F.lit(None).cast("string").alias("prev"),
     )
-    every = hinted.unionByName(loose)
+    every = materialise(hinted.unionByName(loose), "quote-places")
     # A thread's first message, or a message without a thread, may answer another thread.
     node = F.coalesce(F.concat(F.lit("t"), F.col("thread")), F.concat(F.lit("m"), F.col("id")))
     above = F.coalesce(F.concat(F.lit("t"), F.col("parent_thread")), F.concat(F.lit("m"), F.col("parent")))
-    edges = every.filter((F.col("position") == 1) & F.col("parent").isNotNull()).select(node.alias("thread"), above.alias("up"))
+    edges = every.filter((F.col("place") == 1) & F.col("parent").isNotNull()).select(node.alias("thread"), above.alias("up"))
     tops = roots(edges.filter(F.col("thread") != F.col("up"))).select(F.col("thread").alias("node"), "root")
-    return every.join(tops, node == F.col("node"), "left").select(
-        F.coalesce("root", node).alias("conversation"), "thread", "ord", "id", "position",
+    found = every.join(tops, node == F.col("node"), "left").withColumn("conversation", F.coalesce("root", node))
+    # Positions are given once the roots are known, in the same order, over all threads of a conversation.
+    blocks = blocks_before(found, "conversation")
+    part = Window.partitionBy("conversation", "block").orderBy("ord", "id")
+    found = found.withColumn("nth", F.row_number().over(part))
+    return found.join(blocks, (F.col("conversation") == F.col("bt")) & (F.col("block") == F.col("bb"))).select(
+        "conversation", "thread", "ord", "id", (F.col("before") + F.col("nth")).alias("position"),
         F.coalesce("parent", "prev").alias("parent"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"),
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "body",
     )
