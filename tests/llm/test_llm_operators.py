@@ -293,6 +293,20 @@ def test_language(docs, odd, none):
     assert language.identify(docs, language.train(none)).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in range(70):
+        words = ["".join(chr(0x4E00 + 40 * n + rng.randrange(40)) for _ in range(3)) for _ in range(12)]
+        rows += [(100 * n + i, " ".join(rng.choices(words, k=20)), f"l{n}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(df, per_lang=4, landmarks_per_lang=2)
+    assert model.langs == sorted({lang for *_, lang in rows})
+    got = language.identify(df, model).select("row.lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(got)
+    assert len(language.labelled_sample(df, 4, 64)) <= 4 * 64
+
+
 def test_language_stage_rejects_other_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     junk = ["a 1234 5678 #### $$ 000", "Это предложение написано на русском языке, и ему здесь не место.", "今日はとても良い天気ですね。散歩に行きましょう。", "qzxv wkjq zzxq pqow xkcd vbnm"]

@@ -113,7 +113,7 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, per_lang: int, max_langs: int) -> list[tuple[str, str]]:
-    """At most per_lang rows for each of at most max_langs languages, by a hash of the id.
+    """At most per_lang rows for each language, by a hash of the id; fewer each, but one, where languages are over max_langs.
 
     Only rows with a language whose crc32(doc_id) mod 5 is not 0; the window's
     limit is applied in every map task, so no task gets a whole language.
@@ -121,16 +121,15 @@ def labelled_sample(docs: DataFrame, per_lang: int, max_langs: int) -> list[tupl
     own = docs.select("doc_id", "lang").filter(
         "lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 != 0"
     )
-    langs = [r[0] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    per_lang = max(1, min(per_lang, per_lang * max_langs // max(1, own.select("lang").distinct().count())))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
-        own.filter(F.col("lang").isin(langs))
-        .withColumn("nth", F.row_number().over(order))
+        own.withColumn("nth", F.row_number().over(order))
         .filter(F.col("nth") <= per_lang)
         .select("doc_id")
         .distinct()
     )
-    # At most per_lang * max_langs ids, so the broadcast has a fixed bound.
+    # At most per_lang * max_langs ids, or one for each language, so the broadcast has a fixed bound.
     rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").filter(
         "lang is not null and text is not null and crc32(cast(doc_id as string)) % 5 != 0"
     )
@@ -207,4 +206,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, landmarks_per_lang: int = 32) -> Model:
     """A model from docs' own labelled rows; the bounds of the sample are the parameters."""
-    return fit(labelled_sample(docs, per_lang, max_langs), landmarks_per_lang)
+    sample = labelled_sample(docs, per_lang, max_langs)
+    return fit(sample, max(1, min(landmarks_per_lang, landmarks_per_lang * max_langs // max(1, len({lang for lang, _ in sample})))))
