@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -284,10 +285,10 @@ def test_html_keeps_the_end():
 
 def test_language(docs, odd, none):
     model = language.train(docs, per_lang=100)
-    got = language.identify(docs, model).select("row.lang", "row.doc_id", "lang_pred", "score").collect()
+    got = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in got)
-    edge = {r.text: r for r in language.identify(odd, model).select("row.*", F.col("lang_pred").alias("p"), F.col("score").alias("s")).select("text", "p", "s").collect()}
+    edge = {r.text: r for r in language.identify(odd, model, ident="text").select("text", F.col("lang_pred").alias("p"), F.col("score").alias("s")).collect()}
     assert edge[None].p == edge[""].p == edge["12345 678"].p == "und"
     assert language.identify(none, language.train(none)).count() == 0
     assert language.identify(docs, language.train(none)).filter("lang_pred <> 'und'").count() == 0
@@ -300,11 +301,34 @@ def test_every_labelled_language_is_learned(spark):
         words = ["".join(chr(0x4E00 + 40 * n + rng.randrange(40)) for _ in range(3)) for _ in range(12)]
         rows += [(100 * n + i, " ".join(rng.choices(words, k=20)), f"l{n}") for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    model = language.train(df, per_lang=4, landmarks_per_lang=2)
+    model = language.train(df, per_lang=4, landmarks=140)
     assert model.langs == sorted({lang for *_, lang in rows})
-    got = language.identify(df, model).select("row.lang", "lang_pred").collect()
+    got = language.identify(df, model, ident="lang").collect()
     assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(got)
-    assert len(language.labelled_sample(df, 4, 64)) <= 4 * 64
+    assert len(language.labelled_sample(df, 4, 10_000, 10_000)) == 4 * 70
+    assert len(language.labelled_sample(df, 4, 70, 10_000)) == len(language.labelled_sample(df, 4, 10_000, 1)) == 70
+
+
+def test_language_sample_is_bounded_for_one_id(spark):
+    rows = [(1, f"some words number {k}", "en") for k in range(3000)] + [(2, "quelques mots", "fr")] * 50
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = Counter(lang for lang, _ in language.labelled_sample(df, 10, 1000, 1_000_000))
+    assert got == {"en": 10, "fr": 10}
+
+
+def test_ridge_equals_plain():
+    rng = random.Random(3)
+    alphabets = ("abcdef", "defghi", "ghijkl")
+    sample = [(f"l{k % 3}", "".join(rng.choices(alphabets[k % 3] + " ", k=40))) for k in range(30)]
+    model = language.fit(sample, landmarks_per_lang=5)
+    marks = [t for lang in range(3) for t in [t for own, t in sample if own == f"l{lang}"][:5]]
+    marks.sort(key=[t for _, t in sample].index)
+    k, m = (model.kernel(x, language.Grams()).astype(np.float64) for x in ([t for _, t in sample], marks))
+    y = np.array([[1.0 if lang == own else -1.0 for own in model.langs] for lang, _ in sample])
+    want = np.linalg.lstsq(k.T @ k + 1e-4 * len(sample) * m + 1e-8 * np.eye(len(m)), k.T @ y, rcond=None)[0]
+    assert np.allclose(k @ model.weights, k @ want, atol=1e-4)
+    names, score, _ = model.predict([t for _, t in sample], language.Grams())
+    assert sum(a == b for a, (b, _) in zip(names, sample)) >= 28 and all(0 <= s <= 1 for s in score)
 
 
 def test_language_stage_rejects_other_texts(spark):
@@ -355,14 +379,37 @@ def test_segments_equal_plain():
         assert [(a, b, round(s, 6)) for a, b, s in got] == [(a, b, round(s, 6)) for a, b, s in want]
 
 
+def test_segments_take_linear_time():
+    def took(n):
+        began = time.process_time()
+        toxicity.segments([100 * k for k in range(n)], [1.0] * n, 0.05)
+        toxicity.segments(list(range(0, 3 * n, 3)), [1.0] * n, 0.45)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(160_000) < 60 * took(10_000) + 0.05
+
+
+def test_extreme_value_scale():
+    rng = np.random.default_rng(4)
+    n = rng.integers(50, 500, 4000)
+    k, decay = 0.03, 0.8
+    best = np.log(k * n / rng.exponential(1.0, 4000)) / decay  # exactly this law
+    got = toxicity.solve_scale([(int(a), max(0.0, float(b))) for a, b in zip(n, best)], decay)
+    assert abs(got / k - 1) < 0.1
+    model = toxicity.Model({"bad": 3.0}, decay=0.8, scale=0.03, curve=(-4.0, 0.1, 0.1))
+    scores = [model.score("fine " * 20 + "bad " * k) for k in range(1, 40)]
+    assert scores == sorted(scores) and len(set(scores)) == len(scores)
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
-    got = toxicity.rate(docs, model).select("row.doc_id", "score", "predicted").join(labels, "doc_id").collect()
+    got = toxicity.rate(docs, model).join(labels, "doc_id").collect()
     held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     clean, bad = [r for r in held if r.toxic == 0], [r for r in held if r.toxic == 1]
     assert sum(r.predicted for r in clean) <= 0.05 * len(clean) and sum(r.predicted for r in bad) >= 0.6 * len(bad)
-    edge = toxicity.rate(odd, model).select("row.text", F.col("score").alias("s"), "predicted").collect()
+    edge = toxicity.rate(odd, model, ident="text").select("text", F.col("score").alias("s"), "predicted").collect()
     assert len(edge) == 10 and all(0 <= r.s <= 1 for r in edge)
     assert toxicity.rate(none, toxicity.train(none, labels)).count() == 0
 

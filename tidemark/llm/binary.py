@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, scratch_path
+from tidemark.llm.common import lean, materialise, scratch_path
 from tidemark.llm.tokens import default_path, word_tokenizer
 
 END = 2
@@ -154,11 +154,13 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, files: int |
                 ["number", "file", "n_docs", "n_ids"],
             )
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # A hash of the text parts the rows of one id, or of none, where they are many.
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     return (
-        own.repartitionByRange(files, F.asc_nulls_first("doc_id"))
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"))
-        .mapInArrow(run, "number bigint, file string, n_docs bigint, n_ids bigint")
+        own.repartitionByRange(files, F.asc_nulls_first("doc_id"), "mark")
+        .sortWithinPartitions(F.asc_nulls_first("doc_id"), "mark")
+        .select("doc_id", "text")
+        .mapInArrow(lean(run, "words"), "number bigint, file string, n_docs bigint, n_ids bigint")
     )
 
 
@@ -189,7 +191,7 @@ def read(manifest: DataFrame) -> DataFrame:
         placed.select("file", "start", "number")
         .repartition(max(1, manifest.rdd.getNumPartitions()), "number")
         .select("file", "start")
-        .mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+        .mapInArrow(lean(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     )
 
 

@@ -10,8 +10,10 @@ that, the share of a text's distinct 3-grams that any landmark holds is
 measured against what labelled rows of the language show.
 
 Defined results: a text that is null or has no letter gets `und` with score 0;
-texts are read whole; equal texts get equal predictions; an empty table gives
-an empty result; with no labelled row at all, every text gets `und`.
+texts are read whole; equal texts get equal predictions; of equal scores the
+language first in order is taken; repeated rows give a row each; an empty table
+gives an empty result; with no labelled row at all, every text gets `und`;
+other columns are not read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tidemark.llm.common import lean, plain
 
 UNDETERMINED = "und"
 LENGTHS = (1, 2, 3)
+#: Texts that are scored by one matrix product, and landmark n-grams that one product takes.
+BLOCK, PART = 256, 16384
 #: Labelled rows set how much of a text may be unknown; so many times as much is let pass.
 SLACK = 3.0
 LETTER = re.compile(r"[^\W\d_]")
@@ -66,11 +71,12 @@ class Grams:
 
 @dataclass
 class Model:
-    """Landmark n-grams (by length), their presence matrices, and the weights."""
+    """Landmark n-grams (by length), which landmark holds which (one byte each), their norms, and the weights."""
 
     langs: list[str]
     vocab: list[np.ndarray]
     marks: list[np.ndarray]
+    norms: list[np.ndarray]
     weights: np.ndarray
     #: The least share of known 3-grams by language.
     least: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -81,8 +87,8 @@ class Model:
 
     def measure(self, texts: list[str], grams: Grams) -> tuple[np.ndarray, np.ndarray]:
         """The kernel, and each text's share of distinct n-grams of the greatest length that landmarks hold."""
-        k = np.zeros((len(texts), self.marks[0].shape[1]), np.float32)
-        held = [np.zeros((len(texts), len(v)), np.float32) for v in self.vocab]
+        k = np.zeros((len(texts), len(self.norms[0])), np.float32)
+        held = [np.zeros((len(texts), len(v)), np.bool_) for v in self.vocab]
         size = np.ones((len(texts), len(LENGTHS)), np.float32)
         for i, text in enumerate(texts):
             first, count = grams.stamp(text)
@@ -90,10 +96,13 @@ class Model:
             for n, v in enumerate(self.vocab):
                 held[n][i] = grams.seen[n][v] >= first
         for n, m in enumerate(self.marks):
-            k += (held[n] @ m) / np.sqrt(size[:, n : n + 1])
+            both = np.zeros_like(k)
+            for at in range(0, len(m), PART):
+                both += held[n][:, at : at + PART].astype(np.float32) @ m[at : at + PART].astype(np.float32)
+            k += both * self.norms[n] / np.sqrt(size[:, n : n + 1])
         return k / len(LENGTHS), held[-1].sum(1) / size[:, -1]
 
-    def predict(self, texts: list[str | None], grams: Grams, block: int = 256) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def predict(self, texts: list[str | None], grams: Grams, block: int = BLOCK) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores, and whether a text is as near to its language as labelled rows are."""
         names, score, near = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         if not self.langs:
@@ -112,99 +121,120 @@ class Model:
         return names, score, near
 
 
-def labelled_sample(docs: DataFrame, per_lang: int, max_langs: int) -> list[tuple[str, str]]:
-    """At most per_lang rows for each language, by a hash of the id; fewer each, but one, where languages are over max_langs.
+def labelled_sample(docs: DataFrame, per_lang: int, max_rows: int, max_bytes: int) -> list[tuple[str, str]]:
+    """(lang, text) of labelled rows by a hash of id and text: per_lang rows and max_bytes of text for each language, one at least.
 
-    Only rows with a language whose crc32(doc_id) mod 5 is not 0; the window's
-    limit is applied in every map task, so no task gets a whole language.
+    Fewer rows each, but one, where languages times per_lang are over max_rows.
+    Only rows with a language whose crc32(doc_id) mod 5 is not 0. A first pass
+    counts the rows of each language; the second lets pass those whose hash
+    lies below a share of some times per_lang, so that no task orders more
+    of a language than that.
     """
-    own = docs.select("doc_id", "lang").filter(
-        "lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 != 0"
-    )
-    per_lang = max(1, min(per_lang, per_lang * max_langs // max(1, own.select("lang").distinct().count())))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        own.withColumn("nth", F.row_number().over(order))
-        .filter(F.col("nth") <= per_lang)
-        .select("doc_id")
-        .distinct()
+    own = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(
+        "lang is not null and text is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 != 0"
     )
-    # At most per_lang * max_langs ids, or one for each language, so the broadcast has a fixed bound.
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").filter(
-        "lang is not null and text is not null and crc32(cast(doc_id as string)) % 5 != 0"
-    )
-    got = rows.select("doc_id", "lang", "text").collect()
-    return [(r.lang, r.text) for r in sorted(got, key=lambda r: (r.lang, r.doc_id, r.text)) if LETTER.search(r.text)]
+    own = own.filter(F.regexp_like("text", F.lit(r"\p{L}"))).withColumn("mark", F.xxhash64("doc_id", "text"))
+    # From 0 to 1, evenly.
+    share = F.col("mark") / 2.0**64 + 0.5
+    seen = own.groupBy("lang").agg(F.count("*").alias("n"), F.min("mark").alias("first")).collect()  # a row for each language
+    if not seen:
+        return []
+    per_lang = max(1, min(per_lang, max_rows // len(seen)))
+    cut = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 8.0 * per_lang / r.n + 1e-9), r.first) for r in seen], "lang string, cut double, first bigint")
+    few = own.join(F.broadcast(cut), "lang").filter((share <= F.col("cut")) | (F.col("mark") == F.col("first")))
+    order = Window.partitionBy("lang").orderBy("mark", "doc_id", "text")
+    few = few.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang)
+    bytes_so_far = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    few = few.withColumn("held", bytes_so_far).filter((F.col("held") <= max_bytes) | (F.col("nth") == 1))
+    got = few.select("lang", "nth", "text").collect()  # max_rows rows and max_bytes for each language at most
+    return [(r.lang, r.text) for r in sorted(got, key=lambda r: (r.lang, r.nth))]
 
 
 def fit(sample: list[tuple[str, str]], landmarks_per_lang: int = 32, ridge: float = 1e-4) -> Model:
     """Nyström kernel ridge regression on the sample; its first rows of each language are landmarks."""
     langs = sorted({lang for lang, _ in sample})
     if not langs:
-        return Model([], [], [], np.zeros((0, 0)))
-    grams, taken, marks = Grams(), dict.fromkeys(langs, 0), []
-    marked = []
-    for at, (lang, text) in enumerate(sample):
+        return Model([], [], [], [], np.zeros((0, 0)))
+    number = {lang: j for j, lang in enumerate(langs)}
+    own = np.array([number[lang] for lang, _ in sample])
+    taken, marked = dict.fromkeys(langs, 0), []
+    for at, (lang, _) in enumerate(sample):
         if taken[lang] < landmarks_per_lang:
             taken[lang] += 1
-            marks.append(text)
             marked.append(at)
-    sets = [[np.unique(c) for c in grams.codes(t)] for t in marks]
-    vocab, dense = [], []
+    grams = Grams()
+    marks = [sample[at][1] for at in marked]
+    vocab, held, norms = [], [], []
     for n in range(len(LENGTHS)):
-        v = np.unique(np.concatenate([s[n] for s in sets]))
-        m = np.zeros((len(v), len(marks)), np.float32)
+        sets = [np.unique(grams.codes(t)[n]) for t in marks]
+        v = np.unique(np.concatenate(sets))
+        m = np.zeros((len(v), len(marks)), np.uint8)
         for j, s in enumerate(sets):
-            m[np.searchsorted(v, s[n]), j] = 1 / np.sqrt(max(1, len(s[n])))
+            m[np.searchsorted(v, s), j] = 1
         vocab.append(v)
-        dense.append(m)
-    model = Model(langs, vocab, dense, np.zeros((len(marks), len(langs))))
+        held.append(m)
+        norms.append(np.array([1 / np.sqrt(max(1, len(s))) for s in sets], np.float32))
+    model = Model(langs, vocab, held, norms, np.zeros((len(marks), len(langs))))
     k_mm = model.kernel(marks, grams).astype(np.float64)
     a, b = ridge * len(sample) * k_mm, np.zeros_like(model.weights)
     known = np.zeros(len(sample))
-    for at in range(0, len(sample), 256):
-        part = sample[at : at + 256]
-        k, known[at : at + 256] = model.measure([t for _, t in part], grams)
+    # Each language weighs the same, however many rows it has.
+    weight = (len(sample) / len(langs) / np.bincount(own))[own][:, None]
+    for at in range(0, len(sample), BLOCK):
+        cut = slice(at, at + BLOCK)
+        k, known[cut] = model.measure([t for _, t in sample[cut]], grams)
         k = k.astype(np.float64)
-        y = np.array([[1.0 if lang == own else -1.0 for own in langs] for lang, _ in part])
-        # Each language weighs the same, however many rows it has.
-        w = np.array([[1.0 / sum(1 for x, _ in sample if x == lang)] for lang in langs])
-        w = np.array([w[langs.index(lang)] for lang, _ in part]) * len(sample) / len(langs)
-        a += k.T @ (w * k)
-        b += k.T @ (w * y)
+        y = np.where(own[cut][:, None] == np.arange(len(langs)), 1.0, -1.0)
+        a += k.T @ (weight[cut] * k)
+        b += k.T @ (weight[cut] * y)
     model.weights = np.linalg.lstsq(a + 1e-8 * np.eye(len(a)), b, rcond=None)[0]
     # A landmark is measured against the other landmarks, as it knows all of its own.
-    there = (dense[-1] > 0).astype(np.float64)
-    known[marked] = ((there.sum(1) > 1) @ there) / np.maximum(there.sum(0), 1)
+    others = held[-1].sum(1, dtype=np.int64) > 1
+    known[marked] = [others[held[-1][:, j] > 0].mean() if held[-1][:, j].any() else 0.0 for j in range(len(marks))]
     # SLACK times the unknown share that one in a hundred labelled rows exceeds.
-    own = np.array([langs.index(lang) for lang, _ in sample])
     model.least = np.array([1 - SLACK * (1 - np.quantile(known[own == j], 0.01)) for j in range(len(langs))])
     return model
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every column of docs as struct `row`, with lang_pred, score and near (whether the text is near its language at all)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    nested = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    out = T.StructType(
-        [*nested.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("near", T.BooleanType())]
-    )
+def identify(docs: DataFrame, model: Model, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """ident, lang_pred, score and near (whether the text is near its language at all) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.select(plain(ident).alias(ident), plain(text).alias(f"{ident}_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                names, score, near = shared.value.predict(part.column(0).field(text).to_pylist(), grams)
+                names, score, near = shared.value.predict(part.column(1).to_pylist(), grams)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(near)], ["row", "lang_pred", "score", "near"]
+                    [part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(near)], [ident, "lang_pred", "score", "near"]
                 )
 
-    return nested.mapInArrow(run, out)
+    kind = own.schema[0].dataType.simpleString()
+    return own.mapInArrow(lean(run), f"`{ident}` {kind}, lang_pred string, score double, near boolean")
 
 
-def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, landmarks_per_lang: int = 32) -> Model:
-    """A model from docs' own labelled rows; the bounds of the sample are the parameters."""
-    sample = labelled_sample(docs, per_lang, max_langs)
-    return fit(sample, max(1, min(landmarks_per_lang, landmarks_per_lang * max_langs // max(1, len({lang for lang, _ in sample})))))
+def told(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language can be told and whose text is near it."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    where = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                names, _, near = shared.value.predict(part.column(where).to_pylist(), grams)
+                yield part.filter(pa.array([x != UNDETERMINED and bool(y) for x, y in zip(names, near)], pa.bool_()))
+
+    return docs.mapInArrow(lean(run), docs.schema)
+
+
+def train(docs: DataFrame, per_lang: int = 400, max_rows: int = 25600, max_bytes: int = 8_000_000, landmarks: int = 256) -> Model:
+    """A model from docs' own labelled rows; the bounds of the sample are the parameters.
+
+    landmarks: of all languages together, 32 each at most and one at least.
+    """
+    sample = labelled_sample(docs, per_lang, max_rows, max_bytes)
+    return fit(sample, max(1, min(32, landmarks // max(1, len({lang for lang, _ in sample})))))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import lean, materialise
 from tidemark.llm.tokens import default_path, word_tokenizer
 
 LENGTH = 2048
@@ -34,6 +34,8 @@ END = 0
 NEARLY = 4
 #: Partitions that a task of the next round merges.
 FAN_IN = 8
+#: Rounds at the same number of tasks end when this share of bins is left open.
+LEAST_GAIN = 0.995
 #: Open bins that a task takes at most.
 ITEMS = 100_000
 
@@ -73,38 +75,50 @@ def best_fit(sizes: list[int], capacity: int = LENGTH) -> list[list[int]]:
     return bins
 
 
+#: Columns of pieces: doc_id and whether it is null, piece, start, length, ids_crc32.
+_COLUMNS = (np.int64, np.bool_, np.int32, np.int64, np.int64, np.int64)
+Pieces = tuple[np.ndarray, ...]
+
+
 def cut(doc_id: int | None, ids: bytes) -> list[tuple]:
-    """(doc_id, piece, start, length, ids_crc32, offset 0) of a document's ids, given as bytes."""
+    """(doc_id, whether it is null, piece, start, length, ids_crc32) of a document's ids, given as bytes."""
     out = []
     for piece, at in enumerate(range(0, len(ids), 4 * LENGTH)):
         part = ids[at : at + 4 * LENGTH]
-        out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), 0))
+        out.append((doc_id or 0, doc_id is None, piece, at // 4, len(part) // 4, zlib.crc32(part)))
     return out
 
 
-def _first(member: tuple) -> tuple:
-    return (member[0] is not None, member[0] or 0, member[1], member[4])
-
-
-def _pack(items: list[list[tuple]], first_bin: int, last: bool) -> pa.RecordBatch:
-    """A batch of bins from items, each a list of members that stay together."""
-    sized = [(-sum(m[3] for m in item), _first(item[0]), item) for item in items]
-    sized.sort(key=lambda x: x[:2])
-    packed = best_fit([-s for s, _, _ in sized])
-    fill = [-sum(sized[i][0] for i in b) for b in packed]
-    members = [[m for i in b for m in sized[i][2]] for b in packed]
-    flat = [m for ms in members for m in ms]
-    columns = [list(c) for c in zip(*flat)] if flat else [[] for _ in _MEMBER]
-    offsets = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)
+def columns(rows: list[tuple]) -> Pieces:
+    return tuple(np.array(c, t) for c, t in zip(zip(*rows), _COLUMNS)) if rows else tuple(np.zeros(0, t) for t in _COLUMNS)
+
+
+def _pack(members: Pieces, ends: np.ndarray, first_bin: int, last: bool) -> pa.RecordBatch:
+    """A batch of bins from items; item k is the pieces up to ends[k], which stay together."""
+    doc, null, piece, start, length, crc = members
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    size = np.add.reduceat(length, begins) if len(ends) else np.zeros(0, np.int64)
+    # Largest first; equal ones by the id, null first, and piece of their first member.
+    order = np.lexsort((crc[begins], piece[begins], doc[begins], ~null[begins], -size))
+    packed = best_fit(size[order].tolist())
+    taken = order[np.fromiter((i for b in packed for i in b), np.int64, len(order))]
+    many = (ends - begins)[taken]
+    flat = np.repeat(begins[taken] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum())) if len(taken) else begins
+    item_cuts = np.cumsum([0, *map(len, packed)])
+    offsets = np.concatenate([[0], np.cumsum(many)])[item_cuts].astype(np.int32)
+    fill = np.add.reduceat(length[flat], offsets[:-1]) if len(packed) else size
     # Gapless places: the running length, from 0 at the first member of each bin.
-    before = np.cumsum([0, *columns[3]])[:-1] if flat else np.zeros(0, np.int64)
-    columns[5] = before - np.repeat(before[offsets[:-1]] if flat else before, np.diff(offsets))
-    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MEMBER)], fields=list(_MEMBER))
+    before = np.cumsum(length[flat]) - length[flat]
+    place = before - np.repeat(before[offsets[:-1]], np.diff(offsets)) if len(packed) else before
+    ids = pa.array(doc[flat], mask=null[flat])
+    values = pa.StructArray.from_arrays(
+        [ids, *[pa.array(c[flat]) for c in (piece, start, length, crc)], pa.array(place)], fields=list(_MEMBER)
+    )
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(range(first_bin, first_bin + len(packed)), pa.int64()),
-            pa.array(fill, pa.int32()),
-            pa.array([last or f >= LENGTH - NEARLY for f in fill], pa.bool_()),
+            pa.array(np.arange(first_bin, first_bin + len(packed))),
+            pa.array(fill.astype(np.int32)),
+            pa.array((fill >= LENGTH - NEARLY) | last),
             pa.ListArray.from_arrays(pa.array(offsets), values),
         ],
         ["bin", "fill", "closed", "members"],
@@ -121,38 +135,53 @@ def pieces_to_bins(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_tokenizer(path)
-        first, items = (TaskContext.get().partitionId() << 32), []
+        first, held, n = (TaskContext.get().partitionId() << 32), [], 0
         for batch in batches:
             for part in _chunks(batch, 512):
-                whole = []
+                whole, rest = [], []
                 for doc_id, ids in zip(part.column(0).to_pylist(), own.encode_all(part.column(1).to_pylist())):
                     for piece in cut(doc_id, ids + END.to_bytes(4, "little")):
-                        (whole if piece[3] == LENGTH else items).append([piece])
+                        (whole if piece[4] == LENGTH else rest).append(piece)
                 if whole:
-                    yield (out := _pack(whole, first, False))
+                    yield (out := _pack(columns(whole), np.arange(1, len(whole) + 1), first, False))
                     first += out.num_rows
-                if len(items) >= 4 * ITEMS:
-                    yield (out := _pack(items, first, False))
-                    first, items = first + out.num_rows, []
-        if items:
-            yield from _chunks(_pack(items, first, False))
+                held.append(columns(rest))
+                n += len(rest)
+                if n >= 4 * ITEMS:
+                    yield from _chunks(out := _pack(_joined(held), np.arange(1, n + 1), first, False))
+                    first, held, n = first + out.num_rows, [], 0
+        if n:
+            yield from _chunks(_pack(_joined(held), np.arange(1, n + 1), first, False))
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lean(run, "words"), _SCHEMA)
+
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _SCHEMA)
+def _joined(parts: list[Pieces]) -> Pieces:
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def merge_round(bins: DataFrame, tasks: int, number: int, last: bool) -> DataFrame:
     """Open bins as items of best fit, in `tasks` tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, items = (number << 56) | (TaskContext.get().partitionId() << 32), []
+        first, held, many = (number << 56) | (TaskContext.get().partitionId() << 32), [], []
         for batch in batches:
-            for members in batch.column(0).to_pylist():
-                items.append([tuple(m.values()) for m in members])
-        if items:
-            yield from _chunks(_pack(items, first, last))
+            lists = batch.column(0)
+            flat = lists.flatten()
+            ids = flat.field(0)
+            held.append(
+                (
+                    ids.fill_null(0).to_numpy(zero_copy_only=False),
+                    ids.is_null().to_numpy(zero_copy_only=False),
+                    *[flat.field(k).to_numpy(zero_copy_only=False) for k in range(1, 5)],
+                )
+            )
+            many.append(lists.value_lengths().to_numpy(zero_copy_only=False))
+        if held and sum(map(len, many)):
+            yield from _chunks(_pack(_joined(held), np.cumsum(np.concatenate(many)), first, last))
 
     # By a hash of the bin's number, which is unique: even, and the same again if a task is lost.
-    return bins.select("members", "bin").repartition(tasks, F.xxhash64("bin")).select("members").mapInArrow(run, _SCHEMA)
+    return bins.select("members", "bin").repartition(tasks, F.xxhash64("bin")).select("members").mapInArrow(lean(run), _SCHEMA)
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -165,11 +194,11 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     n = left.count()
     while n:
         number += 1
-        tasks = max(1, -(-tasks // FAN_IN), -(-n // ITEMS))
+        before, tasks = tasks, max(1, -(-tasks // FAN_IN), -(-n // ITEMS))
         level = materialise(merge_round(left, tasks, number, False), f"packing-{number}")
         after = level.filter("not closed").count()
-        # The top of the tree, or what no merge brings together.
-        if tasks == 1 or (number > 2 and after > 0.95 * n):
+        # The top of the tree; with more open bins than one task takes, when a round of newly dealt bins closes no more.
+        if tasks == 1 or (tasks >= before and after >= LEAST_GAIN * n):
             done.append(level)
             break
         done.append(level.filter("closed"))

@@ -33,9 +33,8 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language.train(docs)
-    return language.identify(docs.select("doc_id", "text"), model).select(
-        "row.doc_id", F.expr(f"coalesce({HELD_OUT.replace('doc_id', 'row.doc_id')}, false)").alias("held_out"), "lang_pred", "score"
+    return language.identify(docs, language.train(docs)).select(
+        "doc_id", F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), "lang_pred", "score"
     )
 
 
@@ -46,12 +45,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.rate(docs.select("doc_id", "text"), model).select(
-        "row.doc_id",
-        F.expr(f"coalesce({HELD_OUT.replace('doc_id', 'row.doc_id')}, false)").alias("held_out"),
-        "score",
-        "predicted",
-        F.size("passages").alias("n_passages"),
+    return toxicity.rate(docs, model).select(
+        "doc_id", F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages")
     )
 
 

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import public_tokenizers
 
-#: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 1_000_000
+from tidemark.llm.common import FORGET
+
+#: Bytes of words and ids that a worker remembers before it starts anew, with what a dict entry costs.
+CACHE_BYTES = 96_000_000
+ENTRY = 180
 #: Letters of ASCII and Latin-1 (in UTF-8), then one full stop or comma at most.
 PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]?")
 
@@ -51,9 +53,11 @@ class WordTokenizer:
         self.model = self.lib.model
         self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
         self.ends = {c: packed(self.lib.encode(c.decode(), add_special_tokens=False).ids) for c in (b".", b",")}
 
     def learn(self, words: list[bytes]) -> None:
+        self.held += sum(map(len, words)) + ENTRY * len(words)
         known, model, letters, other = self.known, self.model, self.letters, []
         for w in words:
             if not PLAIN.fullmatch(w):
@@ -76,8 +80,9 @@ class WordTokenizer:
         """The ids of each text; none for null. Splits at ASCII white space."""
         each = [text.encode().split() if text else [] for text in texts]
         known = self.known
-        if len(known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             known.clear()
+            self.held = 0
         self.learn([w for w in {w for words in each for w in words} if w not in known])
         return [b"".join([known[w] for w in words]) for words in each]
 
@@ -85,6 +90,12 @@ class WordTokenizer:
         return self.encode_all([text])[0]
 
 
-@lru_cache(maxsize=2)
+_OPEN: dict[str, WordTokenizer] = {}
+
+
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    """The tokenizer of a path, kept with its words for the next task of the worker."""
+    if path not in _OPEN:
+        _OPEN[path] = WordTokenizer(path)
+    FORGET["words"] = _OPEN.clear
+    return _OPEN[path]

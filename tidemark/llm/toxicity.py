@@ -1,17 +1,22 @@
 """Toxicity by maximum-scoring segments.
 
 Each word has a log-odds score (toxic against clean) under an informative
-Dirichlet prior, from a bounded sample of labelled rows. Words are scored by
-themselves and by their first four or five letters, so that inflected forms of
-a stem count. A linear scan finds every maximal scoring segment of a text; a
-segment is significant where its expected number in clean text of that length,
-by the extreme-value law of such segments, is small. The best segment and the
-number of significant ones give the score by a logistic curve fitted on the
-sample.
+Dirichlet prior: the background frequencies of all words of the sample, with a
+mass that is a share of the sample's own. Words are scored by themselves and
+by their first four or five letters, so that inflected forms of a stem count.
+A linear scan finds every maximal scoring segment of a text; a segment is
+significant where its expected number in clean text of that length is small.
+That number follows the extreme-value law of such segments, K * n * exp(-l * s):
+l solves the law's equation for the words' chances in clean text, K is the
+likeliest value for the best segments of the sample's clean rows, those without
+a segment counted as censored. The best segment and the number of significant
+ones give the score by a logistic curve fitted on the sample.
 
 Defined results: null and empty texts have no segment and get the score of a
-text without one; texts are read whole; equal texts get equal scores; with no
-labelled row every score is 0; an empty table gives an empty result.
+text without one; texts are read whole; equal texts get equal scores; repeated
+rows give a row each; of segments that could be one or two, the shorter ones
+stay; with no labelled row every score is 0; an empty table gives an empty
+result; other columns are not read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -26,13 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tidemark.llm.common import lean, materialise, plain
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Prior mass of all tokens together, in documents' tokens.
-PRIOR = 500.0
-#: Tokens count with at least this z value.
-LEAST_Z = 4.0
+#: Mass of the prior as a share of the tokens counted.
+PRIOR = 0.1
+#: A clean row weighs so many toxic ones in the curve: a filter should leave clean documents alone.
+CLEAN_WEIGHT = 2.0
+#: Tokens count with at least this z value and these log-odds.
+LEAST_Z, LEAST_ODDS = 3.0, 2.0
 #: Segments count with at most this expected number in clean text.
 MOST_EXPECTED = 0.05
 
@@ -41,25 +49,30 @@ def segments(at: list[int], gain: list[float], cost: float) -> list[tuple[int, i
     """All maximal scoring segments, in linear time: (first, last, score) by word position.
 
     at: the positions with a gain, ascending; every word between costs `cost`.
-    Each stack entry has the running total before and after its segment.
+    The stack has for each segment its ends, the running total before and after
+    it, and a link to the nearest earlier one that begins lower. A walk follows
+    the links; what it passes is either merged or behind a link from then on.
     """
-    stack: list[list[float]] = []
+    first: list[int] = []
+    end: list[int] = []
+    left: list[float] = []
+    right: list[float] = []
+    link: list[int] = []
     total, last = 0.0, -1
     for p, g in zip(at, gain):
         total -= cost * (p - last - 1)
-        left, total, last = total, total + g, p
-        entry = [p, p, left, total]
-        while True:
-            # The nearest earlier segment that begins below this one's left total.
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= entry[2]:
-                k -= 1
-            if k < 0 or stack[k][3] >= entry[3]:
-                stack.append(entry)
-                break
-            entry = [stack[k][0], entry[1], stack[k][2], entry[3]]
-            del stack[k:]
-    return [(int(a), int(b), r - l) for a, b, l, r in stack]
+        a, b, l, r = p, p, total, total + g
+        total, last = r, p
+        k = len(first) - 1
+        while k >= 0 and left[k] >= l:
+            k = link[k]
+        while k >= 0 and right[k] < r:
+            # The two and what lies between are one; its next candidate is the earlier one's own link.
+            a, l, up = first[k], left[k], link[k]
+            del first[k:], end[k:], left[k:], right[k:], link[k:]
+            k = up
+        first.append(a), end.append(b), left.append(l), right.append(r), link.append(k)
+    return [(a, b, r - l) for a, b, l, r in zip(first, end, left, right)]
 
 
 @dataclass
@@ -83,30 +96,41 @@ class Model:
                     out.append(s)
         return len(words), at, out
 
-    def passages(self, text: str | None) -> list[tuple[int, int, float, float]]:
-        """Significant toxic passages: first and last word, score, expected number."""
-        n, at, gain = self.weigh(text)
-        found = []
-        for a, b, s in segments(at, gain, self.cost):
-            e = self.scale * n * math.exp(-self.decay * s)
-            if e <= MOST_EXPECTED:
-                found.append((a, b, s, e))
-        return found
-
-    def features(self, text: str | None) -> tuple[float, float]:
+    def found(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """The number of words, and all maximal segments."""
         n, at, gain = self.weigh(text)
-        if not at:
+        return n, segments(at, gain, self.cost)
+
+    def expected(self, n: int, s: float) -> float:
+        """How many segments of this score clean text of n words has."""
+        return self.scale * n * math.exp(-self.decay * s)
+
+    def features(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float]:
+        """The evidence of the best segment, -log of the chance that clean text has one as good; and significant ones."""
+        if not found:
             return 0.0, 0.0
-        each = [self.scale * n * math.exp(-self.decay * s) for _, _, s in segments(at, gain, self.cost)]
-        # -log of the chance that clean text of this length has a segment as good.
-        best = min(each)
-        p = -math.expm1(-best)
-        return min(30.0, -math.log(max(p, 1e-300))), math.log1p(sum(e <= MOST_EXPECTED for e in each))
+        best = max(s for _, _, s in found)
+        e = self.expected(n, best)
+        p = -math.expm1(-e)
+        evidence = -math.log(p) if p > 1e-12 else self.decay * best - math.log(self.scale * n)
+        return max(0.0, evidence), math.log1p(sum(self.expected(n, s) <= MOST_EXPECTED for _, _, s in found))
+
+    def judge(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """The score, and the significant passages: first and last word, weight."""
+        n, found = self.found(text)
+        x, y = self.features(n, found)
+        a, b, c = self.curve
+        score = 1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * x + c * y))))
+        return score, [f for f in found if self.expected(n, f[2]) <= MOST_EXPECTED]
 
     def score(self, text: str | None) -> float:
-        x, y = self.features(text)
-        a, b, c = self.curve
-        return round(1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * x + c * y)))), 6)
+        return self.judge(text)[0]
+
+
+def solve_scale(best: list[tuple[int, float]], decay: float) -> float:
+    """The likeliest K for best segments (words, score; 0 for none) that are at most s with chance exp(-K * n * exp(-decay * s))."""
+    mass = sum(n * math.exp(-decay * s) for n, s in best)
+    return max(sum(s > 0 for _, s in best), 0.5) / mass if mass > 0 else 0.1
 
 
 def solve_decay(gains: list[tuple[float, float]], cost: float) -> float:
@@ -124,11 +148,12 @@ def fit_curve(rows: list[tuple[float, float, int]]) -> tuple[float, float, float
     """Ridge logistic regression by Newton steps, slopes kept at or above zero."""
     x = np.array([[1.0, a, b] for a, b, _ in rows])
     y = np.array([t for _, _, t in rows], float)
+    each = np.where(y > 0, 1.0, CLEAN_WEIGHT)
     w, keep = np.zeros(3), np.array([1e-6, 1e-2, 1e-2])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(
-            x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + np.diag(keep), x.T @ (y - p) - keep * w
+            x.T @ (x * (each * p * (1 - p) + 1e-9)[:, None]) + np.diag(keep), x.T @ (each * (y - p)) - keep * w
         )
         w += step
         w[1:] = np.maximum(w[1:], 0)
@@ -152,7 +177,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFram
     ]
     ids = parts[0].union(parts[1])  # 2 * per_class rows at most
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter("text is not null")
-    got = got.select("text", "toxic").mapInArrow(_least_hashes, "text string, toxic int, h array<bigint>")
+    got = got.select("text", "toxic").mapInArrow(lean(_least_hashes), "text string, toxic int, h array<bigint>")
     for k in range(4):
         got = got.groupBy(F.col("h")[k].alias("key")).agg(F.min(F.struct("text", "toxic", "h")).alias("one")).select("one.*")
     return got.select("text", "toxic")
@@ -173,6 +198,11 @@ def _least_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def half(text: str) -> int:
+    """Which half of the sample a text belongs to; each half is measured with the words of the other."""
+    return zlib.crc32(text.encode()) & 1
+
+
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toks, cls = [], []
@@ -180,98 +210,94 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = set(WORD.findall(text.lower()))
             own = words | {w[:5] + "*" for w in words if len(w) >= 5} | {w[:4] + "*" for w in words if len(w) >= 4}
             toks += own
-            cls += [toxic] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(toks, pa.string()), pa.array(cls, pa.int32())], ["token", "toxic"])
+            cls += [2 * half(text) + toxic] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(toks, pa.string()), pa.array(cls, pa.int32())], ["token", "cls"])
+
+
+def log_odds(counts: DataFrame) -> tuple[dict[str, float], float]:
+    """Words with their log-odds under the prior, from token, t and c (toxic and clean rows that hold it); and the decay."""
+    n_t, n_c = (float(x or 1) for x in counts.agg(F.sum("t"), F.sum("c")).first())
+    mass = PRIOR * (n_t + n_c)
+    prior = F.lit(mass) * (F.col("t") + F.col("c")) / (n_t + n_c)
+    odds = F.log((F.col("t") + prior) / (n_t + mass - F.col("t") - prior)) - F.log((F.col("c") + prior) / (n_c + mass - F.col("c") - prior))
+    z = odds / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
+    top = counts.filter("t >= 3").select("token", "c", odds.alias("odds"), z.alias("z"))
+    top = top.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy("token").collect()  # tokens of the sample, which is bounded
+    gain = {r.token: float(r.odds) for r in top}
+    return gain, solve_decay([(float(r.odds), (r.c + 0.5) / n_c) for r in top], Model.cost)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_tokens: int = 5000) -> Model:
-    """A model from a bounded sample: per_class rows of each class, max_tokens scored tokens."""
-    from tidemark.llm.common import materialise
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
+    """A model from a bounded sample: per_class labelled rows of each class.
 
+    K and the curve are fitted on segments that words of the other half of the
+    sample found, as words always fit the rows that they were taken from.
+    """
     sample = materialise(sample_texts(docs, labels, per_class), "toxic-sample")
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
         return Model()
-    counts = sample.mapInArrow(_token_rows, "token string, toxic int").groupBy("token").agg(
-        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")
-    )
-    n_t, n_c = float(size[1]), float(size[0])
-    prior = F.lit(PRIOR) * (F.col("t") + F.col("c")) / (n_t + n_c) / 100 + 0.01
-    odds = F.log((F.col("t") + prior) / (n_t + PRIOR / 50 - F.col("t"))) - F.log(
-        (F.col("c") + prior) / (n_c + PRIOR / 50 - F.col("c"))
-    )
-    z = odds / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior + 0.5))
-    top = (
-        counts.filter("t >= 5")
-        .select("token", "c", F.least(odds, F.lit(12.0)).alias("odds"), z.alias("z"))
-        .filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= 2.5))
-        .orderBy(F.desc("z"), "token")
-        .limit(max_tokens)
-        .collect()
-    )
-    model = Model(gain={r.token: float(r.odds) for r in top})
-    clean = counts.agg(F.sum("c")).first()[0] or 1
-    model.decay = solve_decay([(float(r.odds), (r.c + 0.5) / clean) for r in top], model.cost)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    each = [F.sum((F.col("cls") == k).cast("long")).alias(f"n{k}") for k in range(4)]
+    counts = materialise(sample.mapInArrow(lean(_token_rows), "token string, cls int").groupBy("token").agg(*each), "toxic-counts")
+    halves = []
+    for h in (0, 1):
+        gain, decay = log_odds(counts.select("token", F.col(f"n{2 * h + 1}").alias("t"), F.col(f"n{2 * h}").alias("c")))
+        halves.append(Model(gain, decay=decay))
+    shared = docs.sparkSession.sparkContext.broadcast(halves)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shared.value.features(t) for t in batch.column(0).to_pylist()]
+            got = [shared.value[1 - half(t)].found(t) for t in batch.column(0).to_pylist()]
+            scores = [[s for _, _, s in found] for _, found in got]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), batch.column(1)],
-                ["x", "y", "toxic"],
+                [pa.array([n for n, _ in got], pa.int64()), pa.array(scores, pa.list_(pa.float64())), batch.column(1)], ["n", "scores", "toxic"]
             )
 
-    rows = [tuple(r) for r in sample.mapInArrow(measure, "x double, y double, toxic int").collect()]
-    model.curve = fit_curve(sorted(rows))
+    rows = sorted(tuple(r) for r in sample.mapInArrow(lean(measure), "n bigint, scores array<double>, toxic int").collect())
+    gain, decay = log_odds(counts.select("token", (F.col("n1") + F.col("n3")).alias("t"), (F.col("n0") + F.col("n2")).alias("c")))
+    model = Model(gain, decay=decay)
+    model.scale = solve_scale([(n, max(s, default=0.0)) for n, s, toxic in rows if not toxic], model.decay)
+    model.curve = fit_curve([(*model.features(n, [(0, 0, x) for x in s]), toxic) for n, s, toxic in rows])
     return model
 
 
-def rate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every column of docs as struct `row`, with score, predicted and the passages found."""
+def rate(docs: DataFrame, model: Model, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """ident, score, predicted and the passages found, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    nested = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    span = T.ArrayType(
-        T.StructType(
-            [
-                T.StructField("first_word", T.IntegerType()),
-                T.StructField("last_word", T.IntegerType()),
-                T.StructField("weight", T.DoubleType()),
-            ]
-        )
-    )
-    out = T.StructType(
-        [
-            *nested.schema.fields,
-            T.StructField("score", T.DoubleType()),
-            T.StructField("predicted", T.IntegerType()),
-            T.StructField("passages", span),
-        ]
-    )
+    own = docs.select(plain(ident).alias(ident), plain(text).alias(f"{ident}_text"))
     kind = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("weight", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                texts = part.column(0).field(text).to_pylist()
-                score = [own.score(t) for t in texts]
-                none = own.score(None)
-                spans = [
-                    [{"first_word": a, "last_word": b, "weight": round(s, 6)} for a, b, s, _ in own.passages(t)]
-                    if s > none
-                    else []
-                    for t, s in zip(texts, score)
-                ]
+                got = [shared.value.judge(t) for t in part.column(1).to_pylist()]
+                spans = [[{"first_word": a, "last_word": b, "weight": s} for a, b, s in found] for _, found in got]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array(score, pa.float64()),
-                        pa.array([int(s >= 0.5) for s in score], pa.int32()),
+                        pa.array([s for s, _ in got], pa.float64()),
+                        pa.array([int(s >= 0.5) for s, _ in got], pa.int32()),
                         pa.array(spans, kind),
                     ],
-                    ["row", "score", "predicted", "passages"],
+                    [ident, "score", "predicted", "passages"],
                 )
 
-    return nested.mapInArrow(run, out)
+    id_kind = own.schema[0].dataType.simpleString()
+    return own.mapInArrow(
+        lean(run), f"`{ident}` {id_kind}, score double, predicted int, passages array<struct<first_word:int,last_word:int,weight:double>>"
+    )
+
+
+def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that are not predicted to be toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    where = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                yield part.filter(pa.array([shared.value.score(t) < 0.5 for t in part.column(where).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(lean(run), docs.schema)
