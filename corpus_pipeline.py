@@ -23,14 +23,13 @@ from tidemark.session import prepare
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told and whose text is as near to it as labelled rows are."""
-    found = language.identify(docs, language.train(docs))
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & F.col("near")).select("row.*")
+    return language.told(docs, language.train(docs))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are not predicted to be toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.rate(docs, model).filter("predicted = 0").select("row.*")
+    return toxicity.clean(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
