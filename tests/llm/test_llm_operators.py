@@ -545,6 +545,50 @@ def test_quotes_hot_thread_and_line(spark):
     assert got.filter("thread = 1 and ord > 0 and parent <> '1:0'").count() == 0 and got.count() == 3500
 
 
+def test_quotes_passages(spark):
+    rows = [
+        (None, 0, "a", "x\ny"), (None, 1, "b", "y\nz"), (None, 2, "c", "One line.\nTwo lines.\n\nNext paragraph."),
+        # y lies in a and b: as a line it is a's; y and z together are b's whole.
+        (None, 5, "d", "> y\nAnswer to a."), (None, 6, "e", "> y\n> z\nAnswer to b."), (None, 7, "f", "> one  line.\n> two lines.\n>\n> Next paragraph.\nTo c."),
+        (None, 8, "g", "> Two lines.\n> unknown\nTo c, in part."), (None, 9, "h", "> > x\n> > y\n> Answer to b.\n\nTo e."),
+    ]
+    got = {r.id: r for r in quoting.conversations(spark.createDataFrame(rows, MSG)).collect()}
+    assert {k: got[k].parent for k in "defgh"} == {"d": "a", "e": "b", "f": "c", "g": "c", "h": "e"}
+    assert {k: (got[k].n_quoted, got[k].n_linked) for k in "defgh"} == {"d": (1, 1), "e": (2, 2), "f": (3, 3), "g": (2, 1), "h": (3, 3)}
+
+
+CHAT = "conv_id bigint, turn int, role string, text string"
+
+
+def test_chat_query_edges(spark):
+    long = "\n".join(f"line {k} of a long text" for k in range(20_000))
+    rows = [
+        (None, 3, "user", "alpha beta"), (None, 4, "user", "> alpha beta"), (None, 4, "bot", "> alpha beta"), (None, None, None, None), (-5, 0, "user", ""),
+        (-5, 1, "bot", "> nothing known"), (7, 0, "user", "same"), (7, 0, "user", "same"), (7, 1, "bot", "> same\nYes."), (7, 1, "bot", "> same\nYes."),
+        (8, 0, "user", long), (8, 1, "bot", "\n".join("> " + x for x in long.split("\n")) + "\nRead."),
+    ]
+    df = spark.createDataFrame(rows, CHAT).withColumns({"a.b": F.lit(1), "id": F.lit("x"), "body": F.lit("y"), "thread": F.lit(2)})
+    got = queries._conversations(df).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[(r.conv_id, r.turn, r.role)].append(r)
+    assert len(by[(7, 1, "bot")]) == 2 and all((r.n_quoted, r.n_linked, r.parent_turn, r.body, r.position) == (1, 1, 0, "Yes.", 2) for r in by[(7, 1, "bot")])
+    assert [(r.parent_conv_id, r.parent_turn, r.n_linked, r.conversation_id) for r in by[(None, 4, "user")] + by[(None, 4, "bot")]] == [(None, 3, 1, None)] * 2
+    assert by[(-5, 1, "bot")][0].conversation_id == -5 and by[(-5, 1, "bot")][0].parent_turn == 0
+    assert by[(None, None, None)][0].body == "" and by[(8, 1, "bot")][0].body == "Read." and by[(8, 1, "bot")][0].n_linked == 20_000
+    mails = queries._conversations(queries._as_mails(df)).collect()
+    assert len(mails) == len(rows) and sum(r.body == long for r in mails) == 1
+    assert queries._conversations(spark.createDataFrame([], CHAT)).count() == 0
+
+
+def test_transcripts(spark):
+    rows = [(1, k, f"1:{k}", f"> said {k - 1}\nsaid {k}" if k else "said 0") for k in range(10)]
+    got = quoting.transcripts(quoting.conversations(spark.createDataFrame(rows, MSG)), rows=4).orderBy("part").collect()
+    assert [(r.part, r.first, r.last) for r in got] == [(0, 1, 4), (1, 5, 8), (2, 9, 10)]
+    assert "\n\n".join(r.text for r in got) == "\n\n".join(f"said {k}" for k in range(10))
+
+
 def test_quotes_plan_is_native(spark):
     plan = quoting.conversations(spark.createDataFrame([(1, 0, "a", "x")], MSG))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -555,10 +599,10 @@ def test_quotes_plan_is_native(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_covers_its_table(spark, name):
-    table = {"op4_html_text": "pages", "op10_chat_quotes": "conversations", "chat_quotes_mail": "conversations"}.get(name, "documents")
+    table = {"op4_html_text": "pages", "op10_chat_quotes": "conversations", "chat_turns": "conversations", "chat_transcripts": "conversations"}.get(name, "documents")
     rows = spark.read.parquet(f"{SF}/{table}.parquet")
     got = queries.QUERIES[name](spark, SF)
-    assert got.count() >= rows.count()
+    assert got.count() >= (rows.count() if name != "chat_transcripts" else rows.select("conv_id").distinct().count())
 
 
 def test_pipeline(spark, odd):

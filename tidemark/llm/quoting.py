@@ -1,26 +1,31 @@
 """Conversations rebuilt from quoted replies, by DataFrame functions alone.
 
 Each message is parsed into lines with a quote level. Lines of level 0 are the
-body; quoted lines are normalised and hashed. An index of body lines, reduced
-to the earliest message for each hash, is joined to the quoted lines, so that
-no line meets more than one original. The lines of the lowest quote level vote
-for the message that is answered. A message that quotes nothing known answers
-the one before it in its thread.
+body. Consecutive quoted lines of one level, up to a blank one, are a passage,
+which is normalised and hashed. An index of the paragraphs and lines of all
+bodies, reduced to the earliest message for each hash, is joined to the
+passages, so that no passage meets more than one original; a passage that is
+no whole paragraph of a message is looked up line by line. What lies at the
+lowest quote level votes, by its lines, for the message that is answered. A
+message that quotes nothing known answers the one before it in its thread.
 
 Threads are hints: with a thread, originals are looked for there first, then
 everywhere; without one, everywhere. Only messages of lower order are
 originals, so replies never form a circle. Threads whose first message answers
-another thread belong to that one's conversation.
+another thread belong to that one's conversation. `transcripts` joins the
+bodies of a conversation in reply order, some hundreds of messages a row.
 
 Defined results: null text has an empty body; a message that is only quotes
-has an empty body; equal lines belong to the earliest message (then the least
-id); rows with equal thread and order are put in order of id; repeated rows
-give a row each; an empty table gives an empty result; other columns are kept
-out.
+has an empty body; equal passages belong to the earliest message (then the
+least id); rows with equal thread and order are put in order of id; a message
+without an order is an original for none and comes first; an empty table gives
+an empty result; columns other than thread, ord, id, role and text are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +69,44 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def passages(lines: Column) -> Column:
+    """array<struct<level, rows>> of the quoted passages: runs of lines of one level between blank ones."""
+    keys = F.transform(lines, lambda x: F.when(normal(x["line"]) != "", x["level"]).otherwise(0))
+
+    def runs(key: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(key) - 1)
+        changes = F.filter(places, lambda i: (i == 0) | (F.get(key, i) != F.get(key, i - 1)))
+        cut = lambda at: F.transform(
+            at,
+            lambda i, k: F.struct(
+                F.get(key, i).alias("level"),
+                F.transform(F.slice(lines, i + 1, F.coalesce(F.get(at, k + 1), F.size(key)) - i), lambda x: x["line"]).alias("rows"),
+            ),
+        )
+        return bound(changes, cut)
+
+    return F.filter(bound(keys, runs), lambda r: r["level"] > 0)
+
+
+def known_units(messages: DataFrame) -> DataFrame:
+    """thread, ord, id, hash of every paragraph and line of the bodies."""
+    paragraphs = F.split("body", r"\n\s*\n", -1)
+    lines = F.split("body", "\n", -1)
+    units = F.array_distinct(F.filter(F.transform(F.concat(paragraphs, lines), normal), lambda x: x != ""))
+    return messages.select("thread", "ord", "id", F.explode(F.transform(units, lambda x: F.xxhash64(x))).alias("hash"))
+
+
 def links(messages: DataFrame) -> DataFrame:
-    """id, parent, parent_thread, n_quoted, n_linked of messages that quote a known line.
+    """id, parent, parent_thread, n_quoted, n_linked (lines) of messages that quote.
 
-    messages: thread, ord, id, lines (parsed) and body.
+    messages: thread, ord, id, body and runs (passages, or null without any).
     """
-    own = messages.select("thread", "ord", "id", F.explode(F.split("body", "\n", -1)).alias("line"))
-    own = own.select("thread", "ord", "id", F.xxhash64(normal(F.col("line"))).alias("hash"), normal(F.col("line")).alias("norm")).filter("norm <> ''")
+    own = known_units(messages.filter("ord is not null"))
     local = (
         own.filter("thread is not null")
         .groupBy("thread", "hash")
@@ -78,9 +114,14 @@ def links(messages: DataFrame) -> DataFrame:
         .select(F.col("thread").alias("t"), F.col("hash").alias("h"), F.col("first").alias("local"))
     )
     world = own.groupBy("hash").agg(F.min(F.struct("ord", "id", "thread")).alias("world")).withColumnRenamed("hash", "g")
-    quoted = messages.filter(F.exists("lines", lambda x: x["level"] > 0)).select("thread", "ord", "id", F.explode("lines").alias("x"))
-    quoted = quoted.select("thread", "ord", "id", "x.level", F.xxhash64(normal(F.col("x.line"))).alias("hash"), normal(F.col("x.line")).alias("norm"))
-    quoted = quoted.filter("level > 0 and norm <> ''")
+    quoted = messages.filter("runs is not null").select("thread", "ord", "id", F.posexplode("runs").alias("run", "x")).select("thread", "ord", "id", "run", "x.level", "x.rows")
+    # A passage as a whole, and its lines if it has several.
+    unit = lambda kind, n, text: F.struct(F.lit(kind).alias("kind"), n.alias("n"), F.xxhash64(normal(text)).alias("hash"))
+    whole = F.array(unit(2, F.size("rows"), F.array_join("rows", "\n")))
+    parts = F.transform(F.filter("rows", lambda x: F.size("rows") > 1), lambda x: unit(1, F.lit(1), x))
+    quoted = quoted.select("thread", "ord", "id", "run", "level", F.explode(F.concat(whole, parts)).alias("u")).select(
+        "thread", "ord", "id", "run", "level", "u.kind", "u.n", "u.hash"
+    )
     found = quoted.join(local, (F.col("thread") == F.col("t")) & (F.col("hash") == F.col("h")), "left").join(
         world, F.col("hash") == F.col("g"), "left"
     )
@@ -89,12 +130,18 @@ def links(messages: DataFrame) -> DataFrame:
         .when(F.col("world.ord") < F.col("ord"), F.struct("world.ord", "world.id", F.col("world.thread").alias("thread")))
         .alias("of")
     )
-    votes = found.select("id", "level", known).groupBy("id", "level", "of").agg(F.count("*").alias("n"))
-    best = F.max(F.when(F.col("of").isNotNull(), F.struct(-F.col("level"), F.col("n"), F.col("of")))).alias("best")
-    return votes.groupBy("id").agg(
-        best, F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("of").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked")
-    ).select(
-        "id", F.col("best.of.id").alias("parent"), F.col("best.of.thread").alias("parent_thread"), "n_quoted", "n_linked"
+    each = found.select("id", "run", "level", "kind", "n", known).groupBy("id", "run", "level", "kind", "of").agg(F.sum("n").alias("n"))
+    # One row for each passage; its lines count only where the whole is unknown.
+    whole_of, whole_n = (F.max(F.when(F.col("kind") == 2, F.col(c))) for c in ("of", "n"))
+    line_votes = F.collect_list(F.when((F.col("kind") == 1) & F.col("of").isNotNull(), F.struct("of", "n")))
+    runs = each.groupBy("id", "run", "level").agg(whole_of.alias("of"), whole_n.alias("n"), line_votes.alias("votes"))
+    none = F.array(F.struct(F.col("of"), F.col("n")))
+    runs = runs.select("id", "level", "n", F.when(F.col("of").isNotNull(), none).otherwise(F.col("votes")).alias("votes"))
+    votes = runs.select("id", "level", F.explode("votes").alias("v")).groupBy("id", "level", "v.of").agg(F.sum("v.n").alias("n"))
+    best = votes.groupBy("id").agg(F.max(F.struct(-F.col("level"), F.col("n"), F.col("of"))).alias("best"), F.sum("n").alias("n_linked"))
+    total = runs.groupBy("id").agg(F.sum("n").alias("n_quoted"))
+    return total.join(best, "id", "left").select(
+        "id", F.col("best.of.id").alias("parent"), F.col("best.of.thread").alias("parent_thread"), "n_quoted", F.coalesce("n_linked", F.lit(0)).alias("n_linked")
     )
 
 
@@ -126,15 +173,18 @@ def blocks_before(rows: DataFrame, key: str) -> DataFrame:
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """conversation, thread, ord, id, position, parent, n_quoted, n_linked, body.
+    """conversation, thread, ord, id, role, position, parent, n_quoted, n_linked, body.
 
-    messages: thread (bigint or null), ord (bigint), id (string, unique), text.
+    messages: thread (bigint or null), ord (bigint), id (string, unique), text, and role if there is one.
     position numbers the messages of a conversation, which come after what they answer.
     """
-    own = messages.select("thread", "ord", "id", parsed(F.col("text")).alias("lines"))
-    own = own.withColumn("body", body(F.col("lines")))
+    role = F.col("role").cast("string") if "role" in messages.columns else F.lit(None).cast("string")
+    own = messages.select("thread", "ord", "id", role.alias("role"), parsed(F.col("text")).alias("lines"))
+    runs = F.when(F.exists("lines", lambda x: x["level"] > 0), passages(F.col("lines")))
+    # Written once, as bodies are read for two indexes and for the result.
+    own = materialise(own.select("thread", "ord", "id", "role", body(F.col("lines")).alias("body"), runs.alias("runs")), "quote-lines")
     linked = links(own)
-    rows = own.select("thread", "ord", "id", "body").join(linked, "id", "left")
+    rows = own.select("thread", "ord", "id", "role", "body").join(linked, "id", "left")
     rows = rows.withColumn("block", F.floor(F.coalesce("ord", F.lit(0)) / BLOCK))
     part = Window.partitionBy("thread", "block").orderBy("ord", "id")
     blocks = blocks_before(rows.filter("thread is not null"), "thread")
@@ -142,11 +192,11 @@ def conversations(messages: DataFrame) -> DataFrame:
         "*", F.row_number().over(part).alias("nth"), F.lag("id").over(part).alias("prev")
     )
     hinted = hinted.join(blocks, (F.col("thread") == F.col("bt")) & (F.col("block") == F.col("bb"))).select(
-        "thread", "block", "ord", "id", "body", "n_quoted", "n_linked", "parent", "parent_thread",
+        "thread", "block", "ord", "id", "role", "body", "n_quoted", "n_linked", "parent", "parent_thread",
         (F.col("before") + F.col("nth")).alias("place"), F.coalesce("prev", "last").alias("prev"),
     )
     loose = rows.filter("thread is null").select(
-        "thread", "block", "ord", "id", "body", "n_quoted", "n_linked", "parent", "parent_thread",
+        "thread", "block", "ord", "id", "role", "body", "n_quoted", "n_linked", "parent", "parent_thread",
         F.lit(1).cast("bigint").alias("place"), F.lit(None).cast("string").alias("prev"),
     )
     every = materialise(hinted.unionByName(loose), "quote-places")
@@ -161,7 +211,20 @@ def conversations(messages: DataFrame) -> DataFrame:
     part = Window.partitionBy("conversation", "block").orderBy("ord", "id")
     found = found.withColumn("nth", F.row_number().over(part))
     return found.join(blocks, (F.col("conversation") == F.col("bt")) & (F.col("block") == F.col("bb"))).select(
-        "conversation", "thread", "ord", "id", (F.col("before") + F.col("nth")).alias("position"),
+        "conversation", "thread", "ord", "id", "role", (F.col("before") + F.col("nth")).alias("position"),
         F.coalesce("parent", "prev").alias("parent"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"),
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "body",
     )
+
+
+def transcripts(found: DataFrame, rows: int = 256) -> DataFrame:
+    """conversation, part, first, last, text: the bodies in reply order, each after its role, `rows` messages to a part.
+
+    found: the result of `conversations`. No row holds more than a part, however long a conversation is.
+    """
+    said = F.concat(F.coalesce(F.concat("role", F.lit(": ")), F.lit("")), "body")
+    part = F.floor((F.col("position") - 1) / rows)
+    each = found.filter("body <> ''").groupBy("conversation", part.alias("part")).agg(
+        F.min("position").alias("first"), F.max("position").alias("last"), F.array_sort(F.collect_list(F.struct("position", said.alias("said")))).alias("all")
+    )
+    return each.select("conversation", "part", "first", "last", F.array_join(F.transform("all", lambda x: x["said"]), "\n\n").alias("text"))
