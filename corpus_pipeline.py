@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, language, packing, toxicity
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import materialise, plain, table
 from tidemark.session import prepare
 
 
@@ -44,9 +44,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return kept
     # Of repeated rows of one id the least stays.
     again = kept.join(twice, "doc_id", "left_semi")
-    whole = F.struct(*[again[c] for c in docs.columns])
-    one = again.groupBy("doc_id").agg(F.min(whole).alias("one")).select("one.*").select(*docs.columns)
-    return jaccard.without(kept, twice).select(*docs.columns).unionByName(one)
+    # By a hash, as not all types can be compared; map columns have none.
+    names = docs.columns
+    whole = F.struct(*[plain(c) for c in names])
+    mark = F.xxhash64(*[plain(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = again.groupBy("doc_id").agg(F.min_by(whole, mark).alias("one")).select("one.*").select(*map(plain, names))
+    return jaccard.without(kept, twice).select(*map(plain, names)).unionByName(one)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
