@@ -500,11 +500,15 @@ def test_bpe_equals_tiktoken(docs, odd, none):
 
 
 def test_bpe_fold_in_sql_functions(spark):
-    ranks = {t: k for t, k in bpe.load_ranks(bpe.default_path()).items() if k < 400}
-    words = ["the", "there", "a", "", "inner", "ation", "thththing"]
-    df = spark.createDataFrame([(w.encode(),) for w in words], "w binary")
-    for r in df.select("w", bpe.fold_words(F.col("w"), ranks).alias("ids")).collect():
-        assert r.ids == (bpe.merge(bytes(r.w), ranks) if r.w else [])
+    ranks = bpe.load_ranks(bpe.default_path())
+    r = random.Random(2)
+    words = ["the", "there", "a", "", " inner", "ation", "thththing", "\0\0", "éàü ñ", "aaaaaaa", "日本語", "x" * 70]
+    words += ["".join(r.choice(["an", "ou", "é", " ", "th", "er", "zq", "1", "\n"]) for _ in range(r.randint(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame([(w.encode(),) for w in words], "word binary")
+    got = bpe.fold_words(df, ranks).collect()
+    assert {bytes(x.word) for x in got} == {w.encode() for w in words}
+    for x in got:
+        assert x.ids == (bpe.merge(bytes(x.word), ranks) if x.word else []) and x.decoded == x.word
 
 
 # --- 10

@@ -2,10 +2,10 @@
 
 A text is cut into the pieces of the public pattern; each distinct piece is
 folded from single bytes by repeatedly merging the adjacent pair of lowest
-rank. `fold_words` is this fold with Spark's higher-order functions and a
-literal rank map; `encode` runs the same fold in Arrow batches, over the
-distinct chunks that a worker has met, and is the one for whole tables (README
-has the figures).
+rank. `fold_words` is this fold of distinct words with Spark's higher-order
+functions and a literal rank map; `encode` and `digest` run the same fold in
+Arrow batches, over the distinct chunks that a worker has met, and are the ones
+for whole tables (README has the figures of both).
 
 Defined results: null is the empty text, which has no token; texts are read
 whole; equal texts get equal ids; an empty table gives an empty result.
@@ -15,17 +15,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+import zlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct chunks that a worker remembers before it starts anew.
-CACHE_CHUNKS = 800_000
+from tidemark.llm.common import FORGET, lean
+
+#: Bytes of chunks, ids and decoded pieces that a worker remembers before it starts anew, with what an entry costs.
+CACHE_BYTES = 250_000_000
+ENTRY = 330
 
 
 def default_path() -> str:
@@ -101,18 +105,21 @@ class Coder:
         self.odd_space = re.compile(r"^\s|\s\s|\s$")
         self.known: dict[str, tuple[str, bytes, int]] = {}
         self.merged: dict[str, list[int]] = {}
+        self.held = 0
 
     def piece(self, text: str) -> list[int]:
         """Ids of a piece; chunks that differ in punctuation share their words."""
         got = self.merged.get(text)
         if got is None:
             got = self.merged[text] = merge(text.encode(), self.ranks)
+            self.held += 2 * len(text) + 36 * len(got) + 200
         return got
 
     def learn(self, chunk: str) -> tuple[str, bytes, int]:
         ids = [i for p in self.pattern.findall(chunk) for i in self.piece(p)]
         got = ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids]), len(ids)
         self.known[chunk] = got
+        self.held += 2 * len(chunk) + len(got[0]) + len(got[1]) + ENTRY
         return got
 
     def chunks(self, text: str) -> list[str]:
@@ -125,9 +132,10 @@ class Coder:
 
     def code(self, text: str | None) -> tuple[str, bytes, int]:
         """Ids joined by commas, the bytes that they decode to, and their number."""
-        if len(self.known) > CACHE_CHUNKS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
             self.merged.clear()
+            self.held = 0
         get, learn = self.known.get, self.learn
         got = [get(c) or learn(c) for c in self.chunks(text or "")]
         return ",".join([g[0] for g in got]), b"".join([g[1] for g in got]), sum([g[2] for g in got])
@@ -140,9 +148,15 @@ class Coder:
         return b"".join([self.pieces[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
+_OPEN: dict[str, Coder] = {}
+
+
 def coder(path: str) -> Coder:
-    return Coder(path)
+    """The coder of a path, kept with its chunks for the next task of the worker."""
+    if path not in _OPEN:
+        _OPEN[path] = Coder(path)
+    FORGET["chunks"] = _OPEN.clear
+    return _OPEN[path]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -161,7 +175,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 )
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run, "chunks"), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -186,33 +200,85 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        lean(run, "chunks"), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )
 
 
-def fold_words(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of a binary column of pieces, by higher-order functions over a literal rank map.
+#: Buckets of the literal rank map: a bucket of a vocabulary of 50,000 holds one or two entries, ten at most.
+BUCKETS = 1 << 15
+NO_RANK = 1 << 30
+
+
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks as a literal array of small maps, by the crc32 of a piece; Spark folds it to a constant.
+
+    Bytes are the characters U+0000 to U+00FF. Spark looks a key up by a scan of
+    its map, so one map of all ranks would cost 50,000 comparisons a look.
+    """
+    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for tok, rank in ranks.items():
+        word = tok.decode("latin-1")
+        maps[zlib.crc32(word.encode()) % BUCKETS][word] = rank
+    return F.from_json(F.lit(json.dumps(maps)), F.lit("array<map<string,int>>"))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def rank_of(table: Column, word: Column) -> Column:
+    return F.get(table, (F.crc32(word) % BUCKETS).cast("int"))[word]
 
-    Each step of the fold merges the leftmost pair of lowest rank; a piece of n
-    bytes takes n - 1 steps. Spark looks up a literal map by a scan, so this is
-    for vocabularies of some hundreds of entries.
+
+def fold(word: Column, table: Column) -> Column:
+    """Ids of a piece (a string of bytes): its bytes, folded by the merge of lowest rank, the leftmost first.
+
+    The state has the parts and the rank of each with its right neighbour, so a
+    merge looks two pairs up. Steps after the last merge change nothing.
     """
-    table = F.create_map(*[x for tok, rank in ranks.items() for x in (F.lit(tok), F.lit(rank))])
-    one = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    parts = F.when(F.length(word) > 0, one).otherwise(F.array().cast("array<binary>"))
 
-    def pair(acc: Column, i: Column) -> Column:
-        return F.concat(F.element_at(acc, i), F.element_at(acc, i + 1))
+    def paired(left: Column, right: Column) -> Column:
+        return F.coalesce(rank_of(table, F.concat(left, right)), F.lit(NO_RANK))
+
+    def merged(acc: Column, i: Column) -> Column:
+        p, r = acc["p"], acc["r"]
+
+        def put(x: Column) -> Column:
+            before = F.concat(F.slice(r, F.lit(1), i - 1), F.array(paired(F.get(p, i - 1), x)))
+            return F.struct(
+                F.concat(F.slice(p, F.lit(1), i), F.array(x), F.slice(p, i + 3, F.size(p))).alias("p"),
+                F.concat(
+                    F.when(i > 0, before).otherwise(F.array().cast("array<int>")), F.array(paired(x, F.get(p, i + 2))), F.slice(r, i + 3, F.size(r))
+                ).alias("r"),
+            )
+
+        return bound(F.concat(F.get(p, i), F.get(p, i + 1)), put)
 
     def step(acc: Column, _: Column) -> Column:
-        at = F.when(F.size(acc) > 1, F.sequence(F.lit(1), F.size(acc) - 1)).otherwise(F.array().cast("array<int>"))
-        rated = F.transform(at, lambda i: F.struct(F.element_at(table, pair(acc, i)).alias("r"), i.alias("i")))
-        best = F.array_min(F.filter(rated, lambda s: s["r"].isNotNull()))
-        i = best["i"]
-        merged = F.concat(
-            F.slice(acc, F.lit(1), i - 1), F.array(pair(acc, i)), F.slice(acc, i + 2, F.greatest(F.size(acc) - i - 1, F.lit(0)))
-        )
-        return F.when(best.isNull(), acc).otherwise(merged)
-
-    done = F.aggregate(parts, parts, step)
-    return F.transform(done, lambda p: F.element_at(table, p))
+        at = lambda low: (F.array_position(acc["r"], low) - 1).cast("int")
+        return bound(F.array_min(acc["r"]), lambda low: F.when(low >= NO_RANK, acc).otherwise(bound(at(low), lambda i: merged(acc, i))))
+
+    def run(parts: Column) -> Column:
+        first = F.transform(parts, lambda p, i: paired(p, F.get(parts, i + 1)))
+        steps = F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2)))
+        return F.aggregate(steps, F.struct(parts.alias("p"), first.alias("r")), step, lambda acc: F.transform(acc["p"], lambda p: rank_of(table, p)))
+
+    known = rank_of(table, word)
+    return F.when(known.isNotNull(), F.array(known)).when(F.length(word) > 0, bound(F.split(word, ""), run)).otherwise(F.array().cast("array<int>"))
+
+
+def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """word (binary), ids and decoded of every row of words, by higher-order functions alone.
+
+    The literal map is bound once for each row of a block of words.
+    """
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for tok, rank in ranks.items():
+        pieces[rank] = tok
+    listed = F.from_json(F.lit(json.dumps([t.decode("latin-1") for t in pieces])), F.lit("array<string>"))
+    blocks = words.select(F.decode("word", "ISO-8859-1").alias("word")).groupBy((F.xxhash64("word") % 256).alias("block")).agg(F.collect_set("word").alias("words"))
+    ids = bound(rank_map(ranks), lambda t: F.transform("words", lambda w: F.struct(w.alias("word"), fold(w, t).alias("ids"))))
+    rows = blocks.select(bound(listed, lambda p: F.transform(ids, lambda x: F.struct(x["word"].alias("word"), x["ids"].alias("ids"), F.array_join(F.transform(x["ids"], lambda i: F.get(p, i)), "").alias("decoded")))).alias("x"))
+    rows = rows.select(F.explode("x").alias("x"))
+    return rows.select(F.encode("x.word", "ISO-8859-1").alias("word"), "x.ids", F.encode("x.decoded", "ISO-8859-1").alias("decoded"))
