@@ -16,7 +16,7 @@ every link lies inside at least one region. Then
 * what is left, such as large groups of near copies, is joined around pivots:
   each region's members are measured against its pivots, members within the
   radius are linked, a pair is left out where the triangle inequality through
-  the first pivot rules it out, and the region is joined again with four
+  one of the first pivots rules it out, and the region is joined again with four
   times the pivots until all of it is one component or each pair has been decided.
 
 Each measured pair is compared on whole sets. Equal sets are one class from
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import lean, materialise
 
 SHINGLE = 5
 #: Documents of a region that is joined whole.
@@ -49,6 +49,8 @@ SMALL = 8
 HEAD = 8
 #: Pivots of a large region in its first round.
 FIRST_PIVOTS = 8
+#: Pivots of the first round through which the triangle inequality is applied.
+FAR = 3
 #: Low hashes that a reducing task takes, about.
 TASK_HASHES = 1_500_000
 #: Ids in a broadcast at most; beyond it, joins shuffle.
@@ -116,20 +118,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(buckets: int):
-    """Packed (hash, document, size) by bucket of the hash: the used hashes of texts, or all of given sets."""
+    """Packed (hash, document, size) by bucket of the hash: the used hashes of texts, or all of given sets.
+
+    A hash of more than SMALL documents here makes a large region, whatever other
+    tasks have: its postings go to bucket -1, which is not shuffled, and one
+    posting of node -1 tells its bucket. So a bucket gets at most SMALL + 1
+    postings of a hash from each block, however many documents share it.
+    """
 
     def pack(keys: list, nodes: list, sizes: list) -> pa.RecordBatch:
         key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
-        own = (key % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((node, key))
+        key, node, size = key[order], node[order], size[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        many = np.diff(np.append(start, len(key)))
+        hot = np.repeat(many > SMALL, many)
+        marks = key[start[many > SMALL]]
+        own = np.where(hot, 0, (key % np.uint64(buckets)).astype(np.int32) + 1)
+        key, node, size = np.concatenate([key, marks]), np.concatenate([node, np.full(len(marks), -1)]), np.concatenate([size, np.zeros(len(marks), np.int32)])
+        own = np.concatenate([own, (marks % np.uint64(buckets)).astype(np.int32) + 1])
         order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(buckets + 1))
+        cuts = np.searchsorted(own[order], np.arange(buckets + 2))
         rows = []
         for b in np.flatnonzero(np.diff(cuts)):
             i = order[cuts[b] : cuts[b + 1]]
             k = key[i]
             rows.append(
                 (
-                    int(b),
+                    int(b) - 1,
                     (k & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
                     (k >> np.uint64(32)).astype("<u2").tobytes(),
                     np.diff(node[i], prepend=0).astype("<i8").tobytes(),
@@ -163,14 +179,42 @@ def _postings(buckets: int):
     return run
 
 
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for low, high, node, size in zip(*[batch.column(c).to_pylist() for c in range(1, 5)]):
+        key = np.frombuffer(low, "<u4").astype(np.int64) | (np.frombuffer(high, "<u2").astype(np.int64) << 32)
+        yield key, np.cumsum(np.frombuffer(node, "<i8")), np.frombuffer(size, "<i4")
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(a), 65536):
+        cut = slice(at, at + 65536)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(a[cut]), kind, np.int32)),
+                pa.array(a[cut]),
+                pa.array(b[cut]),
+                pa.array(n_a[cut].astype(np.int64)),
+                pa.array(n_b[cut].astype(np.int64)),
+            ],
+            ["kind", "a", "b", "n_a", "n_b"],
+        )
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 1 from bucket -1."""
+    for batch in batches:
+        for key, node, size in _unpacked(batch):
+            yield from _rows(1, node, key, size, size)
+
+
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind 0: pair a, b of a small region; kind 1: member a of the large region b), with sizes."""
     keys, nodes, sizes = [], [], []
     for batch in batches:
-        for low, high, node, size in zip(*[batch.column(c).to_pylist() for c in range(1, 5)]):
-            keys.append(np.frombuffer(low, "<u4").astype(np.int64) | (np.frombuffer(high, "<u2").astype(np.int64) << 32))
-            nodes.append(np.cumsum(np.frombuffer(node, "<i8")))
-            sizes.append(np.frombuffer(size, "<i4"))
+        for key, node, size in _unpacked(batch):
+            keys.append(key)
+            nodes.append(node)
+            sizes.append(size)
     if not keys:
         return
     key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
@@ -181,30 +225,17 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, node, size = key[once], node[once], size[once]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(start, len(key)))
-    large = np.repeat(count > SMALL, count)
-
-    def rows(kind, a, b, n_a, n_b):
-        for at in range(0, len(a), 65536):
-            cut = slice(at, at + 65536)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(a[cut]), kind, np.int32)),
-                    pa.array(a[cut]),
-                    pa.array(b[cut]),
-                    pa.array(n_a[cut].astype(np.int64)),
-                    pa.array(n_b[cut].astype(np.int64)),
-                ],
-                ["kind", "a", "b", "n_a", "n_b"],
-            )
-
-    yield from rows(1, node[large], key[large], size[large], size[large])
+    # A node of -1 stands first among its hash's and says that the region is large.
+    count = np.where(node[start] < 0, SMALL + 1, count)
+    large = np.repeat(count > SMALL, np.diff(np.append(start, len(key)))) & (node >= 0)
+    yield from _rows(1, node[large], key[large], size[large], size[large])
     for c in range(2, SMALL + 1):
         first = start[count == c]
         for i in range(c):
             for j in range(i + 1, c):
                 n_a, n_b = size[first + i].astype(np.int64), size[first + j].astype(np.int64)
                 fits = 5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b)
-                yield from rows(0, node[first + i][fits], node[first + j][fits], n_a[fits], n_b[fits])
+                yield from _rows(0, node[first + i][fits], node[first + j][fits], n_a[fits], n_b[fits])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +319,10 @@ def _prefixes(member: DataFrame) -> DataFrame:
     Two that must share ceil(0.8 n) of n hashes in large regions share one of the
     first large - ceil(0.8 n) + 1 of each. head: the first HEAD of these.
     """
-    own = member.groupBy("node", "n", "large").agg(F.array_sort(F.collect_list("region")).alias("all"))
+    own = member.groupBy("node", "n", "large").agg(F.array_sort(F.collect_set("region")).alias("all"))
     own = own.withColumn("all", F.slice("all", F.lit(1), (F.col("large") - F.ceil(F.col("n") * 8 / 10 - 1e-9) + 1).cast("int")))
     return own.select(
-        F.explode("all").alias("region"), "node", "n", "large", F.slice("all", 1, HEAD).alias("head"), F.lit(None).cast("double").alias("far")
+        F.explode("all").alias("region"), "node", "n", "large", F.slice("all", 1, HEAD).alias("head"), F.lit(None).cast("array<double>").alias("far")
     )
 
 
@@ -320,8 +351,9 @@ def _pivot_rounds(members: DataFrame, sets: DataFrame, links: DataFrame) -> Data
             "region", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("large").alias("large_p"),
             F.col("comp").alias("comp_p"), F.col("far").alias("far_p"), F.col("head").alias("head_p"), "nth",
         )
-        # The triangle inequality through the first pivot: distances of linked documents differ by 0.2 at most.
-        window = F.coalesce(F.abs(F.col("far") - F.col("far_p")) <= 0.2 + 1e-9, F.lit(True))
+        # The triangle inequality through each of the first pivots: distances of linked documents differ by 0.2 at most.
+        apart = F.exists(F.zip_with("far", "far_p", lambda x, y: F.coalesce(F.abs(x - y) > 0.2 + 1e-9, F.lit(False))), lambda x: x)
+        window = ~F.coalesce(apart, F.lit(False))
         pairs = (
             state.join(pivots, "region")
             .filter((F.col("comp") != F.col("comp_p")) & (F.col("node") != F.col("p")))
@@ -335,9 +367,11 @@ def _pivot_rounds(members: DataFrame, sets: DataFrame, links: DataFrame) -> Data
         measured = materialise(measure(pairs, sets), "measured")
         if number == 0:
             far = measured.select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("d"))
-            first = state.join(pivots.filter("nth = 1").select("region", "p"), "region").select("region", "node", "p")
-            first = first.select("region", "node", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-            d = first.join(far, ["a", "b"]).select("region", "node", "d")
+            first = state.join(pivots.filter(F.col("nth") <= FAR).select("region", "p", "nth"), "region")
+            first = first.select("region", "node", "nth", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+            d = first.join(far, ["a", "b"]).groupBy("region", "node").agg(
+                F.array(*[F.max(F.when(F.col("nth") == k, F.col("d"))) for k in range(1, FAR + 1)]).alias("d")
+            )
             members = members.join(d, ["region", "node"], "left")
             members = materialise(members.withColumn("far", F.coalesce("d", "far")).drop("d"), "members")
         comp = joined(comp, measured.filter(linked()).select("a", "b"))
@@ -351,11 +385,13 @@ def _join_regions(rows: DataFrame, hashes: int, least: int) -> tuple[DataFrame,
     rows: an id, and a text or a set.
     """
     tasks = max(1, -(-hashes // TASK_HASHES), least)
-    packed = rows.mapInArrow(_postings(tasks), "bucket int, low binary, high binary, node binary, size binary")
-    found = packed.repartition(tasks, "bucket").mapInArrow(_regions, "kind int, a bigint, b bigint, n_a bigint, n_b bigint")
-    found = materialise(found, "found")
+    packed = rows.mapInArrow(lean(_postings(tasks)), "bucket int, low binary, high binary, node binary, size binary")
+    packed = materialise(packed, "postings")
+    schema = "kind int, a bigint, b bigint, n_a bigint, n_b bigint"
+    cold = packed.filter("bucket >= 0").repartition(tasks, "bucket").mapInArrow(lean(_regions), schema)
+    found = materialise(cold.unionByName(packed.filter("bucket < 0").mapInArrow(lean(_members), schema)), "found")
     member = found.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("region"), F.col("n_a").alias("n"))
-    large = materialise(member.groupBy("node", "n").agg(F.count("*").alias("large")), "large")
+    large = materialise(member.groupBy("node", "n").agg(F.count_distinct("region").alias("large")), "large")
     small = found.filter("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("same"))
     return small, member, large
 
@@ -372,7 +408,7 @@ def _enough(pairs: DataFrame, large: DataFrame, need: Column) -> DataFrame:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
-    classes = materialise(own.mapInArrow(_sets, "doc_id bigint, n bigint, mark binary"), "sets")
+    classes = materialise(own.mapInArrow(lean(_sets), "doc_id bigint, n bigint, mark binary"), "sets")
     # Equal sets are one class, named by its least id; counted in every map task first.
     alike = classes.filter("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"))
     alike = materialise(alike.filter("rows > 1").select("mark", "node"), "alike")
@@ -388,7 +424,7 @@ def components(docs: DataFrame) -> DataFrame:
     dense = materialise(dense, "dense")
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(dense).distinct()
     nodes = materialise(nodes, "nodes")
-    sets = materialise(_only(own, nodes, "left_semi").mapInArrow(_whole_sets, "node bigint, hashes array<bigint>"), "whole")
+    sets = materialise(_only(own, nodes, "left_semi").mapInArrow(lean(_whole_sets), "node bigint, hashes array<bigint>"), "whole")
     again = sets.join(dense, "node", "left_semi").select("node", "hashes")
     total = again.agg(F.sum(F.size("hashes"))).first()[0] or 0
     small, member, large = _join_regions(again, int(total), sets.rdd.getNumPartitions())
