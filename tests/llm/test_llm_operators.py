@@ -57,17 +57,45 @@ def utf8(text):
 def test_audio_round_trip(docs, odd, none):
     for df in (docs, odd):
         texts = sorted((utf8(r.text) for r in df.select("text").collect()))
-        got = audio.features(df).collect()
-        assert sorted(r.n_bytes for r in got) == sorted(map(len, texts))
-        for r in got:
-            rate, back = audio.read_wav(bytes(r.media))
+        stored = audio.features(df)
+        got = {r.payload_sha256: r for r in audio.read_back(stored).collect()}
+        raw = stored.collect()
+        assert sorted(r.n_bytes for r in raw) == sorted(map(len, texts))
+        for m in raw:
+            rate, back = audio.read_wav(bytes(m.media))
+            r = got[hashlib.sha256(back).hexdigest()]
             assert rate == audio.RATE and len(back) % 64 == 0 and len(back) == r.payload_bytes > 0
-            assert hashlib.sha256(back).hexdigest() == r.payload_sha256 and zlib.crc32(back[-64:]) == r.tail_crc32
-            assert hashlib.sha256(bytes(r.media)).hexdigest() == r.media_sha256 and back[: r.n_bytes] in texts
-    table = pa.ipc.open_stream(bytes(got[0].tensors)).read_all()
-    assert table.schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float32(), (audio.FRAMES, audio.MELS))
+            assert zlib.crc32(back[-64:]) == r.tail_crc32 and len(m.media) == r.media_bytes
+            assert hashlib.sha256(bytes(m.media)).hexdigest() == r.media_sha256 and back[: m.n_bytes] in texts
+            mel, energy = audio.log_mel(back)
+            runs = audio.energy_segments(energy)
+            table = pa.ipc.open_stream(bytes(m.tensors)).read_all()
+            assert r.feature.startswith(f"frames={len(mel)};tensors={-(-len(mel) // audio.FRAMES)};segments={len(runs)};voiced={sum(b - a for a, b in runs)};")
+            kept = table["log_mel"].combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)
+            assert np.allclose(kept[: len(mel)], mel, atol=0.01) and (kept[len(mel) :] == -6).all()
+    assert table.schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float16(), (audio.FRAMES, audio.MELS))
     assert all(a < b for a, b in zip(table["start_s"].to_pylist(), table["end_s"].to_pylist()))
-    assert audio.features(none).count() == 0
+    assert audio.round_trip(none).count() == 0
+
+
+def test_log_mel_equals_plain():
+    rng = np.random.default_rng(6)
+    samples = rng.integers(0, 256, 1280, dtype=np.uint8).tobytes()
+    mel, _ = audio.log_mel(samples)
+    x = np.frombuffer(samples, np.uint8) / 128 - 1
+    y = audio.resample(x.astype(np.float32), 0, len(x) * audio.UP // audio.DOWN).astype(np.float64)
+    top = 2595 * np.log10(1 + audio.RATE_OUT / 2 / 700)
+    edge = [700 * (10 ** (top * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    for f in range(len(mel)):
+        part = [y[f * audio.HOP + n] * (0.5 - 0.5 * np.cos(2 * np.pi * n / audio.SIZE)) for n in range(audio.SIZE)]
+        for m in range(audio.MELS):
+            total = 0.0
+            for k in range(129):
+                hz = k * audio.RATE_OUT / 256
+                w = max(0.0, min((hz - edge[m]) / (edge[m + 1] - edge[m]), (edge[m + 2] - hz) / (edge[m + 2] - edge[m + 1])))
+                if w and f < 3:
+                    total += w * abs(sum(v * np.exp(-2j * np.pi * k * n / 256) for n, v in enumerate(part))) ** 2
+            assert f >= 3 or abs(np.log10(total + 1e-6) - mel[f, m]) < 1e-3
 
 
 def test_audio_signal():
@@ -107,7 +135,7 @@ def test_quality_rules(docs, odd, none):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, rep)
         assert r.base_failed == (n < 20 or 100 * rep > 30 * n) and not (r.base_failed and r.kept)
     fine = [r for r in got if not r.base_failed]
-    assert 0.8 * len(fine) < sum(r.kept for r in fine) < len(fine)
+    assert 0.7 * len(fine) < sum(r.kept for r in fine) < len(fine)
     edge = quality.judge(odd).collect()
     assert len(edge) == 10 and all(r.base_failed for r in edge if r.n_words == 0)
     assert quality.judge(none).count() == 0
@@ -121,8 +149,43 @@ def test_sketches_merge(spark):
     two = quality.sketches(df.repartition(7)).groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
     assert one.exceptAll(two).count() == 0
     q = quality.quantiles(one, ["lang"]).filter("ratio = 'long_words'").first()
-    exact = np.quantile([r[2] / 10 for r in rows], [0.5, 0.75])
-    assert abs(q.q50 / exact[0] - 1) < 0.03 and abs(q.q75 / exact[1] - 1) < 0.03
+    exact = np.quantile([r[2] / 10 for r in rows], [0.5, 0.9])
+    assert abs(q.q50 / exact[0] - 1) < 0.03 and abs(q.tail / exact[1] - 1) < 0.03
+
+
+def test_kept_equals_plain(docs):
+    """The verdict from sorted values of whole groups instead of sketches, up to a bucket's width."""
+    got = quality.judge(docs).collect()
+    value = {
+        "symbols": lambda r: r.n_symbols / r.n_words, "dup_lines": lambda r: 10 * r.n_dup_lines / r.n_words, "repeats": lambda r: r.n_repeat_words / r.n_words,
+        "stutters": lambda r: r.n_stutters / r.n_words, "long_words": lambda r: r.word_chars / r.n_words, "short_words": lambda r: 20 * r.n_words / r.word_chars,
+    }
+    fine = [r for r in got if not r.base_failed]
+
+    def fence(rows, k):
+        v = sorted(value[k](r) if value[k](r) > quality.LEAST else 0.0 for r in rows)
+        at = lambda rank: v[max(rank, 1) - 1]
+        q50, tail = at(-(-len(v) // 2)), at(int(np.ceil(len(v) * quality.TAIL)))
+        some = [x for x in v if x]
+        return tail + quality.FENCE * (tail - q50) if tail else some[max(1, int(np.ceil(len(some) * quality.SPARSE[k]))) - 1] if some else np.inf
+
+    def top(r, k):
+        for same in (lambda x: (x.lang, x.source) == (r.lang, r.source), lambda x: x.lang == r.lang, lambda x: True):
+            rows = [x for x in fine if same(x)]
+            if len(rows) >= quality.LEAST_ROWS:
+                break
+        return fence(rows, k)
+
+    tops, sure = {}, 0
+    for r in fine:
+        for k in value:
+            if (r.lang, r.source, k) not in tops:
+                tops[(r.lang, r.source, k)] = top(r, k)
+        share = [value[k](r) / tops[(r.lang, r.source, k)] for k in value]
+        if all(s < 0.9 for s in share) or any(s > 1.1 for s in share):
+            sure += 1
+            assert r.kept == all(s < 0.9 for s in share)
+    assert sure > 0.5 * len(fine) and len({round(v, 3) for v in tops.values()}) >= 6
 
 
 def test_quality_fences_adapt(spark):
@@ -601,6 +664,31 @@ def test_quotes_plan_is_native(spark):
 # --- queries and pipeline
 
 
+def test_html_parts_of_an_article():
+    for part, want in (
+        ('<div class="overflow-hidden"><p>Body text.</p></div>', "Body text."), ('<p aria-hidden="false">Body text.</p>', "Body text."), ('<p data-note="no hidden cost">Body text.</p>', "Body text."),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>", "Let x=2 be."), ("<p>See <svg><text>Figure 1</text></svg> here.</p>", "See Figure 1 here."),
+    ):
+        assert html.extract(f"<html><body><nav>Menu</nav><article>{part}</article></body></html>") == want
+
+
+def test_surge_and_dive_choose_without_telling_names():
+    story = ["A first paragraph of the story, long enough to count as text for any reader." for _ in range(6)]
+    menu = "".join(f'<div><a href="/{k}">Link {k}</a></div>' for k in range(12))
+    page = f"<html><body><div>{menu}</div><div>" + "".join(f"<div>{x}</div>" for x in story) + f"</div><div>{menu}</div></body></html>"
+    assert html.extract(page) == "\n".join(story)
+    weights = [0, 0, 5, 80, 70, 0, 3, 90, 0, 0, 0, 2, 0]
+    plain = []
+    for i in range(len(weights)):
+        inside = any(a <= i < b for a, b in plain)
+        if not inside and weights[i] and sum(weights[i : i + 3]) >= 60:
+            j = i
+            while j < len(weights) and sum(weights[j : j + 3]) > 0:
+                j += 1
+            plain.append((i, j))
+    assert html.stretches(weights) == plain
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_covers_its_table(spark, name):
     table = {"op4_html_text": "pages", "op10_chat_quotes": "conversations", "chat_turns": "conversations", "chat_transcripts": "conversations"}.get(name, "documents")

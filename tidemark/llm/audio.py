@@ -4,7 +4,9 @@ A payload is stored as a mono 8-bit PCM WAV file and read back from those
 bytes. The samples are resampled by a polyphase filter, cut into overlapped
 frames, and turned into log-mel filterbanks; segments of energy are found with
 two thresholds (hysteresis). Filterbanks are stored as fixed-shape Arrow
-tensors of FRAMES x MELS, each with the time span that it covers.
+tensors of FRAMES x MELS half-precision numbers, each with the time span that
+it covers. `store` writes media and tensors as a table; `read_back` measures
+what is in it.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; the last
 tensor is padded with the floor value and its span ends with the last frame;
@@ -17,13 +19,15 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import lean, materialise
+
 UNIT = 64
 RATE = 8000
 #: Resampling by UP / DOWN: 8 kHz to 6 kHz.
@@ -147,9 +151,9 @@ def energy_segments(energy: np.ndarray, up: float = 0.5, down: float = 0.5) -> l
 def tensors(mel: np.ndarray) -> pa.RecordBatch:
     """start_s, end_s and a fixed-shape tensor of FRAMES x MELS per block of frames."""
     n = -(-len(mel) // FRAMES)
-    full = np.full((n * FRAMES, MELS), -6, np.float32)
+    full = np.full((n * FRAMES, MELS), -6, np.float16)
     full[: len(mel)] = mel
-    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
+    kind = pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS))
     flat = pa.FixedSizeListArray.from_arrays(pa.array(full.reshape(-1)), FRAMES * MELS)
     first = np.arange(n) * FRAMES
     last = np.minimum(first + FRAMES, len(mel)) - 1
@@ -170,30 +174,39 @@ def to_ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def measure(text: str | None, keep: bool = True) -> dict:
-    """All columns of one text; with keep, the media and tensor bytes too."""
+def made(text: str | None) -> dict:
+    """What is stored of one text: its unpadded length, media, tensors and energy segments."""
     n, payload = to_payload(text)
     media = write_wav(payload)
-    _, back = read_wav(media)
-    mel, energy = log_mel(back)
+    mel, energy = log_mel(read_wav(media)[1])
     runs = energy_segments(energy)
-    batch = tensors(mel)
-    values = batch.column(2).storage.flatten().to_numpy(zero_copy_only=False)
+    return {
+        "n_bytes": n,
+        "media": media,
+        "tensors": to_ipc(tensors(mel)),
+        "segments": [{"start_s": a * HOP / RATE_OUT, "end_s": ((b - 1) * HOP + SIZE) / RATE_OUT} for a, b in runs],
+    }
+
+
+def told(n: int, media: bytes, ipc: bytes, segments: list[dict]) -> dict:
+    """The digests of what was stored, from its bytes."""
+    _, back = read_wav(media)
+    with pa.ipc.open_stream(ipc) as source:
+        batch = source.read_next_batch()
+    values = batch.column(2).storage.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
     digest = hashlib.sha256(np.round(values * 100).astype("<i2").tobytes()).hexdigest()[:16]
-    voiced = sum(b - a for a, b in runs)
-    out = {
+    frames = 1 + round((batch.column(1)[-1].as_py() * RATE_OUT - SIZE) / HOP)
+    voiced = sum(round(((s["end_s"] - s["start_s"]) * RATE_OUT - SIZE) / HOP) + 1 for s in segments)
+    return {
         "n_bytes": n,
         "payload_bytes": len(back),
         "payload_sha256": hashlib.sha256(back).hexdigest(),
         "tail_crc32": zlib.crc32(back[-UNIT:]),
         "media_bytes": len(media),
         "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": f"frames={len(mel)};tensors={batch.num_rows};segments={len(runs)};voiced={voiced};mel={digest}",
-        "segments": [{"start_s": a * HOP / RATE_OUT, "end_s": ((b - 1) * HOP + SIZE) / RATE_OUT} for a, b in runs],
+        "feature": f"frames={frames};tensors={batch.num_rows};segments={len(segments)};voiced={voiced};mel={digest}",
+        "segments": segments,
     }
-    if keep:
-        out |= {"media": media, "tensors": to_ipc(batch)}
-    return out
 
 
 _KIND = {
@@ -213,19 +226,36 @@ _KIND = {
 }
 
 
-def features(docs: DataFrame, keep: bool = True, columns: tuple[str, ...] = tuple(_KIND)) -> DataFrame:
-    """doc_id and the columns of `measure`; without keep, media and tensors are made, read and dropped."""
-    names = [c for c in columns if keep or c not in ("media", "tensors")]
+STORED = ("n_bytes", "media", "tensors", "segments")
+TOLD = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "segments")
+
+
+def _rows(source: DataFrame, names: tuple[str, ...], one: Callable[..., dict]) -> DataFrame:
+    """doc_id and `names` of one(the other columns) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                rows = [measure(t, keep) for t in part.column(1).to_pylist()]
+                rows = [one(*x) for x in zip(*[part.column(k).to_pylist() for k in range(1, part.num_columns)])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *[pa.array([r[c] for r in rows], _KIND[c][0]) for c in names]], ["doc_id", *names]
                 )
 
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}", *[f"{c} {_KIND[c][1]}" for c in names]])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    kind = source.schema[0].dataType.simpleString()
+    return source.mapInArrow(lean(run), ", ".join([f"doc_id {kind}", *[f"{c} {_KIND[c][1]}" for c in names]]))
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media, tensors (an Arrow stream) and segments of every text."""
+    return _rows(docs.select("doc_id", "text"), STORED, made)
+
+
+def read_back(stored: DataFrame) -> DataFrame:
+    """doc_id and the columns of `told` from a stored table."""
+    return _rows(stored.select("doc_id", *STORED), TOLD, told)
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """Store media and tensors in the shared folder and measure what is there."""
+    return read_back(materialise(features(docs), "media"))

@@ -57,6 +57,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to a Python worker at once.
+ROWS = 2048
+
+
 def release() -> None:
     """Give what a worker has freed back to the system; workers outlive their tasks."""
     gc.collect()
@@ -68,7 +72,13 @@ def release() -> None:
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same work for mapInArrow, with memory handed back before and after; only the cache named `keeps` stays."""
+    """The same work for mapInArrow, with memory handed back before and after; only the cache named `keeps` stays.
+
+    Batches are small where the session names no size: whole texts are wide rows.
+    """
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ROWS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in [k for k in FORGET if k != keeps]:

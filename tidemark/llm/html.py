@@ -9,6 +9,8 @@ kept, the stretch of most text first. If a page marks articles, the largest of
 them is measured against the largest stretch outside: if it holds as much, the
 marked lines are the text; if not, marks count for nothing.
 
+White space is what Unicode calls so, no-break spaces too.
+
 Defined results: null or empty html, and pages without text, give an empty
 text; unclosed tags end with the page; repeated rows give a row each; equal
 stretches are taken in page order; an empty table gives an empty result; only
@@ -25,17 +27,22 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import lean
+
 #: Lines of a sliding window.
 WINDOW = 3
 #: A window surges with at least this much text.
 SURGE = 60
 
 #: Fixed values of HTML: elements whose content is no text, void elements, and elements within a line.
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title", "textarea")
+RAW = ("script", "style", "noscript", "template", "iframe", "object", "canvas", "audio", "video", "title", "textarea")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    # Formulas and drawings: their text stands within a line.
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup "
+    "msup mtable mtd mtext mtr munder munderover semantics svg g text tspan textpath path rect circle ellipse line polygon polyline use defs symbol".split()
 )
 #: Elements that hold no main text, whatever they say.
 ASIDE = frozenset("nav footer aside form button select option menu dialog fieldset datalist head".split())
@@ -241,4 +248,4 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     own = pages.select("page_id", "url", "html")
     kind = {f.name: f.dataType.simpleString() for f in own.schema}
-    return own.mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars bigint")
+    return own.mapInArrow(lean(run), f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars bigint")

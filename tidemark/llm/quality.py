@@ -4,9 +4,11 @@ Base counts of every text, then six ratios. For each language and source a
 quantile sketch of each ratio is kept: counts of logarithmic buckets of a fixed
 relative width, so that sketches merge by adding counts and a merged sketch
 does not depend on how rows were dealt out. A ratio fails where it lies beyond
-an outlier fence of its own group's quantiles; a group with few rows is judged
-by the merged sketch of its language, or of all. Thresholds join back to the
-rows.
+an outlier fence of its own group's quantiles: a tail quantile plus a multiple
+of its distance from the median, or, where even the tail is zero, a quantile of
+the values above zero; no constant value takes part. A group with few rows is
+judged by the merged sketch of its language, or of all. Thresholds join back to
+the rows.
 
 Words are runs of bytes other than blank and U+0009 to U+000D.
 
@@ -26,20 +28,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import lean, materialise
 
 #: Relative width of a bucket: quantiles are right to about 1 %.
 GAMMA = 1.02
 #: Values up to this one share the lowest bucket.
 LEAST = 1e-4
-#: Groups with fewer rows borrow the sketch of their language, then of all.
-LEAST_ROWS = 200
-#: The quantile by ratio at which the tail begins: higher where most texts of a group are at 0.
-TAIL = {"symbols": 0.9, "dup_lines": 0.98, "repeats": 0.98, "stutters": 0.9, "long_words": 0.9, "short_words": 0.9}
-#: A fence lies at the tail quantile and FENCE times its distance from the median, or WIDEN at least.
-FENCE = 1.5
-#: The least distances by ratio: about a bucket's width, and where quantiles can be 0 what a few words make in a text.
-WIDEN = {"symbols": 0.05, "dup_lines": 0.02, "repeats": 0.02, "stutters": 0.005, "long_words": 0.1, "short_words": 0.08}
+#: Groups whose sketch of a ratio has fewer rows borrow that of their language, then of all.
+LEAST_ROWS = 50
+#: The tail begins at this quantile; a fence lies FENCE times as far beyond it as it lies from the median.
+TAIL, FENCE = 0.9, 1.5
+#: Where the tail is zero, few texts have any at all; the fence is this quantile of those that have.
+#: Symbols are hardly found in prose; a few repeated lines or words are.
+SPARSE = {"symbols": 0.1, "dup_lines": 0.75, "repeats": 0.75, "stutters": 0.5, "long_words": 0.5, "short_words": 0.5}
+RATIOS = ("symbols", "dup_lines", "repeats", "stutters", "long_words", "short_words")
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -106,7 +108,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), "text")
     kind = own.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{c} bigint" for c in BASE)
-    return own.mapInArrow(run, f"doc_id {kind}, lang string, source string, {counts}")
+    return own.mapInArrow(lean(run), f"doc_id {kind}, lang string, source string, {counts}")
 
 
 def ratios() -> dict[str, Column]:
@@ -145,49 +147,46 @@ def sketches(counted: DataFrame) -> DataFrame:
     )
 
 
-def _by_ratio(values: dict[str, float]) -> Column:
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])[F.col("ratio")]
-
-
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """q50, q75, tail and rows of each merged sketch by keys and ratio. A sketch has some hundreds of buckets at most."""
+    """q50, tail and rows of each merged sketch by keys and ratio. A sketch has some hundreds of buckets at most."""
     merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
     grouped = merged.groupBy(*keys, "ratio").agg(
         F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b")
     )
 
-    def at(q: float | Column) -> Column:
-        # The first bucket whose running count reaches q of the rows.
+    def at(rank: Column) -> Column:
+        # The first bucket whose running count reaches the rank.
         start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("at"))
         got = F.aggregate(
             "b",
             start,
             lambda s, x: F.struct(
                 (s["seen"] + x["n"]).alias("seen"),
-                F.coalesce(s["at"], F.when(s["seen"] + x["n"] >= F.ceil(F.col("rows") * q), x["bucket"])).alias("at"),
+                F.coalesce(s["at"], F.when(s["seen"] + x["n"] >= rank, x["bucket"])).alias("at"),
             ),
         )
         return bucket_value(got["at"])
 
-    return grouped.select(*keys, "ratio", "rows", at(0.5).alias("q50"), at(0.75).alias("q75"), at(_by_ratio(TAIL)).alias("tail"))
+    zeros = F.coalesce(F.aggregate(F.filter("b", lambda x: x["bucket"] == 0), F.lit(0).cast("bigint"), lambda s, x: s + x["n"]), F.lit(0))
+    sparse = F.create_map(*[F.lit(x) for kv in SPARSE.items() for x in kv])[F.col("ratio")]
+    some = F.when(zeros < F.col("rows"), at(zeros + F.greatest(F.ceil((F.col("rows") - zeros) * sparse), F.lit(1))))
+    q50, tail = at(F.ceil(F.col("rows") * 0.5)), at(F.ceil(F.col("rows") * TAIL))
+    fence = F.when(tail > 0, tail + F.lit(FENCE) * (tail - q50)).otherwise(some)
+    # The upper edge of the bucket, so that values of one bucket fare alike.
+    return grouped.select(*keys, "ratio", "rows", q50.alias("q50"), tail.alias("tail"), (fence * GAMMA).alias("fence"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and the fence of each ratio, from the group's own sketch or a merged one."""
+    """lang, source and the fence of each ratio (none where no text has any), from the group's own sketch or a merged one."""
     own = quantiles(sketch, ["lang", "source"])
     lang = quantiles(sketch, ["lang"]).select(
-        F.col("lang").alias("l"), F.col("ratio").alias("r"), F.col("rows").alias("l_rows"), F.col("q50").alias("l50"), F.col("tail").alias("l_tail")
+        F.col("lang").alias("l"), F.col("ratio").alias("r"), F.col("rows").alias("l_rows"), F.col("fence").alias("l_fence")
     )
-    every = quantiles(sketch, []).select(F.col("ratio").alias("e"), F.col("q50").alias("e50"), F.col("tail").alias("e_tail"))
+    every = quantiles(sketch, []).select(F.col("ratio").alias("e"), F.col("fence").alias("e_fence"))
     both = own.join(lang, own["lang"].eqNullSafe(lang["l"]) & (own["ratio"] == lang["r"]))
     both = both.join(F.broadcast(every), F.col("ratio") == F.col("e"))  # one row for each of six ratios
-
-    def pick(a: str, b: str, c: str) -> Column:
-        return F.when(F.col("rows") >= LEAST_ROWS, F.col(a)).when(F.col("l_rows") >= LEAST_ROWS, F.col(b)).otherwise(F.col(c))
-
-    tail = pick("tail", "l_tail", "e_tail")
-    top = tail + F.lit(FENCE) * F.greatest(tail - pick("q50", "l50", "e50"), _by_ratio(WIDEN))
-    return both.select("lang", "source", "ratio", top.alias("top")).groupBy("lang", "source").pivot("ratio", list(WIDEN)).agg(F.max("top"))
+    top = F.when(F.col("rows") >= LEAST_ROWS, F.col("fence")).when(F.col("l_rows") >= LEAST_ROWS, F.col("l_fence")).otherwise(F.col("e_fence"))
+    return both.select("lang", "source", "ratio", top.alias("top")).groupBy("lang", "source").pivot("ratio", list(RATIOS)).agg(F.max("top"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -195,7 +194,7 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counted = materialise(base_counts(docs).withColumn("base_failed", failed), "quality-counts")
     limit = thresholds(sketches(counted))
-    limit = limit.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[F.col(k).alias(f"top_{k}") for k in WIDEN])
+    limit = limit.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[F.col(k).alias(f"top_{k}") for k in RATIOS])
     rows = counted.join(
         limit, counted["lang"].eqNullSafe(limit["g_lang"]) & counted["source"].eqNullSafe(limit["g_source"]), "left"
     )

@@ -14,7 +14,7 @@ HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.features(table(spark, sf_dir, "documents"), keep=False)
+    return audio.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
