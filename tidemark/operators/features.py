@@ -69,24 +69,34 @@ def moments(bars: DataFrame, n: int = 20) -> DataFrame:
     rows = bars.withColumns({"m": R.mean("close", n), "v0": R.complete(F.var_pop("close"), F.col("close"), n), "r": R.pct("close")})
     dev = F.col("close") - F.col("m")
     z = dev / F.sqrt(F.col("v0") + EPS)
-    rows = rows.withColumns({"d4": F.pow(dev, 4), "z5": F.pow(z, 5), "z6": F.pow(z, 6)})
+    rows = rows.withColumns({"d4": F.pow(dev, 4), "z5": F.pow(z, 5), "z6": F.pow(z, 6), "z7": F.pow(z, 7), "z8": F.pow(z, 8)})
     w = R.last(n)
     skew = R.complete(F.avg(F.pow("close", 3)), F.col("close"), n) - 3 * F.col("m") * R.complete(F.avg(F.pow("close", 2)), F.col("close"), n)
     skew = (skew + 2 * F.pow("m", 3)) / F.pow(F.sqrt(F.col("v0") + EPS), 3)
     r1, r2 = F.avg("r").over(w), F.avg(F.col("r") * F.col("r")).over(w)
     r3, r4 = F.avg(F.pow("r", 3)).over(w), F.avg(F.pow("r", 4)).over(w)
     var = r2 - r1 * r1
-    rs = (r3 - 3 * r1 * r2 + 2 * F.pow(r1, 3)) / F.pow(F.sqrt(var + 1e-12), 3)
-    rk = (r4 - 4 * r1 * r3 + 6 * r1 * r1 * r2 - 3 * F.pow(r1, 4)) / F.pow(var + 1e-12, 2) - 3
+    third, fourth = r3 - 3 * r1 * r2 + 2 * F.pow(r1, 3), r4 - 4 * r1 * r3 + 6 * r1 * r1 * r2 - 3 * F.pow(r1, 4)
+    rs, rk = third / F.pow(F.sqrt(var) + EPS, 3), fourth / F.pow(F.sqrt(var) + EPS, 4) - 3
+    # Variances of skewness and kurtosis of n normal values.
+    c1 = 6.0 * (n - 2) / ((n + 1) * (n + 3))
+    c2 = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    # Fourth moment on the unbiased deviation; its excess gives the degrees of freedom of a t distribution.
+    m4 = fourth / F.pow(var * n / (n - 1), 2)
+    dof = F.when(var <= 0, None).when(m4 > 3, F.greatest(F.least(4 * (3 + m4) / (m4 - 3), F.lit(100.0)), F.lit(2.1))).otherwise(100.0)
     there = F.count("r").over(w) == n
+    scale = F.sqrt(F.greatest(var * n / (n - 1) * (dof - 2) / dof, F.lit(1e-8))) / (F.stddev_samp("r").over(w) + EPS)
     return rows.select(
         *KEYS,
         skew.alias(f"skew_{n}"),
         (R.mean("d4", n) / (F.col("v0") * F.col("v0") + EPS) - 3).alias(f"kurtosis_{n}"),
         R.mean("z5", n).alias(f"moment5_{n}"),
         R.mean("z6", n).alias(f"moment6_{n}"),
-        F.when(there, n / 6.0 * (rs * rs + rk * rk / 4)).alias(f"jarque_bera_{n}"),
-        F.when(there, F.greatest(F.least(F.when(rk > 0, 4 + 6 / rk).otherwise(100.0), F.lit(100.0)), F.lit(2.1))).alias(f"tail_dof_{n}"),
+        R.mean("z7", n).alias(f"moment7_{n}"),
+        R.mean("z8", n).alias(f"moment8_{n}"),
+        F.when(there, rs * rs / c1 + rk * rk / c2).alias(f"jarque_bera_{n}"),
+        F.when(there, dof).alias(f"tail_dof_{n}"),
+        F.when(there, scale).alias(f"tail_scale_{n}"),
     )
 
 
@@ -215,12 +225,12 @@ def price_action(bars: DataFrame) -> DataFrame:
     o, h, l, c, a = (F.col(x) for x in ("open", "high", "low", "close", "atr"))
     body, top, bottom, span = F.abs(c - o), h - F.greatest(o, c), F.least(o, c) - l, h - l
     pattern = (
-        F.when(span == 0, 0)
-        .when((bottom > 2 * body) & (top < body), 1)
-        .when((top > 2 * body) & (bottom < body), 2)
-        .when(body < 0.1 * span, 3)
-        .when(c > o, 4)
-        .when(c < o, 5)
+        F.when(span <= 0, 0)
+        .when(body / span < 0.1, 3)
+        .when((bottom / span > 0.6) & (top / span < 0.1), 1)
+        .when((top / span > 0.6) & (bottom / span < 0.1), 2)
+        .when((body / span > 0.6) & (c > o), 4)
+        .when((body / span > 0.6) & (c < o), 5)
         .otherwise(0)
     )
     return bars.select(
@@ -277,14 +287,17 @@ def oscillators(bars: DataFrame, n: int = 20) -> DataFrame:
     rows = rows.withColumns({"tps": R.values("tp", n), "tpm": R.mean("tp", n), "hv": R.std("r", n)})
     dev = F.aggregate("tps", F.lit(0.0), lambda s, v: s + F.abs(v - F.col("tpm"))) / n
     average = lambda k: R.sum("bp", k) / (R.sum("rng", k) + EPS)
-    lo, hi = R.min("close", n), R.max("close", n)
+    # As far as the window has come; the first two bars stay as they are.
+    lo, hi = F.min("close").over(R.last(n)), F.max("close").over(R.last(n))
+    inner = F.greatest(F.least(c, hi - 0.01 * (hi - lo)), lo + 0.01 * (hi - lo))
+    early = F.count(F.lit(1)).over(R.last(n)) <= 2
     q60, q80 = R.quantile("hv", 0.6, 3 * n), R.quantile("hv", 0.8, 3 * n)
     regime = F.coalesce((F.col("hv") > q80).cast("int") + (F.col("hv") > q60).cast("int"), F.lit(0))
     return rows.select(
         *KEYS,
         ((F.col("tp") - F.col("tpm")) / (0.015 * dev + EPS)).alias("cci"),
         (100 * (4 * average(7) + 2 * average(14) + average(28)) / 7).alias("ultimate"),
-        F.greatest(F.least(c, hi * 0.99), lo * 1.01).alias("stabilised"),
+        F.when(early | (hi - lo <= EPS), c).otherwise(inner).alias("stabilised"),
         regime.alias("regime"),
         F.when(F.count(F.lit(1)).over(R.last(n)) == n, 0.8 * F.count("r").over(R.last(n)) / n + 0.2).otherwise(0.0).alias("quality"),
     )

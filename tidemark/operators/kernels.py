@@ -92,12 +92,13 @@ def ar1_variance(x: np.ndarray) -> np.ndarray:
 
 
 def kalman(x: np.ndarray) -> np.ndarray:
-    var = x.var(1)
-    q, r = np.maximum(np.diff(x, axis=1).var(1), 0.01 * var), 0.1 * var + EPS
-    s, p = x[:, 0].copy(), var + EPS
+    """State of a level with noise: step variance from the differences, a tenth of the variance as noise, both unbiased; starts at variance 1."""
+    var = x.var(1, ddof=1)
+    q, r = np.maximum(np.diff(x, axis=1).var(1, ddof=1), 0.01 * var), 0.1 * var
+    s, p = x[:, 0].copy(), np.ones(len(x))
     for k in range(1, x.shape[1]):
         p = p + q
-        g = p / (p + r)
+        g = np.divide(p, p + r, out=np.ones_like(p), where=p + r > 0)
         s, p = s + g * (x[:, k] - s), (1 - g) * p
     return s
 
@@ -121,13 +122,14 @@ def theil_sen(x: np.ndarray, most: int = 1000) -> np.ndarray:
 
 
 def gev_shape(x: np.ndarray) -> np.ndarray:
-    """Shape by the ratio of sample L-moments, within +-0.5."""
+    """Shape from the ratio of the third to the second linear moment, within +-0.5."""
     s, n = np.sort(x, 1), x.shape[1]
-    k = np.arange(n)
-    b0, b1 = s.mean(1), (s * k / (n - 1)).mean(1)
-    b2 = (s * k * (k - 1) / ((n - 1) * (n - 2))).mean(1)
-    c = (2 * b1 - b0) / (3 * b2 - b0 + EPS) - np.log(2) / np.log(3)
-    return np.clip(7.859 * c + 2.9554 * c * c, -0.5, 0.5)
+    i = np.arange(n, dtype=float)
+    second = (s * (2 * i - n + 1)).sum(1) / n / 2
+    third = (s * (i * (i - 1) - 2 * i * (n - 1) + (n - 1) * (n - 2))).sum(1) / (n * (n - 1)) / 3
+    flat = np.abs(second) <= 1e-8
+    ratio = third / np.where(flat, 1, second)
+    return np.where(flat, 0, np.clip(7.859 * ratio + 2.9554 * ratio**2, -0.5, 0.5))
 
 
 def _spectrum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,21 +138,31 @@ def _spectrum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(1, n // 2) / n, mag
 
 
+def _bins(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Magnitudes of the lower half of the spectrum, the constant included, on frequencies spread evenly from 0 to 0.5."""
+    half = x.shape[1] // 2
+    mag = np.abs(np.fft.rfft(x, 1 << (x.shape[1] - 1).bit_length(), axis=1))[:, :half]
+    return np.linspace(0, 0.5, half), mag
+
+
 def centroid(x: np.ndarray) -> np.ndarray:
-    f, m = _spectrum(x)
-    return (f * m).sum(1) / (m.sum(1) + EPS)
+    f, m = _bins(x)
+    total = m.sum(1)
+    return np.divide((f * m).sum(1), total, out=np.zeros(len(x)), where=total > 0)
 
 
 def bandwidth(x: np.ndarray) -> np.ndarray:
-    f, m = _spectrum(x)
-    c = (f * m).sum(1) / (m.sum(1) + EPS)
-    return np.sqrt((((f - c[:, None]) ** 2) * m).sum(1) / (m.sum(1) + EPS))
+    f, m = _bins(x)
+    total = m.sum(1)
+    spread = (((f - centroid(x)[:, None]) ** 2) * m).sum(1)
+    return np.sqrt(np.divide(spread, total, out=np.zeros(len(x)), where=total > 0))
 
 
 def rolloff(x: np.ndarray, share: float = 0.85) -> np.ndarray:
-    f, m = _spectrum(x)
+    """The first bin that reaches the share of the power, as a fraction of twice the bins."""
+    _, m = _bins(x)
     c = np.cumsum(m * m, 1)
-    return f[(c >= share * c[:, -1:]).argmax(1)]
+    return (c >= share * c[:, -1:]).argmax(1) / (2 * m.shape[1])
 
 
 def flatness(x: np.ndarray) -> np.ndarray:
@@ -188,10 +200,27 @@ def phase_variance(x: np.ndarray) -> np.ndarray:
     return _phase(x).var(1)
 
 
+def phase_stability(x: np.ndarray) -> np.ndarray:
+    return np.where(x.std(1) < EPS, 1.0, 1 / (1 + np.diff(_phase(x), axis=1).std(1) + EPS))
+
+
+def hilbert_amplitude(x: np.ndarray) -> np.ndarray:
+    """Mean length of each value with the real part of the quarter-turned spectrum at its place."""
+    n = x.shape[1]
+    turn = np.ones(n, complex)
+    turn[1 : n // 2] = -1j
+    turn[n - np.arange(1, n // 2)] = 1j
+    return np.sqrt(x**2 + np.real(np.fft.fft(x, axis=1) * turn) ** 2).mean(1)
+
+
 def frequency_mean(x: np.ndarray) -> np.ndarray:
     return np.abs(np.diff(_phase(x), axis=1)).mean(1)
 
 
+def frequency_std(x: np.ndarray) -> np.ndarray:
+    return np.abs(np.diff(_phase(x), axis=1)).std(1)
+
+
 def density(x: np.ndarray) -> np.ndarray:
     """Share of pairs closer than half a deviation."""
     n, close = x.shape[1], 0.5 * x.std(1, keepdims=True)
@@ -217,17 +246,45 @@ def vocabulary(x: np.ndarray, bins: int = 10) -> np.ndarray:
 
 
 def complexity(x: np.ndarray) -> np.ndarray:
-    """Distinct pairs and triples of signs of change, over what is possible."""
-    s = (np.sign(np.diff(x, axis=1)) + 1).astype(int)
-    two, three = s[:, 1:] * 3 + s[:, :-1], s[:, 2:] * 9 + s[:, 1:-1] * 3 + s[:, :-2]
-    count = lambda a, k: np.array([len(np.unique(r)) / min(k, len(r)) for r in a])
-    return (count(two, 9) + count(three, 27)) / 2
+    """Distinct pairs and triples of falling, level and rising steps (a tenth of their deviation apart), over what is possible."""
+    d = np.diff(x, axis=1)
+    least = 0.1 * d.std(1, keepdims=True)
+    s = np.where(d > least, 2, np.where(d < -least, 0, 1))
+
+    def share(code: np.ndarray, kinds: int) -> np.ndarray:
+        seen = np.zeros((len(x), kinds), bool)
+        np.put_along_axis(seen, code, True, 1)
+        return seen.sum(1) / min(kinds, code.shape[1])
+
+    return (share(s[:, :-1] * 3 + s[:, 1:], 9) + share(s[:, :-2] * 9 + s[:, 1:-1] * 3 + s[:, 2:], 27)) / 2
+
+
+def _local(x: np.ndarray, reach: int) -> np.ndarray:
+    """The windows of `reach` values to either side, without the last one that would fit."""
+    return np.lib.stride_tricks.sliding_window_view(x, 2 * reach + 1, axis=1)[:, : x.shape[1] - 2 * reach]
+
+
+def semantic_flow(x: np.ndarray) -> np.ndarray:
+    """Mean cosine of successive neighbourhoods' (mean offset, deviation), taken from -1..1 to 0..1."""
+    reach = min(5, x.shape[1] // 3)
+    near = _local(x, reach)
+    v = np.stack([near.mean(2) - x[:, reach : reach + near.shape[1]], near.std(2)], axis=2)
+    norm = np.sqrt((v * v).sum(2))
+    fine = (norm[:, 1:] > EPS) & (norm[:, :-1] > EPS)
+    cos = (v[:, 1:] * v[:, :-1]).sum(2) / np.where(fine, norm[:, 1:] * norm[:, :-1], 1)
+    count = fine.sum(1)
+    return np.where(count > 0, ((cos * fine).sum(1) / np.maximum(count, 1) + 1) / 2, 0)
 
 
 def golden_ratio(x: np.ndarray) -> np.ndarray:
+    """Mean nearness of high over low to the golden ratio over local windows; NaN where no low is above 0."""
     phi = (1 + 5**0.5) / 2
-    r = x.max(1) / np.where(np.abs(x.min(1)) < EPS, EPS, x.min(1))
-    return 1 / (1 + np.abs(r - phi) / phi)
+    near = _local(x, min(8, x.shape[1] // 2))
+    high, low = near.max(2), near.min(2)
+    fine = low > 0
+    each = 1 / (1 + np.abs(high / np.where(fine, low, 1) - phi) / phi)
+    count = fine.sum(1)
+    return np.where(count > 0, (each * fine).sum(1) / np.maximum(count, 1), np.nan)
 
 
 def symmetry(x: np.ndarray) -> np.ndarray:
@@ -238,21 +295,60 @@ def symmetry(x: np.ndarray) -> np.ndarray:
 
 
 def rhythm(x: np.ndarray) -> np.ndarray:
-    s = np.sign(np.diff(x, axis=1))
-    return np.max([(s[:, k:] == s[:, :-k]).mean(1) for k in range(2, 8)], axis=0)
+    """The best agreement of beats (steps above the mean step) with those 2 to 7 steps earlier."""
+    step = np.abs(np.diff(x, axis=1))
+    beat = step > step.mean(1, keepdims=True)
+    periods = range(2, min(8, beat.shape[1] // 3))
+    return np.max([(beat[:, k:] == beat[:, :-k]).mean(1) for k in periods], axis=0) if periods else np.zeros(len(x))
+
+
+def aesthetic_balance(x: np.ndarray) -> np.ndarray:
+    """How near the mix of gentle, moderate and intense steps is to 0.6, 0.3 and 0.1; steps beyond are left out."""
+    step = np.abs(np.diff(x, axis=1))
+    mean, dev = step.mean(1, keepdims=True), step.std(1, keepdims=True)
+    up_to = [(step <= mean + k * dev).sum(1) for k in (-0.5, 0.5, 1.5)]
+    total = np.maximum(up_to[2], 1)
+    parts = [up_to[0], up_to[1] - up_to[0], up_to[2] - up_to[1]]
+    off = sum(np.abs(p / total - want) for p, want in zip(parts, (0.6, 0.3, 0.1))) / 2
+    return np.where(dev[:, 0] <= EPS, 1.0, np.where(up_to[2] > 0, np.maximum(0, 1 - off), 0))
+
+
+#: Degrees of the major and the natural minor scale.
+MAJOR, MINOR = (0, 2, 4, 5, 7, 9, 11), (0, 2, 3, 5, 7, 8, 10)
+
+
+def tonality(x: np.ndarray) -> np.ndarray:
+    """Share of steps on major degrees among those on major or minor ones, twelve degrees over +-3 deviations."""
+    d = np.diff(x, axis=1)
+    dev = d.std(1, keepdims=True)
+    degree = np.clip(np.trunc((d / np.where(dev > EPS, dev, 1) + 3) / 6 * 11), 0, 11)
+    major, minor = (np.isin(degree, scale).sum(1) for scale in (MAJOR, MINOR))
+    both = major + minor
+    return np.where((dev[:, 0] > EPS) & (both > 0), major / np.maximum(both, 1), 0.5)
 
 
 def harmony(x: np.ndarray) -> np.ndarray:
+    """Agreement of the steps of three moving averages: 1 if all go one way, a half if two do or none moves alone."""
     n = x.shape[1]
-    parts = [x[:, -1] - x[:, -max(2, n // k) :].mean(1) for k in (6, 3, 1)]
-    s = np.sign(parts)
-    return ((s[0] == s[1]).astype(float) + (s[1] == s[2]) + (s[0] == s[2])) / 3
+    total = np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1)
+    spans = [max(3, n // 15), max(5, n // 10), max(8, n // 6)]
+    means = [(total[:, w:] - total[:, :-w]) / w for w in spans]
+    shortest = min(m.shape[1] for m in means)
+    # A step of a moving average has the sign of what enters less what leaves.
+    a, b, c = (np.sign(x[:, w:] - x[:, :-w])[:, -(shortest - 1) :] for w in spans)
+    all_same = (a == b) & (b == c)
+    two = (a == b) | (b == c) | (a == c)
+    return np.where(all_same, (a != 0) * 1.0, 0.5 * two).mean(1)
 
 
 def tension(x: np.ndarray) -> np.ndarray:
+    """Mean over local windows of steps: half of the share of turns and of the largest step over the mean price, 1 at most."""
     d = np.diff(x, axis=1)
-    turns = (np.sign(d[:, 1:]) != np.sign(d[:, :-1])).mean(1)
-    return turns + np.abs(d).max(1) / (np.abs(x).mean(1) + EPS)
+    near = _local(d, min(5, d.shape[1] // 3))
+    sign = np.sign(near)
+    turns = (sign[:, :, 1:] != sign[:, :, :-1]).sum(2) / near.shape[2]
+    largest = np.abs(near).max(2) / (np.abs(x).mean(1)[:, None] + EPS)
+    return np.minimum((turns + largest) / 2, 1).mean(1)
 
 
 def kinetic(x: np.ndarray) -> np.ndarray:
@@ -260,8 +356,54 @@ def kinetic(x: np.ndarray) -> np.ndarray:
     return (0.5 * x[:, 1:] * d * d).mean(1) / (x.mean(1) ** 2 + EPS)
 
 
+def muscle_force(x: np.ndarray) -> np.ndarray:
+    """Price times acceleration: 0.7 of the mean, and 0.3 of the mean over runs of one direction of two values or more, over the squared mean price."""
+    acc = np.diff(x, 2, axis=1)
+    force, way = x[:, 2:] * np.abs(acc), np.sign(acc)
+    out = np.empty(len(x))
+    for r in range(len(x)):
+        # A run ends where the direction changes or is none.
+        cut = np.flatnonzero((way[r, 1:] != way[r, :-1]) | (way[r, :-1] == 0)) + 1
+        size = np.diff(np.concatenate([[0], cut, [force.shape[1]]]))
+        mean = np.add.reduceat(force[r], np.concatenate([[0], cut])) / size
+        out[r] = 0.7 * force[r].mean() + (0.3 * mean[size > 1].mean() if (size > 1).any() else 0)
+    price = x.mean(1)
+    return out / np.where(price > EPS, price**2, 1)
+
+
 def efficiency(x: np.ndarray) -> np.ndarray:
-    return np.minimum(np.abs(x[:, -1] - x[:, 0]) / (np.abs(np.diff(x, axis=1)).sum(1) + EPS), 1.0)
+    """Path over energy (squared steps and accelerations), against the path's share of itself; 1 at most."""
+    d = np.diff(x, axis=1)
+    path = np.abs(d).sum(1)
+    energy = (d * d).sum(1) + (np.diff(d, axis=1) ** 2).sum(1)
+    fine = (energy > EPS) & (path > EPS)
+    raw = path / np.where(fine, energy, 1) / (path / (path + EPS) + EPS)
+    return np.where(fine, np.minimum(raw, 1), 0)
+
+
+def expenditure(x: np.ndarray) -> np.ndarray:
+    """Variance, squared steps and accelerations, and squared distance from the line fitted, over the squared mean if that is above 0."""
+    n = x.shape[1]
+    d = np.diff(x, axis=1)
+    t = np.arange(n) - (n - 1) / 2
+    off = x - x.mean(1, keepdims=True)
+    bent = (off * off).sum(1) - (off @ t) ** 2 / (t @ t)
+    total = x.var(1) + (d * d).sum(1) + (np.diff(d, axis=1) ** 2).sum(1) + bent
+    mean = x.mean(1)
+    return total / np.where(mean > EPS, mean**2, 1)
+
+
+def robust_volatility(x: np.ndarray) -> np.ndarray:
+    """Median absolute deviation on the scale of a normal deviation."""
+    return 1.4826 * np.median(np.abs(x - np.median(x, axis=1, keepdims=True)), axis=1)
+
+
+def robust_stabilised(x: np.ndarray) -> np.ndarray:
+    """The last value within three median absolute deviations of the median; 0.6745 deviations stand for a deviation of none."""
+    mid = np.median(x, axis=1)
+    mad = np.median(np.abs(x - mid[:, None]), axis=1)
+    mad = np.where(mad < EPS, 0.6745 * x.std(1, ddof=1), mad)
+    return np.clip(x[:, -1], mid - 3 * mad, mid + 3 * mad)
 
 
 def biweight(x: np.ndarray) -> np.ndarray:
@@ -303,16 +445,18 @@ Kernel = Callable[[np.ndarray], np.ndarray]
 TIME_SERIES: dict[str, tuple[str, Kernel]] = {
     "adf": ("close", adf), "pp": ("close", pp), "kpss": ("close", kpss), "holt_level": ("close", holt_level), "holt_trend": ("close", holt_trend),
     "ar1_variance": ("close", ar1_variance), "kalman": ("close", kalman), "lowess": ("close", lowess), "theil_sen": ("close", theil_sen),
-    "gev_shape": ("high", gev_shape), "biweight": ("close", biweight), "anderson_darling": ("r", anderson_darling), "runs": ("r", runs),
+    "gev_shape": ("high", gev_shape), "biweight": ("close", biweight), "robust_stabilised": ("close", robust_stabilised), "anderson_darling": ("r", anderson_darling), "runs": ("r", runs),
 }
 SIGNAL: dict[str, tuple[str, Kernel]] = {
     "centroid": ("r", centroid), "bandwidth": ("r", bandwidth), "rolloff": ("r", rolloff), "flatness": ("r", flatness), "entropy": ("r", entropy),
-    "flux": ("r", flux), "wavelet_energy": ("r", wavelet_energy), "phase_variance": ("r", phase_variance), "frequency_mean": ("r", frequency_mean),
+    "flux": ("r", flux), "wavelet_energy": ("r", wavelet_energy), "phase_variance": ("r", phase_variance), "phase_stability": ("r", phase_stability), "frequency_mean": ("r", frequency_mean),
+    "frequency_std": ("r", frequency_std), "hilbert_amplitude": ("r", hilbert_amplitude), "robust_volatility": ("r", robust_volatility),
 }
 EXPERIMENTAL: dict[str, tuple[str, Kernel]] = {
     "density": ("close", density), "clustering": ("close", clustering), "vocabulary": ("close", vocabulary), "complexity": ("close", complexity),
     "golden_ratio": ("close", golden_ratio), "symmetry": ("close", symmetry), "rhythm": ("close", rhythm), "harmony": ("close", harmony),
-    "tension": ("close", tension), "kinetic": ("close", kinetic), "efficiency": ("close", efficiency),
+    "tension": ("close", tension), "kinetic": ("close", kinetic), "efficiency": ("close", efficiency), "semantic_flow": ("close", semantic_flow),
+    "aesthetic_balance": ("close", aesthetic_balance), "tonality": ("close", tonality), "muscle_force": ("close", muscle_force), "expenditure": ("r", expenditure),
 }
 
 
@@ -334,7 +478,8 @@ def rolling(x: np.ndarray, kernel: Kernel, n: int) -> np.ndarray:
 
 def apply(bars: DataFrame, kernels: dict[str, tuple[str, Kernel]], n: int, by: str = "symbol", order: str = "bucket") -> DataFrame:
     """Every kernel over the last n bars of its column; null until a window is full."""
-    schema = ", ".join([f"{by} string", f"{order} timestamp", *[f"{k} double" for k in kernels]])
+    kind = {f.name: f.dataType.simpleString() for f in bars.schema}
+    schema = ", ".join([*[f"`{c}` {kind[c]}" for c in (by, order)], *[f"{k} double" for k in kernels]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")

@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-10
@@ -73,24 +73,38 @@ def atr_ratio(bars: DataFrame, n: int) -> DataFrame:
     return bars.withColumn("atr_ratio", F.col("atr") / (F.avg("atr").over(w) + EPS))
 
 
-def oscillators(bars: DataFrame) -> DataFrame:
-    """RSI, MACD, ADX lines, TRIX, TSI and exponential deviation."""
+def seeded(column: str, n: int, by: str = "symbol", order: str = "bucket") -> Column:
+    """The column from its n-th row on, which has the mean of the first n: an exponential mean of it starts from a plain one."""
+    w = Window.partitionBy(by).orderBy(order)
+    nth = F.row_number().over(w)
+    return F.when(nth == n, F.avg(column).over(w.rowsBetween(-(n - 1), 0))).when(nth > n, F.col(column))
+
+
+def oscillators(bars: DataFrame, di: int = 13, tsi: int = 25) -> DataFrame:
+    """RSI, MACD, direction lines, ADX, TRIX, true strength and exponential deviation.
+
+    Direction lines divide sums that begin with the first `di` rows' own; true
+    strength is null for its first tsi + tsi // 2 rows.
+    """
     w = Window.partitionBy("symbol").orderBy("bucket")
     d = F.col("close") - F.lag("close").over(w)
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     rows = bars.withColumns(
         {
-            "d": d, "gain": F.greatest(d, F.lit(0.0)), "loss": F.greatest(-d, F.lit(0.0)), "absd": F.abs(d),
+            "d": d, "gain": F.greatest(d, F.lit(0.0)), "loss": F.greatest(-d, F.lit(0.0)), "d0": F.coalesce(d, F.lit(0.0)), "absd": F.coalesce(F.abs(d), F.lit(0.0)),
+            "full": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.lag("close").over(w)), F.abs(F.col("low") - F.lag("close").over(w))),
             "pdm": F.when((up > down) & (up > 0), up).otherwise(0.0), "mdm": F.when((down > up) & (down > 0), down).otherwise(0.0),
         }
     )
-    rows = rows.withColumns({c: F.when(F.lag("close").over(w).isNotNull(), F.col(c)) for c in ("gain", "loss", "pdm", "mdm", "absd")})
+    rows = rows.withColumns({c: F.when(F.lag("close").over(w).isNotNull(), F.col(c)) for c in ("gain", "loss")} | {c: F.when(F.lag("close").over(w).isNotNull(), F.col(c)) for c in ("pdm", "mdm")} | {"pd0": F.col("pdm"), "md0": F.col("mdm")})
+    rows = rows.withColumns({"s_full": seeded("full", di), "s_pdm": seeded("pd0", di), "s_mdm": seeded("md0", di), "nth": F.row_number().over(w)})
     rows = ewm(
         rows,
         {
             "g": ("gain", alpha(wilder=14)), "s": ("loss", alpha(wilder=14)), "fast": ("close", alpha(span=12)), "slow": ("close", alpha(span=26)),
             "p": ("pdm", alpha(wilder=14)), "m": ("mdm", alpha(wilder=14)), "t1": ("close", alpha(span=14)),
-            "ema20": ("close", alpha(span=20)), "d1": ("d", alpha(span=25)), "a1": ("absd", alpha(span=25)),
+            "ema20": ("close", alpha(span=20)), "d1": ("d0", alpha(span=tsi)), "a1": ("absd", alpha(span=tsi)),
+            "w_full": ("s_full", 1 / di), "w_pdm": ("s_pdm", 1 / di), "w_mdm": ("s_mdm", 1 / di),
         },
     )
     rows = rows.withColumns(
@@ -99,9 +113,10 @@ def oscillators(bars: DataFrame) -> DataFrame:
             "dx": F.abs(F.col("p") - F.col("m")) / (F.col("p") + F.col("m") + EPS) * 100,
         }
     )
-    rows = ewm(rows, {"signal": ("macd", alpha(span=9)), "adx": ("dx", alpha(wilder=14)), "t2": ("t1", alpha(span=14)), "d2": ("d1", alpha(span=13)), "a2": ("a1", alpha(span=13))})
+    rows = ewm(rows, {"signal": ("macd", alpha(span=9)), "adx": ("dx", alpha(wilder=14)), "t2": ("t1", alpha(span=14)), "d2": ("d1", alpha(span=tsi // 2)), "a2": ("a1", alpha(span=tsi // 2))})
     rows = ewm(rows, {"t3": ("t2", alpha(span=14))})
     a = F.col("atr")
+    line = lambda c: F.when((F.col("nth") > di) & (F.col("w_full") * di > EPS), F.col(c) / F.col("w_full") * 100)
     before = F.lag("t3").over(w)
     return rows.select(
         "symbol",
@@ -110,11 +125,11 @@ def oscillators(bars: DataFrame) -> DataFrame:
         (F.col("macd") / a).alias("macd"),
         (F.col("signal") / a).alias("macd_signal"),
         ((F.col("macd") - F.col("signal")) / a).alias("macd_histogram"),
-        (F.col("p") / a * 100).alias("di_plus"),
-        (F.col("m") / a * 100).alias("di_minus"),
+        line("w_pdm").alias("di_plus"),
+        line("w_mdm").alias("di_minus"),
         F.col("adx").alias("adx_14"),
         ((F.col("t3") - before) / (before + EPS) * 1e4).alias("trix"),
-        (F.col("d2") / (F.col("a2") + EPS) * 100).alias("tsi"),
+        F.when(F.col("nth") > tsi + tsi // 2, F.coalesce(100 * F.try_divide("d2", "a2"), F.lit(0.0))).alias("tsi"),
         ((F.col("ema20") - F.col("close")) / a).alias("ema_20"),
     )
 
@@ -152,11 +167,11 @@ def quality_clip(df: DataFrame, column: str, half_life: float, width: float = 5.
     return df.groupBy(by).applyInPandas(run, schema)
 
 
-def thin(df: DataFrame, seconds: float, by: str = "symbol", on: str = "ts") -> DataFrame:
-    """Rows at least `seconds` after the last row kept, in order of time."""
+def thin(df: DataFrame, seconds: float, by: str = "symbol", on: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows at least `seconds` after the last row kept, in order of time; of equal times the first by `ties`."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(on, kind="stable")
+        pdf = pdf.sort_values([on, *ties], kind="stable")
         t = pdf[on].to_numpy(dtype="datetime64[us]").astype(np.int64)
         step, keep, at = int(seconds * 1e6), [], 0
         while at < len(t):
@@ -194,6 +209,14 @@ def adaptive(bars: DataFrame) -> DataFrame:
     schema = ", ".join(["symbol string", "bucket timestamp", *(f"{c} double" for c in names)])
     ewm_of = lambda s, a: s.ewm(alpha=a, adjust=False, ignore_na=True).mean()
 
+    def begun(s: pd.Series, n: int, at: int = 0) -> pd.Series:
+        """From the n-th value after `at` on, which is the mean of those n."""
+        out = s.copy()
+        out.iloc[: at + n - 1] = np.nan
+        if len(s) >= at + n:
+            out.iloc[at + n - 1] = s.iloc[at : at + n].mean()
+        return out
+
     def cycle(s: pd.Series, n: int) -> pd.Series:
         low, high = s.rolling(n).min(), s.rolling(n).max()
         return ewm_of((s - low) / (high - low + EPS) * 100, alpha(span=3))
@@ -208,16 +231,17 @@ def adaptive(bars: DataFrame) -> DataFrame:
         macd = ewm_of(close, alpha(half_life=23)) - ewm_of(close, alpha(half_life=50))
         fast, slow = ewm_of(close, alpha(span=12)), ewm_of(close, alpha(span=26))
         span = pdf["high"] - pdf["low"]
-        e1 = ewm_of(span, alpha(span=10))
-        e9 = ewm_of(span, alpha(span=9))
+        e10 = ewm_of(begun(span, 10), alpha(span=10))
+        e9 = ewm_of(begun(span, 9), alpha(span=9))
+        e99 = ewm_of(begun(e9, 9, 8), alpha(span=9))
         out = {
             "stoch_rsi": (rsi - low) / (high - low + EPS) * 100,
             "rsi_divergence": (close - close.shift(14)) / (close.shift(14) + EPS) - (rsi.diff(14) / 50 - 1),
             "schaff": cycle(cycle(macd, 10), 10),
             "price_oscillator": (fast - slow) / (slow + EPS) * 100,
             "kama": (pd.Series(kama(close.to_numpy(), 21)) - close) / a,
-            "chaikin_volatility": (e1 - e1.shift(10)) / (e1.shift(10) + EPS) * 100,
-            "mass_index": (e9 / (ewm_of(e9, alpha(span=9)) + EPS)).rolling(20).sum(),
+            "chaikin_volatility": ((e10 - e10.shift(10)) / e10.shift(10) * 100).where(e10.shift(10) > 0),
+            "mass_index": (e9 / e99).where(e99 > 0).rolling(20).sum(),
         }
         return pd.DataFrame({"symbol": pdf["symbol"], "bucket": pdf["bucket"], **out})
 

@@ -38,6 +38,31 @@ def greedy_drop(pairs: list[tuple[str, str, float]], order: list[str], most: flo
     return kept
 
 
+def blocked_correlation(wide: DataFrame, columns: list[str], most: float = 0.95, block: int = 500) -> list[str]:
+    """Names kept in order, for columns by the thousand: blocks of columns first, then what is left across blocks.
+
+    Each step is one aggregate of at most block * block correlations, so no plan holds all pairs.
+    """
+
+    def close(left: list[str], right: list[str]) -> list[tuple[str, str, float]]:
+        pairs = [(a, b) for a in left for b in right if a != b and (left is not right or left.index(a) < right.index(b))]
+        if not pairs:
+            return []
+        row = wide.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)]).first()
+        return [(a, b, row[k]) for k, (a, b) in enumerate(pairs)]
+
+    parts = [columns[at : at + block] for at in range(0, len(columns), block)]
+    kept: list[str] = []
+    for part in parts:
+        own = greedy_drop(close(part, part), part, most)
+        for at in range(0, len(kept), block):
+            before = kept[at : at + block]
+            near = {b for _, b, c in close(before, own) if c is not None and abs(c) >= most}
+            own = [c for c in own if c not in near]
+        kept += own
+    return kept
+
+
 def ks_statistic(rows: DataFrame, value: str, half: Column, by: str = "name") -> DataFrame:
     """Largest distance of the two halves' distribution functions, and its p-value, by name.
 

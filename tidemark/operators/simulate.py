@@ -6,8 +6,6 @@ is small whatever its length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -22,7 +20,8 @@ def portfolio(
     or after `horizon` bars. After `most_stops` stops in a row there are `pause`
     bars without a trade. Size is balance * risk over the stop distance.
     """
-    schema = f"{by} string, entry timestamp, exit timestamp, entry_price double, exit_price double, lots double, pnl double, reason string, balance double, drawdown double"
+    kind = {f.name: f.dataType.simpleString() for f in bars.schema}
+    schema = f"`{by}` {kind[by]}, entry {kind['bucket']}, exit {kind['bucket']}, entry_price double, exit_price double, lots double, pnl double, reason string, balance double, drawdown double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bucket", kind="stable")
@@ -68,15 +67,16 @@ def step(state: dict, kind: str, ticket: int, amount: float) -> dict:
 
 def fold_events(events: DataFrame) -> DataFrame:
     """Final state of each account from its events in order of seq."""
-    schema = "account bigint, events bigint, open_tickets int, consecutive_stops int, equity double, peak double, drawdown double"
+    kind = events.schema["account"].dataType.simpleString()
+    schema = f"account {kind}, events bigint, open_tickets int, consecutive_stops int, equity double, peak double, drawdown double"
 
-    def run(key, pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         state = {"open": set(), "stops": 0, "equity": 0.0, "peak": 0.0, "events": 0}
-        pdf = pd.concat(list(pdfs)).sort_values("seq", kind="stable") if not isinstance(pdfs, pd.DataFrame) else pdfs.sort_values("seq", kind="stable")
+        pdf = pdf.sort_values("seq", kind="stable")
         for kind, ticket, amount in zip(pdf["kind"], pdf["ticket"], pdf["amount"]):
             state = step(state, kind, int(ticket), float(amount))
         down = (state["peak"] - state["equity"]) / state["peak"] if state["peak"] else 0.0
         return pd.DataFrame([(key[0], state["events"], len(state["open"]), state["stops"], state["equity"], state["peak"], down)],
                             columns=["account", "events", "open_tickets", "consecutive_stops", "equity", "peak", "drawdown"])
 
-    return events.groupBy("account").applyInPandas(lambda key, pdf: run(key, pdf), schema)
+    return events.groupBy("account").applyInPandas(run, schema)

@@ -96,6 +96,25 @@ def staged(stages: list[dict[str, str]], columns: dict[str, str], head: str = RW
     return sql + " " + final(columns, source)
 
 
+def ewms(name: str, source: str, columns: dict[str, tuple[str, float]]) -> str:
+    """A recursion over the rows of `source` (by i): exponential means that start at the first value and that nulls keep."""
+    step = ", ".join(f"case when s.{c} is null then r.{o} when r.{o} is null then s.{c} else {a!r} * s.{c} + (1 - {a!r}) * r.{o} end as {o}" for o, (c, a) in columns.items())
+    return (
+        f", {name}_r as (select symbol, i, " + ", ".join(f"{c}::double as {o}" for o, (c, _) in columns.items()) + f" from {source} where i = 1 union all"
+        f" select s.symbol, s.i, {step} from {name}_r r join {source} s on s.symbol = r.symbol and s.i = r.i + 1),"
+        f" {name} as materialized (select s.*, " + ", ".join(f"r.{o}" for o in columns) + f" from {source} s join {name}_r r using (symbol, i))"
+    )
+
+
+def stage(name: str, source: str, columns: dict[str, str]) -> str:
+    return f", {name} as materialized (select *, " + ", ".join(f"{v} as {k}" for k, v in columns.items()) + f" from {source})"
+
+
+def seed(c: str, n: int) -> str:
+    """The column from its n-th row on, which has the mean of the first n."""
+    return f"case when i = {n} then avg({c}) {over(n)} when i > {n} then {c} end"
+
+
 # --- ticks and bars ---------------------------------------------------------------------------------------------
 
 
@@ -275,7 +294,7 @@ def concurrency_uniqueness(spark, sf_dir):
     select symbol, seq from r""",
 )
 def cooldown_thin(spark, sf_dir):
-    return recursive.thin(event_ticks(spark, sf_dir).select("symbol", "ts", "seq").orderBy("ts", "seq"), 6 * 3600).select("symbol", "seq")
+    return recursive.thin(event_ticks(spark, sf_dir).select("symbol", "ts", "seq"), 6 * 3600, ties=("seq",)).select("symbol", "seq")
 
 
 # --- features ---------------------------------------------------------------------------------------------------
@@ -325,10 +344,14 @@ _AVG = lambda e: f"avg({e}) {over(20)}"
     staged(
         [{"m": full("avg(close)", "close", 20), "v0": full("var_pop(close)", "close", 20), "r": "(close - pc) / nullif(pc, 0)", "c3": full("avg(close ** 3)", "close", 20), "c2": full("avg(close ** 2)", "close", 20)},
          {"z": "(close - m) / sqrt(v0 + 1e-10)", "d4": "(close - m) ** 4", "r1": _AVG("r"), "r2": _AVG("r * r"), "r3": _AVG("r ** 3"), "r4": _AVG("r ** 4"), "rn": f"count(r) {over(20)}"},
-         {"z5": "z ** 5", "z6": "z ** 6", "rs": "(r3 - 3 * r1 * r2 + 2 * r1 ** 3) / sqrt(r2 - r1 * r1 + 1e-12) ** 3", "rk": "(r4 - 4 * r1 * r3 + 6 * r1 * r1 * r2 - 3 * r1 ** 4) / (r2 - r1 * r1 + 1e-12) ** 2 - 3"}],
+         {"z5": "z ** 5", "z6": "z ** 6", "z7": "z ** 7", "z8": "z ** 8", "vr": "r2 - r1 * r1", "t3": "r3 - 3 * r1 * r2 + 2 * r1 ** 3", "t4": "r4 - 4 * r1 * r3 + 6 * r1 * r1 * r2 - 3 * r1 ** 4", "sr": f"stddev_samp(r) {over(20)}"},
+         {"m4": "t4 / (vr * 20 / 19) ** 2", "rs": "t3 / (sqrt(vr) + 1e-10) ** 3", "rk": "t4 / (sqrt(vr) + 1e-10) ** 4 - 3"},
+         {"dof": "case when vr <= 0 then null when m4 > 3 then greatest(least(4 * (3 + m4) / (m4 - 3), 100.0), 2.1) else 100.0 end"}],
         {"skew_20": "(c3 - 3 * m * c2 + 2 * m ** 3) / sqrt(v0 + 1e-10) ** 3", "kurtosis_20": f"({full('avg(d4)', 'd4', 20)}) / (v0 * v0 + 1e-10) - 3",
-         "moment5_20": full("avg(z5)", "z5", 20), "moment6_20": full("avg(z6)", "z6", 20), "jarque_bera_20": "case when rn = 20 then 20 / 6.0 * (rs * rs + rk * rk / 4) end",
-         "tail_dof_20": "case when rn = 20 then greatest(least(case when rk > 0 then 4 + 6 / rk else 100.0 end, 100.0), 2.1) end"},
+         "moment5_20": full("avg(z5)", "z5", 20), "moment6_20": full("avg(z6)", "z6", 20), "moment7_20": full("avg(z7)", "z7", 20), "moment8_20": full("avg(z8)", "z8", 20),
+         # Finite-sample variances: 6(n-2)/((n+1)(n+3)) and 24n(n-2)(n-3)/((n+1)^2(n+3)(n+5)) for n = 20.
+         "jarque_bera_20": "case when rn = 20 then rs * rs / (6.0 * 18 / (21 * 23)) + rk * rk / (24.0 * 20 * 18 * 17 / (21 * 21 * 23 * 25)) end",
+         "tail_dof_20": "case when rn = 20 then dof end", "tail_scale_20": "case when rn = 20 then sqrt(greatest(sr * sr * (dof - 2) / dof, 1e-8)) / (sr + 1e-10) end"},
     ),
 )
 def feat_moments(spark, sf_dir):
@@ -409,7 +432,7 @@ def feat_volume(spark, sf_dir):
     "feat_price_action",
     staged(
         [{"body": "abs(close - open)", "tw": "high - greatest(open, close)", "bw": "least(open, close) - low", "span": "high - low"}],
-        {"pattern": "case when span = 0 then 0 when bw > 2 * body and tw < body then 1 when tw > 2 * body and bw < body then 2 when body < 0.1 * span then 3 when close > open then 4 when close < open then 5 else 0 end",
+        {"pattern": "case when span <= 0 then 0 when body < 0.1 * span then 3 when bw > 0.6 * span and tw < 0.1 * span then 1 when tw > 0.6 * span and bw < 0.1 * span then 2 when body > 0.6 * span and close > open then 4 when body > 0.6 * span and close < open then 5 else 0 end",
          "typical": "(close - (high + low + close) / 3) / atr", "weighted": "(close - (high + low + 2 * close) / 4) / atr", "median": "(close - (high + low) / 2) / atr", "body": "body / atr",
          "upper_wick": "tw / (span + 1e-10)", "lower_wick": "bw / (span + 1e-10)", "location": "(close - low) / (span + 1e-10)", "intraday": "(close - open) / (open + 1e-10)", "gap": "(open - pc) / (pc + 1e-10)"},
     ),
@@ -439,11 +462,11 @@ def feat_volatility(spark, sf_dir):
     "feat_cycles",
     staged(
         [{"tp": "(high + low + close) / 3", "bp": "case when pc is null then close - low else close - least(low, pc) end", "rng": "case when pc is null then high - low else greatest(high, pc) - least(low, pc) end", "r": "(close - pc) / nullif(pc, 0)"},
-         {"tps": full("list(tp)", "tp", 20), "tpm": full("avg(tp)", "tp", 20), "hv": full("stddev_samp(r)", "r", 20), "lo": full("min(close)", "close", 20), "hi": full("max(close)", "close", 20)},
+         {"tps": full("list(tp)", "tp", 20), "tpm": full("avg(tp)", "tp", 20), "hv": full("stddev_samp(r)", "r", 20), "lo": f"min(close) {over(20)}", "hi": f"max(close) {over(20)}", "been": f"count(*) {over(20)}"},
          {"q60": full("quantile_cont(hv, 0.6)", "hv", 60), "q80": full("quantile_cont(hv, 0.8)", "hv", 60), "dv": "list_sum([abs(v - tpm) for v in tps]) / 20"}],
         {"cci": "(tp - tpm) / (0.015 * dv + 1e-10)",
          "ultimate": "100 * (" + " + ".join(f"{w} * (({full('sum(bp)', 'bp', k)}) / (({full('sum(rng)', 'rng', k)}) + 1e-10))" for w, k in ((4, 7), (2, 14), (1, 28))) + ") / 7",
-         "stabilised": "case when hi is null then close else greatest(least(close, hi * 0.99), lo * 1.01) end", "regime": "coalesce((hv > q80)::int + (hv > q60)::int, 0)",
+         "stabilised": "case when been <= 2 or hi - lo <= 1e-10 then close when close < lo + (hi - lo) * 0.01 then lo + (hi - lo) * 0.01 when close > hi - (hi - lo) * 0.01 then hi - (hi - lo) * 0.01 else close end", "regime": "coalesce((hv > q80)::int + (hv > q60)::int, 0)",
          "quality": f"case when count(*) {over(20)} = 20 then 0.8 * count(r) {over(20)} / 20 + 0.2 else 0.0 end"},
     ),
 )
@@ -451,12 +474,59 @@ def feat_cycles(spark, sf_dir):
     return features.oscillators(atr_bars(spark, sf_dir))
 
 
-@query("feat_adaptive")
+_SPAN = {n: 2 / (n + 1) for n in (3, 9, 10, 12, 14, 20, 25, 26)}
+_MOVES = stage("x0", "b", {
+    "d": "close - pc", "up": f"high - {lag('high')}", "dn": f"{lag('low')} - low", "reach": "greatest(high - low, abs(high - pc), abs(low - pc))", "hl": "high - low", "xi": "i",
+}) + stage("x1", "x0", {
+    "gain": "case when pc is not null then greatest(d, 0) end", "loss": "case when pc is not null then greatest(-d, 0) end", "d0": "coalesce(d, 0)", "ad": "coalesce(abs(d), 0)",
+    "p0": "case when up > dn and up > 0 then up else 0.0 end", "m0": "case when dn > up and dn > 0 then dn else 0.0 end",
+}) + stage("x2", "x1", {
+    "p1": "case when pc is not null then p0 end", "m1": "case when pc is not null then m0 end", "sf": seed("reach", 13), "sp": seed("p0", 13), "sm": seed("m0", 13), "s9": seed("hl", 9), "s10": seed("hl", 10),
+})
+_OSCILLATORS = (
+    RWITH + ATR + _MOVES
+    + ewms("y0", "x2", {"g": ("gain", 1 / 14), "s": ("loss", 1 / 14), "fast": ("close", _SPAN[12]), "slow": ("close", _SPAN[26]), "p": ("p1", 1 / 14), "m": ("m1", 1 / 14), "t1": ("close", _SPAN[14]),
+                        "e20": ("close", _SPAN[20]), "d1": ("d0", _SPAN[25]), "a1": ("ad", _SPAN[25]), "wf": ("sf", 1 / 13), "wp": ("sp", 1 / 13), "wm": ("sm", 1 / 13)})
+    + stage("y1", "y0", {"macd": "fast - slow", "dx": "abs(p - m) / (p + m + 1e-10) * 100"})
+    + ewms("y2", "y1", {"signal": ("macd", _SPAN[9]), "adx": ("dx", 1 / 14), "t2": ("t1", _SPAN[14]), "d2": ("d1", _SPAN[12]), "a2": ("a1", _SPAN[12])})
+    + ewms("y3", "y2", {"t3": ("t2", _SPAN[14])}) + " "
+    + final({"rsi_14": "100 - 100 / (1 + g / (s + 1e-10))", "macd": "macd / atr", "macd_signal": "signal / atr", "macd_histogram": "(macd - signal) / atr",
+             "di_plus": "case when i > 13 and wf * 13 > 1e-10 then wp / wf * 100 end", "di_minus": "case when i > 13 and wf * 13 > 1e-10 then wm / wf * 100 end", "adx_14": "adx",
+             "trix": f"(t3 - {lag('t3')}) / ({lag('t3')} + 1e-10) * 1e4", "tsi": "case when i > 37 then coalesce(100 * d2 / nullif(a2, 0), 0) end", "ema_20": "(e20 - close) / atr"}, "y3")
+)
+
+
+def _cycle(source: str, c: str, name: str) -> str:
+    low, high = full(f"min({c})", c, 10), full(f"max({c})", c, 10)
+    return stage(f"{name}_0", source, {f"{name}_x": f"({c} - ({low})) / (({high}) - ({low}) + 1e-10) * 100"}) + ewms(f"{name}_1", f"{name}_0", {name: (f"{name}_x", _SPAN[3])})
+
+
+_A23, _A50 = (recursive.alpha(half_life=h) for h in (23, 50))
+_ADAPTIVE = (
+    RWITH + ATR + _MOVES
+    + ewms("y0", "x2", {"g": ("gain", 1 / 14), "s": ("loss", 1 / 14), "fast": ("close", _SPAN[12]), "slow": ("close", _SPAN[26]), "h23": ("close", _A23), "h50": ("close", _A50), "e9": ("s9", _SPAN[9]), "e10": ("s10", _SPAN[10])})
+    + stage("y1", "y0", {"rsi": "100 - 100 / (1 + g / (s + 1e-10))", "macd": "h23 - h50", "s99": f"case when i = 17 then avg(e9) {over(9)} when i > 17 then e9 end",
+                         "walk": "sum(abs(coalesce(close - pc, 0))) over (partition by symbol order by i)"})
+    + stage("y2", "y1", {"er": f"case when walk - {lag('walk', 21)} > 0 then abs(close - {lag('close', 21)}) / (walk - {lag('walk', 21)}) else 0 end"})
+    + ewms("y3", "y2", {"e99": ("s99", _SPAN[9])})
+    + """, k_r as (select symbol, i, null::double as kama from y3 where i = 1 union all
+         select s.symbol, s.i, case when s.i <= 21 then null else coalesce(r.kama, s.pc) + (s.er * (2 / 3.0 - 2 / 31.0) + 2 / 31.0) ** 2 * (s.close - coalesce(r.kama, s.pc)) end
+         from k_r r join y3 s on s.symbol = r.symbol and s.i = r.i + 1), y4 as materialized (select y3.*, kama from y3 join k_r using (symbol, i))"""
+    + stage("y5", "y4", {"mi": "case when e99 > 0 then e9 / e99 end"})
+    + _cycle("y5", "macd", "c1") + _cycle("c1_1", "c1", "c2") + " "
+    + final({"stoch_rsi": f"(rsi - ({full('min(rsi)', 'rsi', 14)})) / (({full('max(rsi)', 'rsi', 14)}) - ({full('min(rsi)', 'rsi', 14)}) + 1e-10) * 100",
+             "rsi_divergence": f"(close - {lag('close', 14)}) / ({lag('close', 14)} + 1e-10) - ((rsi - {lag('rsi', 14)}) / 50 - 1)", "schaff": "c2",
+             "price_oscillator": "(fast - slow) / (slow + 1e-10) * 100", "kama": "(kama - close) / atr",
+             "chaikin_volatility": f"case when {lag('e10', 10)} > 0 then (e10 - {lag('e10', 10)}) / {lag('e10', 10)} * 100 end", "mass_index": full("sum(mi)", "mi", 20)}, "c2_1")
+)
+
+
+@query("feat_adaptive", _ADAPTIVE)
 def feat_adaptive(spark, sf_dir):
     return recursive.adaptive(atr_bars(spark, sf_dir))
 
 
-@query("feat_oscillators")
+@query("feat_oscillators", _OSCILLATORS)
 def feat_oscillators(spark, sf_dir):
     return recursive.oscillators(atr_bars(spark, sf_dir))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import Rolling
-from tidemark.operators import analytics, kernels, learn, recursive, selection, simulate
-from tidemark.plans.catalogue import BARS, EWITH, atr_bars, hour_bars, query
+from tidemark.operators import analytics, frames, kernels, learn, recursive, selection, simulate
+from tidemark.plans.catalogue import ATR, BARS, EWITH, RWITH, TICKS, atr_bars, final, full, hour_bars, lag, over, query, stage
+from tidemark.sources.ticks import event_ticks
 from tidemark.streaming import bars as stream
 
 COLUMNS = ["open", "high", "low", "close", "volume", "pc"]
@@ -83,11 +84,23 @@ def parity_compare(spark, sf_dir):
     return selection.parity(left, right)
 
 
-@query("feature_names", "select * from (values ('e1a_mean_20_M3', 'M3', 2), ('e1b_z_H12', 'H12', 1), ('e1c_adx_13_M0.5', 'M0.5', 1), ('other', '', null)) t(name, timeframe, model)")
+@query(
+    "feature_names",
+    EWITH + BARS + """, n as (select distinct 'e1' || substr(symbol, 1, 1) || '_' || c || '_' || tf as name from b1, (values ('mean_20'), ('adx')) x(c), (values ('M3'), ('M30'), ('H12'), ('D1')) y(tf))
+    select name, regexp_extract(name, '(M30|M3|H12|D1)$', 1) as timeframe, case when regexp_matches(name, '^e1[bcd]_') then 1 when regexp_matches(name, '^e1[aef]_') then 2 end as model,
+           regexp_extract(name, '^(e1[a-f])_', 1) as engine, regexp_replace(regexp_replace(name, '^e1[a-f]_', ''), '_[^_]*$', '') as base,
+           name like '%adx%' or name like 'e1p%' as excluded from n""",
+)
 def feature_names(spark, sf_dir):
-    rows = spark.createDataFrame([("e1a_mean_20_M3",), ("e1b_z_H12",), ("e1c_adx_13_M0.5",), ("other",)], "name string")
-    n = F.regexp_replace("name", "_", " ")
-    return rows.select("name", selection.timeframe_of(n).alias("timeframe"), selection.model_of(F.col("name")).alias("model"))
+    each = lambda *x: F.explode(F.array(*map(F.lit, x)))
+    rows = hour_bars(spark, sf_dir).select("symbol").distinct().withColumn("c", each("mean_20", "adx")).withColumn("tf", each("M3", "M30", "H12", "D1"))
+    rows = rows.select(F.concat(F.lit("e1"), F.substring("symbol", 1, 1), F.lit("_"), "c", F.lit("_"), "tf").alias("name")).distinct()
+    name = F.col("name")
+    parts = frames.name_parts(name)
+    return rows.select(
+        "name", selection.timeframe_of(F.regexp_replace("name", "_", " ")).alias("timeframe"), selection.model_of(name).alias("model"),
+        parts["engine"].alias("engine"), parts["base"].alias("base"), frames.excluded(name, parts=("adx",), prefixes=("e1p",)).alias("excluded"),
+    )
 
 
 # --- trades -----------------------------------------------------------------------------------------------------
@@ -246,10 +259,164 @@ def broker_reconcile(spark, sf_dir):
     return analytics.reconcile(o.filter("ticket % 3 <> 0"), o.filter("ticket % 5 <> 0"))
 
 
+# --- small frame operations --------------------------------------------------------------------------------------
+
+
+def _ticks(spark, sf_dir):
+    return event_ticks(spark, sf_dir)
+
+
+@query("last_close_proxy", EWITH + TICKS + """, l as (select symbol, make_timestamp(epoch_us(ts) // 300000000 * 300000000) as bucket, arg_max(price, (ts, seq)) as close from t group by all)
+    select symbol, epoch(bucket)::bigint as bucket, round(close, 6) as close, round((close - lag(close) over w) / nullif(lag(close) over w, 0), 6) as change from l window w as (partition by symbol order by bucket)""")
+def last_close_proxy(spark, sf_dir):
+    return frames.last_close(_ticks(spark, sf_dir))
+
+
+@query("resample_right", EWITH + TICKS + """ select symbol, (ceil(epoch_us(ts) / 30000000.0) * 30)::bigint as bucket, round(arg_min(price, (ts, seq)), 6) as open, round(max(price), 6) as high,
+    round(min(price), 6) as low, round(arg_max(price, (ts, seq)), 6) as close, count(*) as volume from t group by all""")
+def resample_right(spark, sf_dir):
+    return frames.resample_right(_ticks(spark, sf_dir))
+
+
+@query("tail_rows", EWITH + TICKS + " select symbol, seq, round(price, 6) as price from t qualify row_number() over (partition by symbol order by ts desc, seq desc) <= 100")
+def tail_rows(spark, sf_dir):
+    return frames.tail(_ticks(spark, sf_dir), 100, ("symbol",), ("ts", "seq")).select("symbol", "seq", "price")
+
+
+@query("first_seen", """with e as (select user_id, event_type, case when event_id % 3 > 0 then value end as value, case when event_id % 4 = 0 then props end as props, ts, event_id from events)
+    select user_id, arg_min(value, (ts, event_id)) filter (value is not null) as value, arg_min(props, (ts, event_id)) filter (props is not null) as props from e group by 1""")
+def first_seen(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.withColumns({"value": F.when(F.col("event_id") % 3 > 0, F.col("value")), "props": F.when(F.col("event_id") % 4 == 0, F.col("props"))})
+    return frames.first_seen(e, ("user_id",), ("ts", "event_id"), ("value", "props"))
+
+
+@query("unique_rows", """select 'first' as keep, user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts, event_id) = 1
+    union all select 'last', user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""")
+def unique_rows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "ts")
+    kept = [frames.unique(e, ("user_id",), ("ts", "event_id"), k).withColumn("keep", F.lit(k)) for k in ("first", "last")]
+    return kept[0].unionByName(kept[1]).select("keep", "user_id", "event_id", "event_type")
+
+
+@query("fold_means", "select l_orderkey % 5 as fold, count(*) as n, round(avg(l_quantity), 6) as mean_l_quantity, round(avg(l_discount), 6) as mean_l_discount from lineitem group by 1")
+def fold_means(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("fold", F.col("l_orderkey") % 5)
+    return frames.fold_means(rows, "fold", ("l_quantity", "l_discount"))
+
+
+@query("forward_targets", EWITH + BARS + " select symbol, epoch(bucket)::bigint as bucket, " + ", ".join(f"round(lead(close, {n}) over w / nullif(close, 0) - 1, 6) as {k}" for k, n in (("next_1", 1), ("next_24", 24))) + " from b1 window w as (partition by symbol order by bucket)")
+def forward_targets(spark, sf_dir):
+    return frames.targets(hour_bars(spark, sf_dir), {"next_1": 1, "next_24": 24}).select("symbol", "bucket", "next_1", "next_24")
+
+
+@query("top_trades", "select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc nulls last, l_orderkey, l_linenumber limit 50")
+def top_trades(spark, sf_dir):
+    return frames.top_k(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_extendedprice", 50, ("l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("seeded_sample", "select o_orderkey from orders order by md5(o_orderkey || ':42'), o_orderkey limit 100")
+def seeded_sample(spark, sf_dir):
+    return frames.sample(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", 100).select("o_orderkey")
+
+
+@query("diagonal_concat", """select c_custkey as key, c_name as name, c_mktsegment as segment, null as acctbal from customer
+    union all by name select s_suppkey as key, s_name as name, round(s_acctbal, 6) as acctbal from supplier""")
+def diagonal_concat(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("double").alias("acctbal"))
+    return frames.stacked([c, s])
+
+
+@query("name_sets", "with l as (select distinct p_brand as name from part where p_size < 10), r as (select distinct p_brand as name from part where p_retailprice > 1000) select coalesce(l.name, r.name) as name, case when l.name is null then 'right' when r.name is null then 'left' else 'both' end as side from l full join r using (name)")
+def name_sets(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("name", F.col("p_brand"))
+    return frames.name_sets(p.filter("p_size < 10"), p.filter("p_retailprice > 1000"))
+
+
+@query("semi_join", "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 100000)")
+def semi_join(spark, sf_dir):
+    big = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("purged_rows", EWITH + BARS + """, n as (select symbol, bucket, i - 1 as position, count(*) over (partition by symbol) as n from b1),
+    f as (select *, fold, fold * greatest(1, n // 4) as lo, case when fold = 3 then n else (fold + 1) * greatest(1, n // 4) end - 1 as hi from n, range(4) r(fold))
+    select symbol, epoch(bucket)::bigint as bucket, position::int as position, fold::int as fold, case when position between lo and hi then 'test' else 'train' end as role
+    from f where position between lo and hi or position < lo - 5 or position > hi + 3""")
+def purged_rows(spark, sf_dir):
+    return frames.purged_rows(hour_bars(spark, sf_dir).select("symbol", "bucket"), 4, 5, 3, "symbol", ("bucket",))
+
+
+@query("expanding_folds", """select l_orderkey, l_linenumber, round::int as round, case when l_orderkey % 4 + 1 <= round then 'train' else 'test' end as role
+    from lineitem, range(1, 4) r(round) where l_orderkey % 4 + 1 <= round + 1""")
+def expanding_folds(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 4 + 1).alias("fold"))
+    return frames.expanding(rows, "fold", 4).select("l_orderkey", "l_linenumber", "round", "role")
+
+
+@query("baseline_ratio", RWITH + ATR + f", m as (select *, {full('avg(atr)', 'atr', 24)} as short, {full('avg(atr)', 'atr', 168)} as long from b) select symbol, epoch(bucket)::bigint as bucket, round(long, 6) as baseline, round(short / long, 6) as ratio, long >= 50 as above_floor from m")
+def baseline_ratio(spark, sf_dir):
+    return frames.baseline_ratio(atr_bars(spark, sf_dir), "atr", 24, 168, 50.0).select("symbol", "bucket", "baseline", "ratio", "above_floor")
+
+
+@query("trigger_flags", RWITH + ATR + f", m as (select *, atr / (avg(atr) {over(24)} + 1e-10) as r from b) select symbol, epoch(bucket)::bigint as bucket, (case when r >= 0.8 then 1 else 0 end)::tinyint as is_trigger from m where year(bucket) = 2024 and month(bucket) = 1")
+def trigger_flags(spark, sf_dir):
+    rows = recursive.atr_ratio(atr_bars(spark, sf_dir), 24).filter(frames.in_period(F.col("bucket"), "month", 2024, 1))
+    return rows.select("symbol", "bucket", frames.is_trigger(F.col("atr_ratio")).alias("is_trigger"))
+
+
+@query("suffixed_names", EWITH + BARS + " select symbol, epoch(bucket)::bigint as bucket, round(open, 6) as open_H1, round(close, 6) as close_H1 from b1")
+def suffixed_names(spark, sf_dir):
+    rows = hour_bars(spark, sf_dir).select(F.col("symbol").alias("Ticker"), F.col("bucket").alias("TIME"), F.col("open").alias("Open"), "close")
+    rows = frames.normalised(rows, {"symbol": ("ticker", "instrument"), "bucket": ("time", "timestamp"), "open": ("o",)})
+    return frames.suffixed(rows, "H1", ("symbol", "bucket"))
+
+
+@query("bar_first_hit", RWITH + ATR + """, j as (
+        select x.symbol, x.bucket, x.i, min(y.i - x.i) filter (y.high >= x.close + x.atr) as pt, min(y.i - x.i) filter (y.low <= x.close - 2 * x.atr) as sl
+        from b x left join b y on y.symbol = x.symbol and y.i between x.i + 1 and x.i + 12 group by all)
+    select symbol, epoch(bucket)::bigint as bucket, (pt is not null and (sl is null or pt <= sl))::int as label,
+           case when pt is not null and (sl is null or pt <= sl) then 'target' when sl is not null then 'stop' else 'time' end as reason,
+           coalesce(case when pt is not null and (sl is null or pt <= sl) then pt else sl end, 12)::int as bars_held from j""")
+def bar_first_hit(spark, sf_dir):
+    rows = atr_bars(spark, sf_dir)
+    bets = rows.select("symbol", "bucket", "close", "atr")
+    got = frames.bar_first_hit(bets, rows, 12, F.col("close") + F.col("atr"), F.col("close") - 2 * F.col("atr"))
+    return got.select("symbol", "bucket", "label", "reason", "bars_held")
+
+
+@query("correlation_greedy", """with c as materialized (select * from (values (1, 'open'), (2, 'high'), (3, 'low'), (4, 'close'), (5, 'volume')) t(k, name)),
+    """ + BARS + ", p as (" + " union all ".join(f"select '{a}' as a, '{b}' as b, abs(corr({a}, {b})) >= 0.5 as near from b1" for i, a in enumerate(COLUMNS[:5]) for b in COLUMNS[i + 1 : 5]) + """)
+    select name from c where name = 'open'
+        or name = 'high' and not (select near from p where a = 'open' and b = 'high')
+        or name = 'low' and not (select near from p where a = 'open' and b = 'low') and not ((select near from p where a = 'high' and b = 'low') and not (select near from p where a = 'open' and b = 'high'))
+        or name = 'close' and not (select near from p where a = 'open' and b = 'close') and not ((select near from p where a = 'high' and b = 'close') and not (select near from p where a = 'open' and b = 'high'))
+           and not ((select near from p where a = 'low' and b = 'close') and not (select near from p where a = 'open' and b = 'low') and not ((select near from p where a = 'high' and b = 'low') and not (select near from p where a = 'open' and b = 'high')))
+        or name = 'volume' and not exists (select 1 from p where b = 'volume' and near)""")
+def correlation_greedy(spark, sf_dir):
+    kept = selection.blocked_correlation(_frame(spark, sf_dir), COLUMNS[:5], 0.5, block=2)
+    return spark.createDataFrame([(k,) for k in kept], "name string")
+
+
 # --- kernels, simulation, streams: checked by tests against plain versions ----------------------------------------
 
 
-@query("qa_clip")
+_HALF = recursive.alpha(half_life=50)
+
+
+@query(
+    "qa_clip",
+    RWITH + BARS + f""", q as (
+        select symbol, i, bucket, close as v, close as mean, 0.0::double as var, 1.0::double as sq, close as clipped from b2 where i = 1
+        union all
+        select symbol, i, bucket, v, mean, var, sq,
+               case when 1 - sq > 1e-12 and var > 0 then least(greatest(v, mean - 5 * sqrt(var / (1 - sq))), mean + 5 * sqrt(var / (1 - sq))) else v end
+        from (select b2.symbol, b2.i, b2.bucket, b2.close as v, q.mean + {_HALF!r} * (b2.close - q.mean) as mean,
+                     (1 - {_HALF!r}) * (q.var + {_HALF!r} * (b2.close - q.mean) ** 2) as var, (1 - {_HALF!r}) ** 2 * q.sq + {_HALF!r} ** 2 as sq
+              from q join b2 on b2.symbol = q.symbol and b2.i = q.i + 1))
+    select symbol, epoch(bucket)::bigint as bucket, round(clipped, 6) as clipped from q""",
+)
 def qa_clip(spark, sf_dir):
     return recursive.quality_clip(hour_bars(spark, sf_dir), "close", 50).select("symbol", "bucket", "clipped")
 
@@ -269,9 +436,33 @@ def feat_kernels_experimental(spark, sf_dir):
     return kernels.apply(atr_bars(spark, sf_dir), kernels.EXPERIMENTAL, 30)
 
 
-@query("portfolio_sim")
+@query(
+    "portfolio_sim",
+    RWITH + ATR + """,
+    p as materialized (select symbol, i - 1 as k, bucket, close, atr, ((epoch(bucket)::bigint // 3600) * 7919 + length(symbol) * 613) % 1000 / 1000.0 as score,
+                              max(i - 1) over (partition by symbol) as final_k from b),
+    r as (
+        select symbol, 0::bigint as k, -1::bigint as until_k, 0 as stops, 10000.0::double as money, 10000.0::double as peak, null::timestamp as entry, null::timestamp as exit,
+               null::double as entry_price, null::double as exit_price, null::double as lots, null::double as pnl, null::varchar as reason
+        from p where k = 0
+        union all
+        select symbol, greatest(end_k, entry_k + 1), case when stops = 3 then end_k + 12 else until_k end, case when stops = 3 then 0 else stops end, money, greatest(peak, money),
+               entry, exit, entry_price, exit_price, lots, pnl, reason
+        from (select *, money0 + pnl as money, case when reason = 'stop' then stops0 + 1 else 0 end as stops
+              from (select *, (exit_price - entry_price) * lots as pnl
+                    from (select r.symbol, r.until_k, r.stops as stops0, r.money as money0, r.peak, e.k as entry_k, e.bucket as entry, e.close as entry_price, x.k as end_k, x.bucket as exit, x.close as exit_price,
+                                 case when x.close >= e.close + e.atr then 'target' when x.close <= e.close - 2 * e.atr then 'stop' else 'time' end as reason,
+                                 greatest(0.01, floor(r.money * 0.01 / (2 * e.atr + 1e-10) * 100 + 1e-9) / 100) as lots
+                          from r, lateral (select * from p where p.symbol = r.symbol and p.k >= greatest(r.k, r.until_k) and p.score >= 0.7 order by p.k limit 1) e,
+                               lateral (select * from p where p.symbol = e.symbol and p.k between e.k and least(e.k + 6, e.final_k) and (p.k > e.k or e.k = e.final_k)
+                                        and (p.close >= e.close + e.atr or p.close <= e.close - 2 * e.atr or p.k = least(e.k + 6, e.final_k)) order by p.k limit 1) x))))
+    select symbol, epoch(entry)::bigint as entry, epoch(exit)::bigint as exit, round(entry_price, 6) as entry_price, round(exit_price, 6) as exit_price, round(lots, 6) as lots,
+           round(pnl, 6) as pnl, reason, round(money, 6) as balance, round((peak - money) / peak, 6) as drawdown from r where entry is not null""",
+)
 def portfolio_sim(spark, sf_dir):
-    rows = atr_bars(spark, sf_dir).select("symbol", "bucket", "close", "atr", (F.pmod(F.xxhash64("symbol", "bucket"), F.lit(1000)) / 1000.0).alias("score"))
+    # A score that any engine works out alike, from the hour and the symbol.
+    score = F.pmod(F.floor(F.unix_micros(F.col("bucket").cast("timestamp")) / 3_600_000_000) * 7919 + F.length("symbol") * 613, F.lit(1000)) / 1000.0
+    rows = atr_bars(spark, sf_dir).select("symbol", "bucket", "close", "atr", score.alias("score"))
     return simulate.portfolio(rows, threshold=0.7)
 
 
@@ -293,7 +484,20 @@ def bad_trade_filter(spark, sf_dir):
     return learn.bad_trade_filter(rows, ["size", "weekday"], "bad").select("id", "bad_score", "skip")
 
 
-@query("event_state_fold")
+@query(
+    "event_state_fold",
+    """with e as (select user_id % 50 as account, event_id as seq, ['FILL', 'CLOSE', 'SL', 'TP', 'EQUITY'][event_id % 5 + 1] as kind, event_id % 40 as ticket, value as amount from events),
+    c as (select account, max(seq) filter (kind in ('CLOSE', 'TP')) as last_other from e group by account),
+    k as (select account, ticket, arg_max(kind, seq) as last_kind from e where kind <> 'EQUITY' group by account, ticket),
+    o as (select account, count(*) filter (last_kind = 'FILL') as open_tickets from k group by account)
+    select e.account, count(*) as events, any_value(coalesce(o.open_tickets, 0))::int as open_tickets,
+           (count(*) filter (kind = 'SL' and seq > coalesce(c.last_other, -1)))::int as consecutive_stops,
+           round(coalesce(arg_max(amount, seq) filter (kind = 'EQUITY'), 0), 6) as equity, round(greatest(coalesce(max(amount) filter (kind = 'EQUITY'), 0), 0), 6) as peak,
+           round(case when greatest(coalesce(max(amount) filter (kind = 'EQUITY'), 0), 0) > 0 then
+                 (greatest(coalesce(max(amount) filter (kind = 'EQUITY'), 0), 0) - coalesce(arg_max(amount, seq) filter (kind = 'EQUITY'), 0)) / greatest(coalesce(max(amount) filter (kind = 'EQUITY'), 0), 0)
+                 else 0 end, 6) as drawdown
+    from e left join c using (account) left join o using (account) group by e.account""",
+)
 def event_state_fold(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     kinds = F.array(*[F.lit(k) for k in ("FILL", "CLOSE", "SL", "TP", "EQUITY")])
@@ -301,6 +505,11 @@ def event_state_fold(spark, sf_dir):
     return simulate.fold_events(rows)
 
 
-@query("streaming_ohlcv")
+@query(
+    "streaming_ohlcv",
+    # Bars whose end the watermark, ten minutes behind the last tick, has passed; open ones are kept for the next run.
+    "with " + BARS + """ select symbol, epoch(bucket)::bigint as bucket, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, volume
+    from b0 where bucket + interval 1 hour <= (select max(ts) from events) - interval 10 minute""",
+)
 def streaming_ohlcv(spark, sf_dir):
     return stream.run_once(spark, sf_dir)

@@ -30,8 +30,15 @@ def tick_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_once(spark: SparkSession, sf_dir: str, size: str = "H1", name: str | None = None) -> DataFrame:
-    """Land the ticks as files, stream all that is there, and return the closed bars."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
+    """Land the ticks as files, stream all that is there, and return the closed bars.
+
+    Bars that the watermark has not passed stay open in the state for the next run.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
     base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     event_ticks(spark, sf_dir).repartitionByRange(4, "ts").write.parquet(f"{base}/in")
     got = windows(tick_stream(spark, f"{base}/in"), size)
