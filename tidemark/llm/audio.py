@@ -258,4 +258,4 @@ def read_back(stored: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Store media and tensors in the shared folder and measure what is there."""
-    return read_back(materialise(features(docs), "media"))
+    return read_back(materialise(features(docs), "media", "zstd"))
