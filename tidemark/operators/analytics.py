@@ -65,13 +65,22 @@ def sharpe_sortino(equity: DataFrame) -> DataFrame:
     )
 
 
+#: Pieces of a unit of score that are numbered by themselves.
+PIECES = 4096
+
+
 def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve by rank sums, ties at their mean rank, and the log loss.
 
-    Scores are counted first, so the ordered pass runs over distinct scores.
+    Scores are counted first, then numbered within pieces of the score's range;
+    what lies below a piece comes from the few pieces' totals.
     """
     g = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    g = g.withColumn("_piece", F.floor(F.coalesce(F.col(score).cast("double"), F.lit(0.0)) * PIECES).cast("bigint"))
+    lower = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = g.groupBy("_piece").agg(F.sum("n").alias("n")).select("_piece", lower(Window.orderBy("_piece")).alias("_under"))
+    g = g.join(pieces, "_piece")
+    below = F.col("_under") + lower(Window.partitionBy("_piece").orderBy(score))
     g = g.withColumn("u", F.col("p") * (below + F.col("n") / 2.0))
     q = F.greatest(F.least(F.col(score), F.lit(1 - 1e-7)), F.lit(1e-7))
     return g.agg(

@@ -23,28 +23,58 @@ def bucket(ts: Column, size: str) -> Column:
     return F.timestamp_micros(F.floor(F.unix_micros(ts) / step) * step)
 
 
+def _base(sizes: tuple[str, ...]) -> str | None:
+    """The smallest size, if all others are made of whole bars of it."""
+    fixed = [x for x in sizes if x not in CALENDAR]
+    base = min(fixed, key=SECONDS.__getitem__, default=None)
+    day = [86400] if len(fixed) < len(sizes) else []
+    return base if base and all(n % SECONDS[base] == 0 for n in [*(SECONDS[x] for x in fixed), *day]) else None
+
+
 def ohlcv(ticks: DataFrame, sizes: tuple[str, ...] = ("H1",)) -> DataFrame:
     """symbol, timeframe, bucket, open, high, low, close, volume, tick_count, bid, ask, spread.
 
-    One pass over the ticks for all sizes: each tick goes to one bar of each
-    size and is reduced before the shuffle. Open and close are those of the
-    least and the greatest (ts, seq), whatever the order of arrival.
+    Ticks are reduced to bars of the smallest size before any shuffle; the
+    larger sizes, weeks and months come from those bars, not from the ticks.
+    Open and close are those of the least and the greatest (ts, seq), whatever
+    the order of arrival.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("timeframe"), bucket(F.col("ts"), s).alias("bucket")) for s in sizes]))
     at = F.struct("ts", "seq")
+    base = _base(sizes)
+    gap = F.col("ask") - F.col("bid")
+    if base is None:
+        there = lambda c: c.isNotNull().cast("bigint")
+        price = [F.col("price").alias(c) for c in ("open", "high", "low", "close")]
+        counts = [F.lit(1).cast("bigint").alias("n"), there(F.col("bid")).alias("n_bid"), there(F.col("ask")).alias("n_ask"), there(gap).alias("n_gap")]
+        small = ticks.select("symbol", F.col("ts").alias("_at"), at.alias("_first"), at.alias("_last"), *price, "bid", "ask", gap.alias("gap"), *counts)
+    else:
+        small = ticks.groupBy("symbol", bucket(F.col("ts"), base).alias("_at")).agg(
+            F.min(at).alias("_first"), F.max(at).alias("_last"), F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+            F.max_by("price", at).alias("close"), F.sum("bid").alias("bid"), F.sum("ask").alias("ask"), F.sum(gap).alias("gap"),
+            F.count("*").alias("n"), F.count("bid").alias("n_bid"), F.count("ask").alias("n_ask"), F.count(gap).alias("n_gap"),
+        )
+    # Sums to nine digits, so that the order of addition does not show.
+    mean = lambda c: F.try_divide(F.round(F.sum(c), 9), F.sum(f"n_{c}"))
+    if sizes == (base,):
+        each = small.select("*", F.lit(base).alias("timeframe"), F.col("_at").alias("bucket"))
+        return each.select(
+            "symbol", "timeframe", "bucket", "open", "high", "low", "close", F.col("n").alias("volume"), F.col("n").alias("tick_count"),
+            *[F.try_divide(F.round(c, 9), F.col(f"n_{c}")).alias(k) for c, k in (("bid", "bid"), ("ask", "ask"), ("gap", "spread"))],
+        )
+    x = F.explode(F.array(*[F.struct(F.lit(s).alias("timeframe"), bucket(F.col("_at"), s).alias("bucket")) for s in sizes]))
     return (
-        ticks.withColumn("x", each)
+        small.withColumn("x", x)
         .groupBy("symbol", "x.timeframe", "x.bucket")
         .agg(
-            F.min_by("price", at).alias("open"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max_by("price", at).alias("close"),
-            F.count("*").alias("volume"),
-            F.count("*").alias("tick_count"),
-            F.avg("bid").alias("bid"),
-            F.avg("ask").alias("ask"),
-            F.avg(F.col("ask") - F.col("bid")).alias("spread"),
+            F.min_by("open", "_first").alias("open"),
+            F.max("high").alias("high"),
+            F.min("low").alias("low"),
+            F.max_by("close", "_last").alias("close"),
+            F.sum("n").alias("volume"),
+            F.sum("n").alias("tick_count"),
+            mean("bid").alias("bid"),
+            mean("ask").alias("ask"),
+            mean("gap").alias("spread"),
         )
     )
 

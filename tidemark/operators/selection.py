@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of a name's values that are numbered by themselves.
+PIECES = 64
+
+
 def melt(wide: DataFrame, keys: tuple[str, ...], columns: list[str]) -> DataFrame:
     """Long form: keys, name, value."""
     return wide.unpivot(list(keys), [F.col(c).cast("double").alias(c) for c in columns], "name", "value")
@@ -66,14 +70,22 @@ def blocked_correlation(wide: DataFrame, columns: list[str], most: float = 0.95,
 def ks_statistic(rows: DataFrame, value: str, half: Column, by: str = "name") -> DataFrame:
     """Largest distance of the two halves' distribution functions, and its p-value, by name.
 
-    Values are counted first, so that ties step together; running counts follow
-    the value. half: true for the first sample.
+    Values are counted first, so that ties step together. Running counts follow
+    the value within PIECES ranges of it, cut at approximate quantiles, on top of
+    the totals of the ranges below: no task orders all values of a name.
+    half: true for the first sample.
     """
     x = rows.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), half.alias("h"))
     n = x.groupBy(by).agg(F.count_if("h").alias("n1"), F.count_if(~F.col("h")).alias("n2"))
     steps = x.groupBy(by, "v").agg(F.count_if("h").alias("k1"), F.count_if(~F.col("h")).alias("k2"))
-    w = Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumns({"c1": F.sum("k1").over(w), "c2": F.sum("k2").over(w)}).join(n, by)
+    cuts = steps.groupBy(by).agg(F.percentile_approx("v", F.array(*[F.lit(k / PIECES) for k in range(1, PIECES)]), 10 * PIECES).alias("_cuts"))
+    steps = steps.join(cuts, by).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col("v")))).drop("_cuts")
+    pieces = steps.groupBy(by, "_piece").agg(F.sum("k1").alias("p1"), F.sum("k2").alias("p2"))
+    lower = Window.partitionBy(by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(by, "_piece", F.coalesce(F.sum("p1").over(lower), F.lit(0)).alias("u1"), F.coalesce(F.sum("p2").over(lower), F.lit(0)).alias("u2"))
+    w = Window.partitionBy(by, "_piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    run = steps.join(pieces, [by, "_piece"])
+    run = run.withColumns({"c1": F.col("u1") + F.sum("k1").over(w), "c2": F.col("u2") + F.sum("k2").over(w)}).join(n, by)
     d = run.groupBy(by, "n1", "n2").agg(F.max(F.abs(F.try_divide("c1", "n1") - F.try_divide("c2", "n2"))).alias("d"))
     en = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
     lam = (en + 0.12 + 0.11 / en) * F.col("d")

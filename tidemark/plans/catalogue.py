@@ -137,7 +137,7 @@ _SIZES = ("M3", "M15", "H1", "H4", "D1", "W1", "MN")
         for s in _SIZES
     ) + """) select symbol, timeframe, epoch(bucket)::bigint as bucket, round(arg_min(price, (ts, seq)), 6) as open, round(max(price), 6) as high,
     round(min(price), 6) as low, round(arg_max(price, (ts, seq)), 6) as close, count(*) as volume, count(*) as tick_count,
-    round(avg(bid), 6) as bid, round(avg(ask), 6) as ask, round(avg(ask - bid), 6) as spread from x group by all""",
+    round(round(sum(bid), 9) / count(bid), 6) as bid, round(round(sum(ask), 9) / count(ask), 6) as ask, round(round(sum(ask - bid), 9) / count(ask - bid), 6) as spread from x group by all""",
 )
 def ohlcv_multi_tf(spark, sf_dir):
     return bars.ohlcv(event_ticks(spark, sf_dir), _SIZES)
