@@ -6,22 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, on: str, values: dict[str, str], forward: bool = False) -> DataFrame:
+#: Seconds of the pieces of time that are ordered by themselves.
+PIECE_S = 86400
+
+
+def piece_of(at: Column, kind: str, seconds: int = PIECE_S) -> Column:
+    """The number of the piece of time that holds a moment; one piece for what is no time."""
+    if kind.startswith("timestamp"):
+        return F.floor(F.unix_micros(at.cast("timestamp")) / (seconds * 1_000_000))
+    return F.unix_date(at).cast("bigint") if kind == "date" else F.lit(0).cast("bigint")
+
+
+def asof(left: DataFrame, right: DataFrame, by: str, on: str, values: dict[str, str], forward: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
     """Each left row with the last right row at or before it (the first at or after it, if forward).
 
-    A union in order of time and the last value that is not null: one shuffle on
-    `by`, no join of ranges. Rows of the left stay as they are, ties included.
-    values: right column -> name in the result.
+    A union in order of time and the last value that is not null, within pieces
+    of time; a piece that begins without one takes it from the pieces before,
+    of which there is a row each. So a key of all rows is as many tasks as it
+    has pieces. Rows of the left stay as they are, ties included; right rows of
+    equal time are in order of `ties`. values: right column -> name in the result.
     """
     side = F.struct(*[F.col(c).alias(n) for c, n in values.items()]).alias("_v")
     none = F.lit(None).cast(right.select(side).schema["_v"].dataType).alias("_v")
-    rows = left.select(by, on, F.struct(*left.columns).alias("_row"), none)
-    more = right.select(by, on, F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), side)
+    tie = F.struct(*[F.col(c) for c in ties]) if ties else F.lit(0)
+    more = right.select(by, on, tie.alias("_tie"), side)
+    rows = left.select(by, on, F.lit(None).cast(more.schema["_tie"].dataType).alias("_tie"), F.struct(*left.columns).alias("_row"), none)
+    more = more.select(by, on, "_tie", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_v")
+    every = rows.unionByName(more).withColumn("_piece", piece_of(F.col(on), left.schema[on].dataType.simpleString()))
     # At equal times the right side comes first (last, if forward is scanned backwards).
     mine = F.col("_row").isNotNull().cast("int")
-    w = Window.partitionBy(by).orderBy(F.col(on).desc() if forward else F.col(on).asc(), mine)
+    way = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
+    w = Window.partitionBy(by, "_piece").orderBy(way(on), mine, way("_tie"))
     found = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.unionByName(more).withColumn("_hit", found).filter("_row is not null").select("_row.*", "_hit.*")
+    at = F.when(F.col("_v").isNotNull(), F.struct(on, "_tie"))
+    pieces = every.groupBy(by, "_piece").agg((F.min_by if forward else F.max_by)("_v", at).alias("_own"))
+    before = Window.partitionBy(by).orderBy(way("_piece")).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(F.col(by).alias("_by"), F.col("_piece").alias("_p"), F.last("_own", ignorenulls=True).over(before).alias("_carried"))
+    hit = every.withColumn("_hit", found).filter("_row is not null")
+    hit = hit.join(pieces, hit[by].eqNullSafe(F.col("_by")) & F.col("_piece").eqNullSafe(F.col("_p")), "left")
+    return hit.withColumn("_hit", F.coalesce("_hit", "_carried")).select("_row.*", "_hit.*")
 
 
 def first_hits(
@@ -76,8 +99,14 @@ def concurrency(bets: DataFrame) -> DataFrame:
     events = bets.select("symbol", F.col("t0").alias("at"), F.lit(1).alias("step")).unionAll(
         bets.select("symbol", F.col("t1").alias("at"), F.lit(-1).alias("step"))
     )
-    w = Window.partitionBy("symbol").orderBy("at", F.desc("step"))
-    level = events.withColumn("level", F.sum("step").over(w)).filter("step = 1")
+    events = events.withColumn("_piece", piece_of(F.col("at"), events.schema["at"].dataType.simpleString()))
+    # Within pieces of time, on top of what the pieces before them leave open.
+    pieces = events.groupBy("symbol", "_piece").agg(F.sum("step").alias("left"))
+    before = Window.partitionBy("symbol").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("symbol", "_piece", F.coalesce(F.sum("left").over(before), F.lit(0)).alias("open"))
+    w = Window.partitionBy("symbol", "_piece").orderBy("at", F.desc("step"))
+    level = events.withColumn("level", F.sum("step").over(w)).filter("step = 1").join(pieces, ["symbol", "_piece"])
+    level = level.withColumn("level", F.col("level") + F.col("open"))
     level = level.groupBy("symbol", "at").agg(F.max("level").alias("concurrency"))
     out = bets.join(level, (bets["symbol"] == level["symbol"]) & (bets["t0"] == level["at"]), "left").drop(level["symbol"]).drop("at")
     return out.withColumn("uniqueness", F.coalesce(F.try_divide(F.lit(1.0), F.col("concurrency")), F.lit(0.0)))

@@ -214,32 +214,31 @@ def quality_profile(spark, sf_dir):
 
 def _bets(spark, sf_dir):
     ticks = event_ticks(spark, sf_dir)
-    return ticks.filter(F.col("seq") % 10 == 0).select(F.col("seq").alias("id"), "symbol", F.col("ts").alias("t0"), F.col("price").alias("close"), (F.lit(5.0) + F.col("seq") % 7).alias("atr"))
+    return ticks.select(F.col("seq").alias("id"), "symbol", F.col("ts").alias("t0"), F.col("price").alias("close"), (F.lit(5.0) + F.col("seq") % 7).alias("atr"))
 
 
-_BETS = TICKS + ", bets as (select seq as id, symbol, ts as t0, price as close, 5.0 + seq % 7 as atr from t where seq % 10 = 0)"
+_BETS = TICKS + ", bets as (select seq as id, symbol, ts as t0, price as close, 5.0 + seq % 7 as atr from t)"
 
 
-@query(
-    "asof_backward",
-    EWITH + TICKS + """, l as (select * from t where seq % 5 = 0), r as (select symbol, ts as rts, price as rprice, seq as rseq from t where seq % 5 <> 0)
-    select l.symbol, l.seq, rseq, round(rprice, 6) as rprice from l asof left join r on l.symbol = r.symbol and l.ts >= r.rts""",
-)
+def _asof_sql(way: str) -> str:
+    return EWITH + BARS + f""", r as (select symbol as s, bucket as rts, close as rprice from b1)
+    select t.symbol, t.seq, epoch(rts)::bigint as rbucket, round(rprice, 6) as rprice from t asof left join r on t.symbol = r.s and t.ts {way} r.rts"""
+
+
+def _asof(spark, sf_dir, forward):
+    right = hour_bars(spark, sf_dir).select("symbol", F.col("bucket").cast("timestamp").alias("ts"), "bucket", "close")
+    left = event_ticks(spark, sf_dir).select("symbol", "seq", F.col("ts").cast("timestamp").alias("ts"))
+    return joins.asof(left, right, "symbol", "ts", {"bucket": "rbucket", "close": "rprice"}, forward=forward).select("symbol", "seq", "rbucket", "rprice")
+
+
+@query("asof_backward", _asof_sql(">="))
 def asof_backward(spark, sf_dir):
-    t = event_ticks(spark, sf_dir)
-    got = joins.asof(t.filter("seq % 5 = 0").select("symbol", "ts", "seq"), t.filter("seq % 5 <> 0"), "symbol", "ts", {"seq": "rseq", "price": "rprice"})
-    return got.select("symbol", "seq", "rseq", "rprice")
+    return _asof(spark, sf_dir, False)
 
 
-@query(
-    "asof_forward",
-    EWITH + TICKS + """, l as (select * from t where seq % 5 = 0), r as (select symbol, ts as rts, price as rprice, seq as rseq from t where seq % 5 <> 0)
-    select l.symbol, l.seq, rseq, round(rprice, 6) as rprice from l asof left join r on l.symbol = r.symbol and l.ts <= r.rts""",
-)
+@query("asof_forward", _asof_sql("<="))
 def asof_forward(spark, sf_dir):
-    t = event_ticks(spark, sf_dir)
-    got = joins.asof(t.filter("seq % 5 = 0").select("symbol", "ts", "seq"), t.filter("seq % 5 <> 0"), "symbol", "ts", {"seq": "rseq", "price": "rprice"}, forward=True)
-    return got.select("symbol", "seq", "rseq", "rprice")
+    return _asof(spark, sf_dir, True)
 
 
 def _barrier_sql(target: str = "1.0", stop: str = "5.0", horizon: int = 14400, extra: str = "", bets: str = "bets", keys: str = "id") -> str:
@@ -254,10 +253,13 @@ def _barrier_sql(target: str = "1.0", stop: str = "5.0", horizon: int = 14400, e
 
 @query(
     "triple_barrier",
-    EWITH + _BETS + ", " + _barrier_sql() + " select id, symbol, epoch(date_trunc('second', t0))::bigint as t0, round(close, 6) as close, atr::double as atr, wl::int as label_long, round(dl, 6) as duration_long, ws::int as label_short, round(ds, 6) as duration_short from k",
+    EWITH + _BETS + ", " + _barrier_sql() + " select id, symbol, epoch(date_trunc('second', t0))::bigint as t0, round(close, 6) as close, atr::double as atr, wl::int as label_long, round(dl * 60e6)::bigint as duration_long_us, ws::int as label_short, round(ds * 60e6)::bigint as duration_short_us from k",
 )
 def triple_barrier(spark, sf_dir):
-    return joins.triple_barrier(_bets(spark, sf_dir), event_ticks(spark, sf_dir), 14400, 1.0, 5.0, 0.5)
+    got = joins.triple_barrier(_bets(spark, sf_dir), event_ticks(spark, sf_dir), 14400, 1.0, 5.0, 0.5)
+    # Whole microseconds: minutes rounded to six digits would have ties.
+    whole = {f"duration_{s}_us": F.round(F.col(f"duration_{s}") * 60e6).cast("bigint") for s in ("long", "short")}
+    return got.withColumns(whole).drop("duration_long", "duration_short")
 
 
 @query(
