@@ -123,6 +123,12 @@ def momentum(bars: DataFrame) -> DataFrame:
     )
 
 
+def place(c: str, n: int) -> Column:
+    """The row number (i) of the largest of the last n values; of equal ones this row's, else the oldest's."""
+    w = R.last(n)
+    return F.when(F.col(c) == F.max(c).over(w), F.col("i")).otherwise(F.max_by("i", F.struct(F.col(c), -F.col("i"))).over(w))
+
+
 def channels(bars: DataFrame, n: int = 20) -> DataFrame:
     """Bollinger, Donchian, Aroon, Williams, stochastic, pivot and mid-range levels."""
     c, a = F.col("close"), F.col("atr")
@@ -130,10 +136,8 @@ def channels(bars: DataFrame, n: int = 20) -> DataFrame:
     m, s = R.mean("close", n), R.std("close", n)
     rows = bars.withColumns({"hi": hi, "lo": lo, "m": m, "s": s, "i": F.row_number().over(R.base)})
     span = F.col("hi") - F.col("lo")
-    rows = rows.withColumn("k", F.when(span != 0, (c - F.col("lo")) / span * 100).otherwise(F.when(span == 0, 50.0)))
-    w = R.last(n)
-    up = F.max_by("i", F.struct("high", "i")).over(w)
-    down = F.max_by("i", F.struct(-F.col("low"), "i")).over(w)
+    rows = rows.withColumn("down", -F.col("low")).withColumn("k", F.when(span != 0, (c - F.col("lo")) / span * 100).otherwise(F.when(span == 0, 50.0)))
+    up, down = place("high", n), place("down", n)
     full = F.col("hi").isNotNull()
     prev = lambda x: R.lag(x)
     pivot = (prev("hi") + prev("lo") + prev("close")) / 3
@@ -301,3 +305,64 @@ def oscillators(bars: DataFrame, n: int = 20) -> DataFrame:
         regime.alias("regime"),
         F.when(F.count(F.lit(1)).over(R.last(n)) == n, 0.8 * F.count("r").over(R.last(n)) / n + 0.2).otherwise(0.0).alias("quality"),
     )
+
+
+BAND_SIZES, BAND_WIDTHS, AROON_SIZES, STOCHASTIC = (20, 30, 50), (2, 2.5, 3), (14, 25, 50), ((14, 3, 3), (21, 5, 5), (9, 3, 3))
+
+
+def settings(bars: DataFrame) -> DataFrame:
+    """Bollinger bands, Aroon and stochastic lines in all their settings."""
+    a, c = F.col("atr"), F.col("close")
+    rows = bars.withColumns({"i": F.row_number().over(R.base), "down": -F.col("low")})
+    raw = {}
+    for p in BAND_SIZES:
+        raw |= {f"m{p}": R.mean("close", p), f"s{p}": R.std("close", p)}
+    for p, _, _ in STOCHASTIC:
+        lo, hi = R.min("low", p), R.max("high", p)
+        raw[f"q{p}"] = F.when(hi - lo > 0, 100 * (c - lo) / (hi - lo)).when(hi.isNotNull(), 50.0)
+    for p in AROON_SIZES:
+        there = F.count(F.lit(1)).over(R.last(p)) == p
+        raw |= {f"u{p}": F.when(there, 100.0 * (p - (F.col("i") - place("high", p))) / p), f"w{p}": F.when(there, 100.0 * (p - (F.col("i") - place("down", p))) / p)}
+    rows = rows.withColumns(raw)
+    rows = rows.withColumns({f"k{p}": R.mean(f"q{p}", d) for p, d, _ in STOCHASTIC})
+    rows = rows.withColumns({f"d{p}": R.mean(f"k{p}", d) for p, d, _ in STOCHASTIC})
+    out = []
+    for p in BAND_SIZES:
+        m, s = F.col(f"m{p}"), F.col(f"s{p}")
+        for k in BAND_WIDTHS:
+            name = f"{p}_{str(k).replace('.', 'h')}"
+            low, wide = c - (m - k * s), 2 * k * s
+            out += [
+                ((m + k * s - c) / a).alias(f"bb_upper_{name}"),
+                (low / a).alias(f"bb_lower_{name}"),
+                (low / (wide + EPS)).alias(f"bb_percent_{name}"),
+                (wide / a).alias(f"bb_width_{name}"),
+                (wide / (m + EPS) * 100).alias(f"bb_width_pct_{name}"),
+                ((c - m) / (s + EPS)).alias(f"bb_position_{name}"),
+            ]
+    for p in AROON_SIZES:
+        out += [F.col(f"u{p}").alias(f"aroon_up_{p}"), F.col(f"w{p}").alias(f"aroon_down_{p}"), (F.col(f"u{p}") - F.col(f"w{p}")).alias(f"aroon_oscillator_{p}")]
+    for p, d, s in STOCHASTIC:
+        out += [F.col(f"k{p}").alias(f"stoch_k_{p}"), F.col(f"d{p}").alias(f"stoch_d_{p}_{d}"), R.mean(f"d{p}", s).alias(f"stoch_slow_d_{p}_{d}_{s}")]
+    return rows.select(*KEYS, *out)
+
+
+FAST_SIZES, WAVELET_SIZES = (5, 10, 20, 50, 100), (32, 64, 128, 256)
+
+
+def relative_means(bars: DataFrame, lookback: int = 1440, n: int = 100) -> DataFrame:
+    """Volume means against the mean of `lookback` bars; means and spreads of returns; their energy against the true range."""
+    rows = bars.withColumns({"r": R.pct("close"), "base": R.mean("volume", lookback) + EPS})
+    rows = rows.withColumns({"rel": F.col("volume") / F.col("base"), "x": F.abs("r"), "r2": F.col("r") * F.col("r")})
+    out = [(R.mean("volume", p) / F.col("base")).alias(f"volume_mean_{p}") for p in FAST_SIZES]
+    out += [R.mean("rel", 20).alias("volume_ma_20")]
+    for p in WAVELET_SIZES:
+        out += [R.mean("r", p).alias(f"wavelet_mean_{p}"), R.std("r", p).alias(f"wavelet_std_{p}")]
+    share = F.col("atr") / (F.col("close") + EPS)
+    out += [
+        R.mean("x", n).alias("amplitude_mean"),
+        R.std("x", n).alias("amplitude_std"),
+        (R.std("x", n) / (R.mean("x", n) + EPS)).alias("amplitude_cv"),
+        (R.sum("r2", n) / (share * share * n + EPS)).alias("energy_ratio"),
+    ]
+    return rows.select(*KEYS, *out)

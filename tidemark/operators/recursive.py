@@ -134,6 +134,53 @@ def oscillators(bars: DataFrame, di: int = 13, tsi: int = 25) -> DataFrame:
     )
 
 
+ATR_PERIODS, RSI_PERIODS, EMA_SPANS = (13, 21, 34, 55), (14, 21, 30, 50), (10, 20, 50, 100, 200)
+MACD_SPANS, OSCILLATOR_SPANS, CYCLES = ((12, 26, 9), (5, 35, 5), (19, 39, 9)), ((12, 26), (5, 35), (10, 20)), ((23, 50, 10), (12, 26, 9))
+
+
+def settings(bars: DataFrame) -> DataFrame:
+    """True range, RSI, MACD, Schaff cycle, price oscillator and exponential deviation in all their settings.
+
+    Three passes of exponential means, the later ones over columns of those before.
+    """
+    w = Window.partitionBy("symbol").orderBy("bucket")
+    last = lambda n: w.rowsBetween(-(n - 1), 0)
+    full = lambda agg, c, n: F.when(F.count(c).over(last(n)) == n, agg(c).over(last(n)))
+    lag = lambda c, k=1: F.lag(c, k).over(w)
+    stochastic = lambda c, n: (F.col(c) - full(F.min, c, n)) / (full(F.max, c, n) - full(F.min, c, n) + EPS) * 100
+    d = F.col("close") - lag("close")
+    rows = bars.withColumns({"gain": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "loss": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))})
+    spans = sorted({*EMA_SPANS, *(s for pair in OSCILLATOR_SPANS for s in pair), *(s for f, g, _ in MACD_SPANS for s in (f, g))})
+    first = {f"a{p}": ("tr", 1 / p) for p in ATR_PERIODS} | {f"g{p}": ("gain", alpha(wilder=p)) for p in RSI_PERIODS} | {f"l{p}": ("loss", alpha(wilder=p)) for p in RSI_PERIODS}
+    first |= {f"e{s}": ("close", alpha(span=s)) for s in spans} | {f"h{s}": ("close", alpha(half_life=s)) for f, g, _ in CYCLES for s in (f, g)}
+    rows = ewm(rows, first)
+    rows = rows.withColumns(
+        {f"rsi_{p}": 100 - 100 / (1 + F.col(f"g{p}") / (F.col(f"l{p}") + EPS)) for p in RSI_PERIODS}
+        | {f"m{f}": F.col(f"e{f}") - F.col(f"e{g}") for f, g, _ in MACD_SPANS}
+        | {f"c{f}": F.col(f"h{f}") - F.col(f"h{g}") for f, g, _ in CYCLES}
+    ).withColumns({f"x{f}": stochastic(f"c{f}", n) for f, _, n in CYCLES})
+    rows = ewm(rows, {f"s{f}": (f"m{f}", alpha(span=n)) for f, _, n in MACD_SPANS} | {f"y{f}": (f"x{f}", alpha(span=3)) for f, _, _ in CYCLES})
+    rows = ewm(rows.withColumns({f"z{f}": stochastic(f"y{f}", n) for f, _, n in CYCLES}), {f"t{f}": (f"z{f}", alpha(span=3)) for f, _, _ in CYCLES})
+    a, c = F.col("atr"), F.col("close")
+    out = []
+    for p in ATR_PERIODS:
+        raw = F.col(f"a{p}")
+        out += [(raw / a).alias(f"atr_{p}"), (raw / (c + EPS) * 100).alias(f"atr_pct_{p}"), ((raw - lag(f"a{p}")) / a).alias(f"atr_trend_{p}"), (full(F.stddev_samp, f"a{p}", p) / a).alias(f"atr_volatility_{p}")]
+    for p in RSI_PERIODS:
+        out += [F.col(f"rsi_{p}"), (F.col(f"rsi_{p}") - lag(f"rsi_{p}")).alias(f"rsi_momentum_{p}")]
+    for p in RSI_PERIODS[:2]:
+        moved = F.try_divide(c - lag("close", p), lag("close", p))
+        out += [stochastic(f"rsi_{p}", p).alias(f"stoch_rsi_{p}"), (moved - ((F.col(f"rsi_{p}") - lag(f"rsi_{p}", p)) / 50 - 1)).alias(f"rsi_divergence_{p}")]
+    for f, g, n in MACD_SPANS:
+        m, s = F.col(f"m{f}"), F.col(f"s{f}")
+        out += [(m / a).alias(f"macd_{f}_{g}"), (s / a).alias(f"macd_signal_{f}_{g}_{n}"), ((m - s) / a).alias(f"macd_histogram_{f}_{g}_{n}")]
+    out += [F.col(f"t{f}").alias(f"schaff_{f}_{g}_{n}") for f, g, n in CYCLES]
+    out += [(F.try_divide(F.col(f"e{f}") - F.col(f"e{g}"), F.col(f"e{g}")) * 100).alias(f"price_oscillator_{f}_{g}") for f, g in OSCILLATOR_SPANS]
+    for p in EMA_SPANS:
+        out += [((F.col(f"e{p}") - c) / a).alias(f"ema_{p}"), ((c - F.col(f"e{p}")) / (F.col(f"e{p}") + EPS) * 100).alias(f"ema_deviation_{p}")]
+    return rows.select("symbol", "bucket", *out)
+
+
 def quality_clip(df: DataFrame, column: str, half_life: float, width: float = 5.0, by: str = "symbol", order: str = "bucket") -> DataFrame:
     """Clip to running mean +- width deviations; infinities go to the bounds, NaN and null to 0, the first value passes."""
     a = alpha(half_life=half_life)

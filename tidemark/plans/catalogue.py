@@ -115,6 +115,10 @@ def seed(c: str, n: int) -> str:
     return f"case when i = {n} then avg({c}) {over(n)} when i > {n} then {c} end"
 
 
+def place(c: str, n: int) -> str:
+    return f"case when {c} = max({c}) {over(n)} then i else arg_max(i, ({c}, -i)) {over(n)} end"
+
+
 # --- ticks and bars ---------------------------------------------------------------------------------------------
 
 
@@ -381,7 +385,7 @@ def feat_momentum(spark, sf_dir):
     "feat_bands_channels",
     staged(
         [{"hi": full("max(high)", "high", 20), "lo": full("min(low)", "low", 20), "m": full("avg(close)", "close", 20), "s": full("stddev_samp(close)", "close", 20),
-          "iu": f"arg_max(i, (high, i)) {over(20)}", "idn": f"arg_max(i, (-low, i)) {over(20)}"},
+          "iu": place("high", 20), "idn": place("-low", 20)},
          {"k": "case when hi - lo <> 0 then (close - lo) / (hi - lo) * 100 when hi - lo = 0 then 50.0 end",
           "pv": f"({lag('hi')} + {lag('lo')} + {lag('close')}) / 3", "ph": lag("hi"), "pl": lag("lo")}],
         {"bb_upper": "(m + 2 * s - close) / atr", "bb_lower": "(m - 2 * s - close) / atr", "bb_width": "4 * s / atr", "bb_percent": "(close - (m - 2 * s)) / (4 * s + 1e-10)",
@@ -533,6 +537,82 @@ def feat_oscillators(spark, sf_dir):
     return recursive.oscillators(atr_bars(spark, sf_dir))
 
 
+def _settings_sql() -> str:
+    r, spans = recursive, sorted({*recursive.EMA_SPANS, *(s for pair in recursive.OSCILLATOR_SPANS for s in pair), *(s for f, g, _ in recursive.MACD_SPANS for s in (f, g))})
+    first = {f"a{p}": ("tr", 1 / p) for p in r.ATR_PERIODS}
+    for p in r.RSI_PERIODS:
+        first |= {f"g{p}": ("gain", 1 / p), f"l{p}": ("loss", 1 / p)}
+    first |= {f"e{s}": ("close", 2 / (s + 1)) for s in spans} | {f"h{s}": ("close", r.alpha(half_life=s)) for f, g, _ in r.CYCLES for s in (f, g)}
+    between = lambda c, n: f"({c} - ({full(f'min({c})', c, n)})) / (({full(f'max({c})', c, n)}) - ({full(f'min({c})', c, n)}) + 1e-10) * 100"
+    out = {}
+    for p in r.ATR_PERIODS:
+        sd = full(f"stddev_samp(a{p})", f"a{p}", p)
+        out |= {f"atr_{p}": f"a{p} / atr", f"atr_pct_{p}": f"a{p} / (close + 1e-10) * 100", f"atr_trend_{p}": f"(a{p} - {lag(f'a{p}')}) / atr", f"atr_volatility_{p}": f"({sd}) / atr"}
+    for p in r.RSI_PERIODS:
+        out |= {f"rsi_{p}": f"rsi_{p}", f"rsi_momentum_{p}": f"rsi_{p} - {lag(f'rsi_{p}')}"}
+    for p in r.RSI_PERIODS[:2]:
+        out |= {f"stoch_rsi_{p}": between(f"rsi_{p}", p), f"rsi_divergence_{p}": f"(close - {lag('close', p)}) / nullif({lag('close', p)}, 0) - ((rsi_{p} - {lag(f'rsi_{p}', p)}) / 50 - 1)"}
+    for f, g, n in r.MACD_SPANS:
+        out |= {f"macd_{f}_{g}": f"m{f} / atr", f"macd_signal_{f}_{g}_{n}": f"s{f} / atr", f"macd_histogram_{f}_{g}_{n}": f"(m{f} - s{f}) / atr"}
+    out |= {f"schaff_{f}_{g}_{n}": f"t{f}" for f, g, n in r.CYCLES} | {f"price_oscillator_{f}_{g}": f"(e{f} - e{g}) / nullif(e{g}, 0) * 100" for f, g in r.OSCILLATOR_SPANS}
+    for p in r.EMA_SPANS:
+        out |= {f"ema_{p}": f"(e{p} - close) / atr", f"ema_deviation_{p}": f"(close - e{p}) / (e{p} + 1e-10) * 100"}
+    return (
+        RWITH + ATR + _MOVES + ewms("y0", "x2", first)
+        + stage("y1", "y0", {f"rsi_{p}": f"100 - 100 / (1 + g{p} / (l{p} + 1e-10))" for p in r.RSI_PERIODS} | {f"m{f}": f"e{f} - e{g}" for f, g, _ in r.MACD_SPANS} | {f"c{f}": f"h{f} - h{g}" for f, g, _ in r.CYCLES})
+        + stage("y2", "y1", {f"x{f}": between(f"c{f}", n) for f, _, n in r.CYCLES})
+        + ewms("y3", "y2", {f"s{f}": (f"m{f}", 2 / (n + 1)) for f, _, n in r.MACD_SPANS} | {f"y{f}": (f"x{f}", 0.5) for f, _, _ in r.CYCLES})
+        + stage("y4", "y3", {f"z{f}": between(f"y{f}", n) for f, _, n in r.CYCLES})
+        + ewms("y5", "y4", {f"t{f}": (f"z{f}", 0.5) for f, _, _ in r.CYCLES}) + " " + final(out, "y5")
+    )
+
+
+@query("feat_recursive_settings", _settings_sql())
+def feat_recursive_settings(spark, sf_dir):
+    return recursive.settings(atr_bars(spark, sf_dir))
+
+
+def _band_settings_sql() -> str:
+    raw, out = {}, {}
+    for p in features.BAND_SIZES:
+        raw |= {f"m{p}": full("avg(close)", "close", p), f"sd{p}": full("stddev_samp(close)", "close", p)}
+        for k in features.BAND_WIDTHS:
+            name, low, wide = f"{p}_{str(k).replace('.', 'h')}", f"(close - m{p} + {k} * sd{p})", f"(2 * {k} * sd{p})"
+            out |= {f"bb_upper_{name}": f"(m{p} + {k} * sd{p} - close) / atr", f"bb_lower_{name}": f"{low} / atr", f"bb_percent_{name}": f"{low} / ({wide} + 1e-10)",
+                    f"bb_width_{name}": f"{wide} / atr", f"bb_width_pct_{name}": f"{wide} / (m{p} + 1e-10) * 100", f"bb_position_{name}": f"(close - m{p}) / (sd{p} + 1e-10)"}
+    for p in features.AROON_SIZES:
+        raw |= {f"{n}{p}": f"case when count(*) {over(p)} = {p} then 100.0 * ({p} - (i - ({place(c, p)}))) / {p} end" for n, c in (("u", "high"), ("w", "-low"))}
+        out |= {f"aroon_up_{p}": f"u{p}", f"aroon_down_{p}": f"w{p}", f"aroon_oscillator_{p}": f"u{p} - w{p}"}
+    for p, d, s in features.STOCHASTIC:
+        raw |= {f"lo{p}": full("min(low)", "low", p), f"hi{p}": full("max(high)", "high", p)}
+        out |= {f"stoch_k_{p}": f"k{p}", f"stoch_d_{p}_{d}": f"d{p}", f"stoch_slow_d_{p}_{d}_{s}": full(f"avg(d{p})", f"d{p}", s)}
+    three = features.STOCHASTIC
+    return staged(
+        [raw, {f"q{p}": f"case when hi{p} - lo{p} > 0 then 100 * (close - lo{p}) / (hi{p} - lo{p}) when hi{p} is not null then 50.0 end" for p, _, _ in three},
+         {f"k{p}": full(f"avg(q{p})", f"q{p}", d) for p, d, _ in three}, {f"d{p}": full(f"avg(k{p})", f"k{p}", d) for p, d, _ in three}],
+        out,
+    )
+
+
+@query("feat_band_settings", _band_settings_sql())
+def feat_band_settings(spark, sf_dir):
+    return features.settings(atr_bars(spark, sf_dir))
+
+
+@query(
+    "feat_relative_means",
+    staged(
+        [{"r": "(close - pc) / nullif(pc, 0)", "bv": f"({full('avg(volume)', 'volume', 120)}) + 1e-10"}, {"rel": "volume / bv", "x": "abs(r)", "r2": "r * r"}],
+        {f"volume_mean_{p}": f"({full('avg(volume)', 'volume', p)}) / bv" for p in features.FAST_SIZES} | {"volume_ma_20": full("avg(rel)", "rel", 20)}
+        | {f"wavelet_mean_{p}": full("avg(r)", "r", p) for p in features.WAVELET_SIZES} | {f"wavelet_std_{p}": full("stddev_samp(r)", "r", p) for p in features.WAVELET_SIZES}
+        | {"amplitude_mean": full("avg(x)", "x", 100), "amplitude_std": full("stddev_samp(x)", "x", 100), "amplitude_cv": f"({full('stddev_samp(x)', 'x', 100)}) / (({full('avg(x)', 'x', 100)}) + 1e-10)",
+           "energy_ratio": f"({full('sum(r2)', 'r2', 100)}) / ((atr / (close + 1e-10)) ** 2 * 100 + 1e-10)"},
+    ),
+)
+def feat_relative_means(spark, sf_dir):
+    return features.relative_means(atr_bars(spark, sf_dir), 120)
+
+
 @query(
     "neutralize",
     staged(
