@@ -64,6 +64,47 @@ def test_first_hit(spark, ticks, label, minutes):
     assert (got.label_long, got.duration_long) == (label, minutes)
 
 
+@pytest.mark.parametrize("rows", [7, 65536])
+def test_first_hits_of_odd_ticks(spark, monkeypatch, rows):
+    """Against all pairs: equal times and bets, nulls, NaN, infinite prices and levels, groups over batches' ends."""
+    rng = np.random.default_rng(5)
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0]
+    price = lambda: odd[rng.integers(6)] if rng.random() < 0.2 else round(float(rng.normal(0, 4)), 1)
+    moment = lambda: None if rng.random() < 0.03 else T0 + dt.timedelta(seconds=int(rng.integers(-60, 60)) * 37)
+    symbol = lambda: [None, "a", "a", "b"][rng.integers(4)]
+    ticks = [(symbol(), moment(), price()) for _ in range(300)]
+    bets = [(i, symbol(), moment(), price()) for i in range(150)]
+    monkeypatch.setattr(joins, "ROWS", rows)
+    b = spark.createDataFrame(bets + bets[:9], "id int, symbol string, t0 timestamp, close double").repartition(3)
+    t = spark.createDataFrame(ticks, "symbol string, ts timestamp, price double").repartition(3)
+    got = joins.first_hits(b, t, 600, {"up": (True, F.col("close") + 1), "down": (False, F.col("close") - 1)}).collect()
+    assert len(got) == len(bets)
+    key = lambda x: (x != x, 0.0 if x != x else x)  # NaN above all
+    for r in got:
+        seen = [(ts, p) for s, ts, p in ticks if s is not None and s == r.symbol and None not in (ts, p, r.t0, r.close) and r.t0 < ts <= r.t0 + dt.timedelta(seconds=600)]
+        assert r.up == min((ts for ts, p in seen if key(p) >= key(r.close + 1)), default=None), r
+        assert r.down == min((ts for ts, p in seen if key(p) <= key(r.close - 1)), default=None), r
+
+
+def test_first_hits_of_dense_ticks(spark):
+    """20,000 bets and ticks in one horizon: no join of them all."""
+    n = 20_000
+    price = (50 + 40 * np.sin(np.arange(n) / 3000) + np.arange(n) % 7).round(2)
+    t = spark.createDataFrame(pd.DataFrame({"symbol": "a", "k": np.arange(n), "price": price})).withColumn("ts", F.timestamp_seconds(F.col("k") + 1_700_006_400))
+    bets = t.select(F.col("k").alias("id"), "symbol", F.col("ts").alias("t0"), F.col("price").alias("close"), F.lit(1.0).alias("atr"))
+    got = joins.triple_barrier(bets, t, 100_000, 9.0, 2.0, 0.5)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    first = lambda ok: int(ok.argmax()) + 1 if ok.any() else None
+    some = got.filter("id % 500 = 3").collect()
+    assert len(some) == n // 500
+    for r in some:
+        after, c = price[r.id + 1 :], price[r.id]
+        win, lose = first(after >= c + 9 + 0.5), first(after <= c - 2 + 0.5)
+        won = win is not None and (lose is None or win < lose)
+        end = win if won else lose
+        assert r.label_long == won and r.duration_long == pytest.approx((100_000 if end is None else end) / 60)
+
+
 def test_concurrency(spark):
     rows = [(i, "a", at(a), at(b)) for i, (a, b) in enumerate([(0, 10), (5, 12), (12, 20)])]
     got = joins.concurrency(spark.createDataFrame(rows, "id int, symbol string, t0 timestamp, t1 timestamp")).orderBy("id").collect()
