@@ -105,6 +105,18 @@ def test_first_hits_of_dense_ticks(spark):
         assert r.label_long == won and r.duration_long == pytest.approx((100_000 if end is None else end) / 60)
 
 
+def test_barrier_grid_is_one_pass(spark):
+    t = spark.range(400).select(F.lit("a").alias("symbol"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") * 37 % 11).cast("double").alias("price"))
+    bets = t.select("symbol", F.col("ts").alias("t0"), F.col("price").alias("close"), F.lit(1.0).alias("atr"))
+    grid = [(1.0, 5.0), (2.0, 2.0), (3.0, 1.0)]
+    got = joins.barrier_grid(bets, t, 1800, grid, 0.5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    one = lambda df: sorted(tuple(r) for r in df.select("t0", "label_long", "duration_long", "label_short", "duration_short").collect())
+    for pt, sl in grid:
+        assert one(got.filter(f"pt = {pt} and sl = {sl}")) == one(joins.triple_barrier(bets, t, 1800, pt, sl, 0.5))
+
+
 def test_concurrency(spark):
     rows = [(i, "a", at(a), at(b)) for i, (a, b) in enumerate([(0, 10), (5, 12), (12, 20)])]
     got = joins.concurrency(spark.createDataFrame(rows, "id int, symbol string, t0 timestamp, t1 timestamp")).orderBy("id").collect()

@@ -228,6 +228,17 @@ def triple_barrier(bets: DataFrame, ticks: DataFrame, horizon_s: int, target: fl
     return _labels(first_hits(bets, ticks, horizon_s, _barriers(target, stop, spread)), horizon_s)
 
 
+def barrier_grid(bets: DataFrame, ticks: DataFrame, horizon_s: int, grid: list[tuple[float, float]], spread: float) -> DataFrame:
+    """triple_barrier of every bet with each target and stop (columns pt, sl) of the grid, in one pass over the ticks."""
+    levels = {f"_{i}_{name}": level for i, (pt, sl) in enumerate(grid) for name, level in _barriers(pt, sl, spread).items()}
+    hits = first_hits(bets, ticks, horizon_s, levels)
+    sets = [
+        F.struct(F.lit(float(pt)).alias("pt"), F.lit(float(sl)).alias("sl"), *[F.col(f"_{i}_{name}").alias(name) for name in _barriers(pt, sl, spread)])
+        for i, (pt, sl) in enumerate(grid)
+    ]
+    return _labels(hits.select(*bets.columns, F.explode(F.array(*sets)).alias("_set")).select(*bets.columns, "_set.*"), horizon_s)
+
+
 def concurrency(bets: DataFrame) -> DataFrame:
     """How many intervals [t0, t1] of a symbol are open at each start, and the weight 1 / that.
 

@@ -273,9 +273,7 @@ def triple_barrier(spark, sf_dir):
     + " select pt::double as pt, sl::double as sl, count(*) as bets, sum(wl::int)::bigint as wins, round(avg(wl::int), 6) as win_rate, round(avg(dl), 6) as mean_minutes from k group by pt, sl",
 )
 def barrier_grid(spark, sf_dir):
-    grid = spark.createDataFrame([(1.0, 5.0), (2.0, 2.0), (3.0, 1.0)], "pt double, sl double")
-    bets = _bets(spark, sf_dir).join(F.broadcast(grid), F.lit(True))  # three rows of parameters
-    got = joins.triple_barrier(bets, event_ticks(spark, sf_dir), 14400, F.col("pt"), F.col("sl"), 0.5)
+    got = joins.barrier_grid(_bets(spark, sf_dir), event_ticks(spark, sf_dir), 14400, [(1.0, 5.0), (2.0, 2.0), (3.0, 1.0)], 0.5)
     return got.groupBy("pt", "sl").agg(F.count("*").alias("bets"), F.sum("label_long").alias("wins"), F.avg("label_long").alias("win_rate"), F.avg("duration_long").alias("mean_minutes"))
 
 
