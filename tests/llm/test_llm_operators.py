@@ -710,3 +710,27 @@ def test_pipeline(spark, odd):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     kept = corpus_pipeline.near_duplicate_stage(spark, odd, SF)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, None, 4, 5, 7])) and kept.columns == odd.columns
+
+
+def test_language_tables_are_small_and_start_anew():
+    """Tables of a byte for each n-gram, and the same counts and marks after more texts than a byte counts."""
+    grams = language.Grams()
+    assert sum(t.nbytes for t in grams.seen) < 20_000_000
+    for k in range(600):
+        text = f"Über {k} größte {k % 7} aaaa"[: k % 23]
+        a = text.lower().encode()
+        want = [{a[i : i + n] for i in range(len(a) - n + 1)} for n in language.LENGTHS]
+        mark, count = grams.stamp(text)
+        assert count == [len(s) for s in want]
+        for table, s in zip(grams.seen, want):
+            assert set(np.flatnonzero(table == mark).tolist()) == {int.from_bytes(g, "big") for g in s}
+
+
+def test_memory_of_other_operators_goes_back_before_the_work(spark, monkeypatch):
+    from tidemark.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "FORGET", {"words": lambda: seen.append("forgotten")})
+    monkeypatch.setattr(common, "release", lambda: seen.append("released"))
+    list(common.lean(lambda batches: (seen.append("work") for _ in range(1)))(iter([])))
+    assert seen == ["forgotten", "released", "work", "released"]

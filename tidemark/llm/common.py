@@ -81,8 +81,11 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
         spark.conf.set(key, str(ROWS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name in [k for k in FORGET if k != keeps]:
+        others = [k for k in FORGET if k != keeps]
+        for name in others:
             FORGET.pop(name)()
+        if others:
+            release()
         try:
             yield from run(batches)
         finally:

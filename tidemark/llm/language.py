@@ -39,11 +39,11 @@ LETTER = re.compile(r"[^\W\d_]")
 
 
 class Grams:
-    """Distinct n-grams of a text by stamping tables, without a sort."""
+    """Distinct n-grams of a text: counted in order, and marked in tables of a byte for each possible one."""
 
     def __init__(self) -> None:
-        self.seen = [np.full(256**n, -1, np.int32) for n in LENGTHS]
-        self.next = 0
+        self.seen = [np.zeros(256**n, np.uint8) for n in LENGTHS]
+        self.mark = 0
 
     def codes(self, text: str) -> list[np.ndarray]:
         a = np.frombuffer(text.lower().encode(), np.uint8).astype(np.int32)
@@ -53,20 +53,18 @@ class Grams:
         return out
 
     def stamp(self, text: str) -> tuple[int, list[int]]:
-        """The first stamp of this text and the number of distinct n-grams by length."""
-        codes = self.codes(text)
-        if self.next > 2**31 - 2 - len(codes[0]):
+        """The mark of this text's n-grams and the number of distinct ones by length."""
+        if self.mark == 255:
             for table in self.seen:
-                table.fill(-1)
-            self.next = 0
-        first = self.next
+                table.fill(0)
+            self.mark = 0
+        self.mark += 1
         count = []
-        for table, c in zip(self.seen, codes):
-            at = np.arange(first, first + len(c), dtype=np.int32)
-            table[c] = at
-            count.append(int((table[c] == at).sum()))
-        self.next += max(1, len(codes[0]))
-        return first, count
+        for table, c in zip(self.seen, self.codes(text)):
+            table[c] = self.mark
+            c.sort()
+            count.append(int((c[1:] != c[:-1]).sum()) + (len(c) > 0))
+        return self.mark, count
 
 
 @dataclass
@@ -91,10 +89,10 @@ class Model:
         held = [np.zeros((len(texts), len(v)), np.bool_) for v in self.vocab]
         size = np.ones((len(texts), len(LENGTHS)), np.float32)
         for i, text in enumerate(texts):
-            first, count = grams.stamp(text)
+            mark, count = grams.stamp(text)
             size[i] = np.maximum(count, 1)
             for n, v in enumerate(self.vocab):
-                held[n][i] = grams.seen[n][v] >= first
+                held[n][i] = grams.seen[n][v] == mark
         for n, m in enumerate(self.marks):
             both = np.zeros_like(k)
             for at in range(0, len(m), PART):
