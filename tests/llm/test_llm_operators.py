@@ -734,3 +734,59 @@ def test_memory_of_other_operators_goes_back_before_the_work(spark, monkeypatch)
     monkeypatch.setattr(common, "release", lambda: seen.append("released"))
     list(common.lean(lambda batches: (seen.append("work") for _ in range(1)))(iter([])))
     assert seen == ["forgotten", "released", "work", "released"]
+
+
+def test_workers_drop_their_own_caches(monkeypatch):
+    """Work that was sent to a worker drops what that worker holds, not a copy of what the driver held."""
+    from pyspark import cloudpickle
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "FORGET", {})
+    sent = cloudpickle.dumps(common.lean(lambda batches: batches))
+    seen = []
+    common.FORGET["words"] = lambda: seen.append("forgotten")
+    list(cloudpickle.loads(sent)(iter([])))
+    assert seen == ["forgotten"] and not common.FORGET
+
+
+def test_postings_and_regions_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, 2000)) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+    tracemalloc.start()
+    packed = list(jaccard._postings(1)(iter([batch])))
+    of_postings = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    rows = sum(b.num_rows for b in jaccard._regions(iter(packed)))
+    of_regions = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert of_postings < 50_000_000 and of_regions < 60_000_000 and rows == 0
+
+
+def test_regions_in_parts_equal_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 3000, 40) * 2**48 + 7) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+    by_hash = defaultdict(list)
+    for node, s in enumerate(sets):
+        for h in s:
+            by_hash[int(h) >> 16].append(node)
+    size = list(map(len, sets))
+    want = Counter()
+    for h, nodes in by_hash.items():
+        if len(nodes) > jaccard.SMALL:
+            want.update((1, a, h, size[a], size[a]) for a in nodes)
+        else:
+            want.update((0, a, b, size[a], size[b]) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b]))
+    for part in (10**9, 500):
+        monkeypatch.setattr(jaccard, "PART_HASHES", part)
+        packed = list(jaccard._postings(3)(iter([batch])))
+        got = Counter()
+        for kind, run in ((0, jaccard._regions), (-1, jaccard._members)):
+            for p in packed:
+                own = [i for i, b in enumerate(p.column(0).to_pylist()) if (b < 0) == (kind < 0)]
+                for r in run(iter([p.take(pa.array(own, pa.int64()))])):
+                    got.update(zip(*[c.to_pylist() for c in r.columns]))
+        assert got == want

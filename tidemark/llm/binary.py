@@ -191,7 +191,7 @@ def read(manifest: DataFrame) -> DataFrame:
         placed.select("file", "start", "number")
         .repartition(max(1, manifest.rdd.getNumPartitions()), "number")
         .select("file", "start")
-        .mapInArrow(lean(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+        .mapInArrow(lean(run, "words"), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     )
 
 

@@ -71,6 +71,19 @@ def release() -> None:
         pass
 
 
+def forget(keeps: str = "") -> None:
+    """Drop all caches of this process but the one named `keeps`.
+
+    A function of the module, as a nested one is sent to workers with a copy
+    of the driver's FORGET instead of the worker's own.
+    """
+    others = [k for k in FORGET if k != keeps]
+    for name in others:
+        FORGET.pop(name)()
+    if others:
+        release()
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same work for mapInArrow, with memory handed back before and after; only the cache named `keeps` stays.
 
@@ -81,11 +94,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
         spark.conf.set(key, str(ROWS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        others = [k for k in FORGET if k != keeps]
-        for name in others:
-            FORGET.pop(name)()
-        if others:
-            release()
+        forget(keeps)
         try:
             yield from run(batches)
         finally:

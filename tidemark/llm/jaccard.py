@@ -53,6 +53,8 @@ FIRST_PIVOTS = 8
 FAR = 3
 #: Low hashes that a reducing task takes, about.
 TASK_HASHES = 1_500_000
+#: Low hashes that it sorts at a time, about; and those that a task before it sorts and packs at a time.
+PART_HASHES, BLOCK_HASHES = 150_000, 500_000
 #: Ids in a broadcast at most; beyond it, joins shuffle.
 BROADCAST_IDS = 300_000
 #: Stands for a null doc_id, above every other.
@@ -127,29 +129,39 @@ def _postings(buckets: int):
     """
 
     def pack(keys: list, nodes: list, sizes: list) -> pa.RecordBatch:
-        key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
-        order = np.lexsort((node, key))
-        key, node, size = key[order], node[order], size[order]
+        # One array for each document until here; documents in order of their ids, so that a stable sort by hash will do.
+        by = np.argsort(np.array(nodes, np.int64), kind="stable")
+        many = np.array([len(k) for k in keys], np.int64)[by]
+        key = np.concatenate([keys[i] for i in by])
+        keys.clear()
+        which = np.repeat(np.arange(len(by), dtype=np.int32), many)
+        order = np.argsort(key, kind="stable")
+        key, which = key[order], which[order]
+        del order
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         many = np.diff(np.append(start, len(key)))
-        hot = np.repeat(many > SMALL, many)
         marks = key[start[many > SMALL]]
-        own = np.where(hot, 0, (key % np.uint64(buckets)).astype(np.int32) + 1)
-        key, node, size = np.concatenate([key, marks]), np.concatenate([node, np.full(len(marks), -1)]), np.concatenate([size, np.zeros(len(marks), np.int32)])
+        own = (key % np.uint64(buckets)).astype(np.int32) + 1
+        own[np.repeat(many > SMALL, many)] = 0
         own = np.concatenate([own, (marks % np.uint64(buckets)).astype(np.int32) + 1])
+        # Document -1, of size 0, marks a hash of many.
+        which = np.concatenate([which, np.full(len(marks), len(by), np.int32)])
+        key = np.concatenate([key, marks])
+        nodes, sizes = np.append(np.array(nodes, np.int64)[by], -1), np.append(np.array(sizes, np.int32)[by], np.int32(0))
         order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(buckets + 2))
+        cuts = np.searchsorted(own, np.arange(buckets + 2), sorter=order)
+        del own
         rows = []
         for b in np.flatnonzero(np.diff(cuts)):
             i = order[cuts[b] : cuts[b + 1]]
-            k = key[i]
+            k, w = key[i], which[i]
             rows.append(
                 (
                     int(b) - 1,
                     (k & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
                     (k >> np.uint64(32)).astype("<u2").tobytes(),
-                    np.diff(node[i], prepend=0).astype("<i8").tobytes(),
-                    size[i].astype("<i4").tobytes(),
+                    np.diff(nodes[w], prepend=0).astype("<i8").tobytes(),
+                    sizes[w].astype("<i4").tobytes(),
                 )
             )
         kinds = [pa.int32(), *[pa.binary()] * 4]
@@ -167,22 +179,28 @@ def _postings(buckets: int):
                     if len(s):
                         used = s[: lowest(len(s)) if texts else len(s)] >> np.uint64(16)
                         keys.append(used)
-                        nodes.append(np.full(len(used), node, np.int64))
-                        sizes.append(np.full(len(used), len(s), np.int32))
+                        nodes.append(node)
+                        sizes.append(len(s))
                         held += len(used)
-                if held >= 1_000_000:
-                    yield pack(keys, nodes, sizes)
-                    keys, nodes, sizes, held = [], [], [], 0
+                    if held >= BLOCK_HASHES:
+                        yield pack(keys, nodes, sizes)
+                        keys, nodes, sizes, held = [], [], [], 0
         if held:
             yield pack(keys, nodes, sizes)
 
     return run
 
 
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for low, high, node, size in zip(*[batch.column(c).to_pylist() for c in range(1, 5)]):
-        key = np.frombuffer(low, "<u4").astype(np.int64) | (np.frombuffer(high, "<u2").astype(np.int64) << 32)
-        yield key, np.cumsum(np.frombuffer(node, "<i8")), np.frombuffer(size, "<i4")
+def _columns(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """low, high, node and size of the postings of each row, as they are stored but for the nodes' differences."""
+    for low, high, node, size in zip(*[batch.column(c) for c in range(1, 5)]):
+        whole = (np.frombuffer(x.as_buffer(), t) for x, t in ((low, "<u4"), (high, "<u2"), (node, "<i8"), (size, "<i4")))
+        low, high, node, size = whole
+        yield low, high, np.cumsum(node), size
+
+
+def _key(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int64) | (high.astype(np.int64) << 32)
 
 
 def _rows(kind: int, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -203,21 +221,35 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of kind 1 from bucket -1."""
     for batch in batches:
-        for key, node, size in _unpacked(batch):
-            yield from _rows(1, node, key, size, size)
+        for low, high, node, size in _columns(batch):
+            yield from _rows(1, node, _key(low, high), size, size)
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind 0: pair a, b of a small region; kind 1: member a of the large region b), with sizes."""
-    keys, nodes, sizes = [], [], []
+    held: list[list[np.ndarray]] = [[], [], [], []]
     for batch in batches:
-        for key, node, size in _unpacked(batch):
-            keys.append(key)
-            nodes.append(node)
-            sizes.append(size)
-    if not keys:
+        for columns in _columns(batch):
+            for own, column in zip(held, columns):
+                own.append(column.copy())
+    if not held[0]:
+        return
+    whole = []
+    for own in held:
+        whole.append(np.concatenate(own))
+        own.clear()
+    # Sorted in parts of the hashes, since sorting takes several times what is held.
+    parts = -(-len(whole[0]) // PART_HASHES)
+    for part in range(parts):
+        here = np.flatnonzero(whole[1] % parts == part)
+        low, high, node, size = (c[here] for c in whole)
+        yield from _joined_regions(_key(low, high), node, size)
+
+
+def _joined_regions(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of _regions for all postings of some hashes."""
+    if not len(key):
         return
-    key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
     order = np.lexsort((node, key))
     key, node, size = key[order], node[order], size[order]
     # Rows of one id with different texts may repeat a hash: the region has it once.

@@ -181,7 +181,7 @@ def merge_round(bins: DataFrame, tasks: int, number: int, last: bool) -> DataFra
             yield from _chunks(_pack(_joined(held), np.cumsum(np.concatenate(many)), first, last))
 
     # By a hash of the bin's number, which is unique: even, and the same again if a task is lost.
-    return bins.select("members", "bin").repartition(tasks, F.xxhash64("bin")).select("members").mapInArrow(lean(run), _SCHEMA)
+    return bins.select("members", "bin").repartition(tasks, F.xxhash64("bin")).select("members").mapInArrow(lean(run, "words"), _SCHEMA)
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
